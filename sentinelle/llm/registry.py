@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bpe, q_quality
+from sentinelle.llm import q_bpe, q_decontam, q_quality
 
-MODULES = (q_quality, q_bpe)
+MODULES = (q_quality, q_bpe, q_decontam)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
