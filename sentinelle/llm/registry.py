@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bpe, q_decontam, q_quality
+from sentinelle.llm import q_bpe, q_decontam, q_lattice, q_quality
 
-MODULES = (q_quality, q_bpe, q_decontam)
+MODULES = (q_quality, q_bpe, q_decontam, q_lattice)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
