@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bpe, q_decontam, q_lattice, q_quality
+from sentinelle.llm import q_bpe, q_chat, q_decontam, q_lattice, q_quality
 
-MODULES = (q_quality, q_bpe, q_decontam, q_lattice)
+MODULES = (q_chat, q_decontam, q_quality, q_lattice, q_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
