@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bpe, q_cascade, q_chat, q_decontam, q_lattice, q_quality
+from sentinelle.llm import q_bagmin, q_bpe, q_cascade, q_chat, q_decontam, q_lattice, q_quality
 
-MODULES = (q_chat, q_decontam, q_quality, q_lattice, q_cascade, q_bpe)
+MODULES = (q_chat, q_decontam, q_quality, q_lattice, q_cascade, q_bagmin, q_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
