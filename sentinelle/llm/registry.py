@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bagmin, q_bpe, q_cascade, q_chat, q_decontam, q_lattice, q_quality, q_suffixes
+from sentinelle.llm import q_bagmin, q_bpe, q_cascade, q_chat, q_decontam, q_lattice, q_licences, q_lines, q_quality, q_suffixes
 
-MODULES = (q_chat, q_decontam, q_quality, q_lattice, q_cascade, q_suffixes, q_bagmin, q_bpe)
+MODULES = (q_chat, q_decontam, q_lines, q_quality, q_lattice, q_cascade, q_suffixes, q_licences, q_bagmin, q_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
