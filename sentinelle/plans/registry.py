@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from sentinelle.plans import q_analytics
+
+MODULES = (q_analytics,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
