@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.plans import q_analytics
+from sentinelle.plans import q_analytics, q_conflicts, q_spatial
 
-MODULES = (q_analytics,)
+MODULES = (q_analytics, q_spatial, q_conflicts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
