@@ -27,9 +27,9 @@ def near_any(points: DataFrame, centres: DataFrame, most_km: float) -> DataFrame
     size = most_km / _DEGREE_KM
     rows = F.expr(f"sequence(cast(floor(greatest(c_lat - {size}, -90.0) / {size}) as int), cast(floor(least(c_lat + {size}, 90.0) / {size}) as int))")
     spots = centres.withColumn("_y", F.explode(rows))
-    # Longitudes shrink towards the poles: the widest band of latitude that a row covers sets how far to look.
-    reach = F.greatest(F.abs(F.col("_y") * size), F.abs((F.col("_y") + 1) * size))
-    step = F.when(reach >= 89.0, F.lit(360.0)).otherwise(F.least(F.lit(360.0), size / F.cos(F.radians(reach))))
+    # The widest a circle gets, in degrees of longitude; one that holds a pole goes all the way round.
+    polar = F.abs(F.col("c_lat")) + size >= 90
+    step = F.when(polar, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(size))) / F.cos(F.radians("c_lat"))))))
     n_around = F.ceil(F.lit(360.0) / size).cast("int")
     columns = F.when(step >= 180, F.sequence(F.lit(0), n_around)).otherwise(
         F.transform(F.sequence(F.floor((F.col("c_lon") - step + 180) / size).cast("int"), F.floor((F.col("c_lon") + step + 180) / size).cast("int")), lambda x: F.floor(F.pmod(x * size + size / 2, F.lit(360.0)) / size).cast("int"))

@@ -152,8 +152,9 @@ def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
     raw = spark.read.text(path, wholetext=True).where(~F.col("value").rlike("(?i)<!doctype"))
     one = F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}>"), F.lit(0))).alias("xml")
     x = raw.select(one).select(F.from_xml("xml", fields).alias("x")).select("x.*")
-    formats = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    at = F.coalesce(*[F.try_to_timestamp(F.coalesce("pubDate", "published", "updated"), F.lit(f)) for f in formats])
+    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    said = F.regexp_replace(F.coalesce("pubDate", "published", "updated"), r"^[A-Za-z]{3},\s*", "")
+    at = F.coalesce(*[F.try_to_timestamp(said, F.lit(f)) for f in formats])
     clean = lambda c, n: X.truncated(X.stripped_html(c), n)
     return x.select(F.coalesce("guid", "id", "link").alias("identifier"), clean(F.col("title"), 400).alias("title"), clean(F.coalesce("description", "summary"), 4000).alias("summary"), at.alias("published"))
 
