@@ -7,8 +7,8 @@ document whose weight is above that level. A component keeps its earliest point,
 the probability of their weighted Jaccard similarity. A process stops once it is later than every component.
 
 Documents whose words are the same, in order, are one text. Texts that share a band meet in its bucket; there their
-signatures are compared block by block and only promising pairs leave the task: for each text its best partners,
-and between groups that are surely alike the best pairs across. Pairs are verified on the full multisets, and
+signatures are compared block by block and only promising pairs leave the task, as spanning forests of the most
+alike. Pairs are verified on the full multisets, and
 classes are the connected components of verified pairs. Buckets above `HOT` texts are dealt out again by pairs of
 bands, which those that are alike share several of; a bucket is read as a stream, with leaders of earlier blocks
 kept beside the current one. No bucket, class or fingerprint list comes to the driver.
@@ -31,8 +31,8 @@ from sentinelle.llm import storage, words
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
-#: Bytes of text at once; texts compared at once in a bucket; leaders kept; partners of a text; texts of a hot bucket.
-STEP, BLOCK, LEADERS, PARTNERS, HOT = 4 << 20, 256, 64, 4, 2048
+#: Bytes of text at once; texts compared at once in a bucket; leaders kept; forests of a block; texts of a hot bucket.
+STEP, BLOCK, LEADERS, FORESTS, HOT = 4 << 20, 256, 64, 2, 2048
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,39 +119,35 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def block_pairs(sig: np.ndarray, n_old: int) -> tuple[np.ndarray, np.ndarray]:
-    """Promising pairs among signatures, of which the first n_old have met before; by estimated similarity.
+    """Promising pairs among signatures, of which the first n_old have met before.
 
-    Estimates are off by 0.036 at 0.8; pairs above 0.66 are promising. Groups joined at 0.9 are surely alike inside.
+    Estimates are off by 0.036 at 0.8; pairs above 0.66 are promising. Of these, FORESTS spanning forests of greatest
+    estimates leave the block: a pair left out is joined, in each of them, by pairs that look at least as alike.
     """
     n = len(sig)
     alike = np.zeros((n, n))
     for a in range(0, n, 32):
         alike[a : a + 32] = (sig[a : a + 32, None] == sig[None]).mean(axis=2)
-    np.fill_diagonal(alike, 0)
     alike[:n_old, :n_old] = 0
-    take = set()
-    near = np.argsort(-alike, axis=1, kind="stable")[:, :PARTNERS]
-    for i in range(n):
-        take |= {(min(i, j), max(i, j)) for j in near[i] if alike[i, j] >= 0.66}
-    group = np.arange(n)
-    sure = np.argwhere(np.triu(alike >= 0.9))
-    for i, j in sure:  # labels of a block only
-        if group[i] != group[j]:
-            group[group == group[j]] = group[i]
-            take.add((int(i), int(j)))
-    i, j = np.nonzero(np.triu(alike >= 0.66))
-    across = group[i] != group[j]
-    i, j = i[across], j[across]
+    i, j = np.nonzero(np.triu(alike, 1) >= 0.66)
     order = np.argsort(-alike[i, j], kind="stable")
-    i, j = i[order], j[order]
-    pair = np.minimum(group[i], group[j]) * n + np.maximum(group[i], group[j])
-    by = np.argsort(pair, kind="stable")
-    rank = np.arange(len(by)) - np.searchsorted(pair[by], pair[by])
-    best = by[rank < 8]
-    take |= set(zip(i[best].tolist(), j[best].tolist(), strict=True))
-    if not take:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.array(sorted(take)).T
+    left = list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+    take = []
+    for _ in range(FORESTS):
+        root, rest = list(range(n)), []
+        for x, y in left:
+            a, b = x, y
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a == b:
+                rest.append((x, y))
+            else:
+                root[a] = b
+                take.append((x, y))
+        left = rest
+    a, b = np.array(take, np.int64).reshape(-1, 2).T
     return a, b
 
 
@@ -242,8 +238,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, print, class_id (the least doc_id of its class) and n_links (other texts
-    that it is verified to be near to)."""
+    """One row for each document: doc_id, print and class_id (the least doc_id of its class)."""
     rows = storage.written(sketch(docs, doc_id, text), "sketches")
     texts = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
     # A null id cannot lead back to its text, but equal prints have equal sketches, so any row shows them.
@@ -251,14 +246,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pairs = storage.written(candidates(texts), "pairs")
     ids = texts.select("print", "doc_id")
     pairs = pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
-    links = storage.written(verified(pairs, docs, doc_id, text), "links")
-    least = components(links)
-    degree = links.union(links.select("b", "a")).toDF("print", "other").groupBy("print").agg(F.count("*").alias("n_links"))
-    linked = least.join(degree, "print").join(ids, "print", "left")
+    linked = components(storage.written(verified(pairs, docs, doc_id, text), "links")).join(ids, "print")
     heads = linked.groupBy("least").agg(F.min("doc_id").alias("class_id"))
-    linked = linked.join(heads, "least").select("print", "class_id", "n_links")
-    own = ids.join(linked, "print", "left").select("print", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return rows.select("doc_id", "print").join(own, "print", "left").select("doc_id", "print", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    linked = linked.join(heads, "least").select("print", "class_id")
+    own = ids.join(linked, "print", "left").select("print", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.select("doc_id", "print").join(own, "print", "left").select("doc_id", "print", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
