@@ -133,3 +133,14 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, p: str = "q_") -> Da
     """`docs` with the metrics, `{p}failed` (names of broken rules), `{p}base_failed` and `{p}kept`."""
     out = with_metrics(docs, text, p).withColumn(f"{p}failed", failing(rules, p))
     return out.withColumn(f"{p}base_failed", base_failed(p)).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.size(f"{p}failed") == 0))
+
+
+def kept(docs: DataFrame, text: str = "text", rules=RULES, p: str = "q_") -> DataFrame:
+    """The rows of `docs` that pass, with its columns alone.
+
+    A filter on an expression this large would be pushed below the projections that make its arrays, and make them
+    again for each element. The verdict therefore passes through a generator, which no filter is pushed below.
+    """
+    judged = judge(docs, text, rules, p)
+    mark = F.explode_outer(F.when(F.col(f"{p}kept"), F.array(F.lit(True)))).alias(f"{p}pass")
+    return judged.select(*docs.columns, mark).where(F.col(f"{p}pass").isNotNull()).select(*docs.columns)
