@@ -13,16 +13,20 @@ rows that share an id and a text are treated alike; extra columns pass through.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sentinelle.llm import storage
+from sentinelle.llm import storage, words
 
 #: Sites that make a line boilerplate; estimates within +-NEAR of it (a share) are counted exactly.
 SPREAD, NEAR = 5, 0.5
 #: Registers of a sketch: 2 ** PRECISION.
 PRECISION = 10
-#: Boilerplate lines that may be broadcast (16 bytes each); more meet their documents in a shuffle.
+#: Boilerplate lines that may be broadcast (32 bytes each); more meet their documents in a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
@@ -54,13 +58,54 @@ def boilerplate(lines: DataFrame, spread: int = SPREAD, near: float = NEAR) -> D
     return sure.union(close.join(exact, "line").select("line", "first"))
 
 
+def signed(text: str | None) -> int:
+    """What Spark's xxhash64 gives for a string column."""
+    if text is None:
+        return 42
+    h = xxhash.xxh64_intdigest(text.encode("utf-8"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def cut_in_place(docs: DataFrame, plates: DataFrame, doc_id: str, text: str, n: str, gone: str) -> DataFrame:
+    """Texts without boilerplate, where they are read: the broadcast list is bounded by BROADCAST_LINES."""
+    rows = plates.collect()
+    order = np.argsort(np.array([r.line for r in rows], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([rows[k].line for k in order], np.int64), [tuple(rows[k].first) for k in order]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType()), T.StructField(gone, T.LongType())])
+    at = docs.columns.index(text)
+
+    def one(doc, said: str | None):
+        known, first = shared.value
+        if said is None:
+            return None, 0, 0
+        parts = said.split("\n")
+        places = [k for k, x in enumerate(parts) if x.strip(" \t\n\x0b\x0c\r")]
+        lines = np.array([signed(parts[k]) for k in places], np.int64)
+        found = np.searchsorted(known, lines)
+        found[found == len(known)] = 0
+        hits = np.flatnonzero(known[found] == lines) if len(known) and len(lines) else []
+        copy = signed(said) if len(hits) else None
+        drop = {places[k] for k in hits if first[found[k]] != (doc, copy, places[k])}
+        return "\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else said, len(places), len(drop)
+
+    def run(batches):
+        for batch in words.pieces(batches, text, 4 << 20):
+            out = [one(d, t) for d, t in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array([x[0] for x in out], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
+
+
 def without_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", spread: int = SPREAD, near: float = NEAR, prefix: str = "line_") -> DataFrame:
     """`docs` with boilerplate lines out of `text`, and `{prefix}n` (lines with a word) and `{prefix}removed` beside it."""
     n, gone, key = f"{prefix}n", f"{prefix}removed", f"{prefix}copy"
     lines = exploded(docs, doc_id, text, site)
     plates = storage.written(boilerplate(lines, spread, near), "boilerplate")
-    side = F.broadcast(plates) if plates.count() <= BROADCAST_LINES else plates
-    hits = lines.join(side, "line").where(~F.struct("doc", "copy", "place").eqNullSafe(F.col("first")))
+    if plates.count() <= BROADCAST_LINES:
+        return cut_in_place(docs, plates, doc_id, text, n, gone)
+    hits = lines.join(plates, "line").where(~F.struct("doc", "copy", "place").eqNullSafe(F.col("first")))
     # Only places travel; the texts are cut where they are.
     cut = hits.groupBy(F.col("doc").alias(f"{prefix}doc"), F.col("copy").alias(key)).agg(F.collect_set("place").alias(f"{prefix}places"))
     marked = docs.withColumn(key, F.xxhash64(text))
