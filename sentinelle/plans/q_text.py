@@ -70,7 +70,7 @@ _CLASS = "CASE " + " ".join(f"WHEN {_any(keys)} THEN '{name}'" for name, keys in
 _HITS = " + ".join(f"contains(t, '{k}')::INT" for keys in X.TYPE_KEYWORDS.values() for k in keys)
 
 
-@Q.add("keyword_classify", _REPORT + f" SELECT id, {_CLASS} AS event_type, {_HITS} AS hits, round(CASE WHEN {_CLASS} = 'Other' THEN 0.2 ELSE least(0.65, 0.35 + 0.1 * ({_HITS})) END, 4) AS confidence FROM r")
+@Q.add("keyword_classify", _REPORT + f" SELECT id, {_CLASS} AS event_type, {_HITS} AS hits, round((CASE WHEN {_CLASS} = 'Other' THEN 0.2 ELSE least(0.65, 0.35 + 0.1 * ({_HITS})) END)::DOUBLE, 4) AS confidence FROM r")
 def keyword_classify(spark, d):
     r = _reports(spark, d).withColumns({"event_type": X.event_type(F.col("t")), "hits": X.keyword_hits(F.col("t"))})
     return r.select("id", "event_type", "hits", F.round(X.type_confidence(F.col("event_type"), F.col("hits")), 4).alias("confidence"))
@@ -175,7 +175,7 @@ def envelope_validation_reasons(spark, d):
 
 
 @Q.add("normalise_observation", _REPORT + f""", n AS (SELECT r.id, upper(substr(t, 1, 1)) || substr(t, 2) || '. More follows! ' AS content, t, o.received, o.occurred, o.id % 4 = 0 AS stated FROM r JOIN v_observations o USING (id))
-SELECT id, regexp_extract(trim(content), '^(.[^.!?]*[.!?])', 1) AS title, least(occurred, received) AS occurred, CASE WHEN stated THEN 'Sanctions' ELSE {_CLASS} END AS event_type, round(CASE WHEN stated THEN 0.9 WHEN {_CLASS} = 'Other' THEN 0.2 ELSE least(0.65, 0.35 + 0.1 * ({_HITS})) END, 4) AS confidence, CASE WHEN stated THEN 'source-declared' ELSE 'keyword' END AS method FROM n""")
+SELECT id, regexp_extract(trim(content), '^(.[^.!?]*[.!?])', 1) AS title, least(occurred, received) AS occurred, CASE WHEN stated THEN 'Sanctions' ELSE {_CLASS} END AS event_type, round((CASE WHEN stated THEN 0.9 WHEN {_CLASS} = 'Other' THEN 0.2 ELSE least(0.65, 0.35 + 0.1 * ({_HITS})) END)::DOUBLE, 4) AS confidence, CASE WHEN stated THEN 'source-declared' ELSE 'keyword' END AS method FROM n""")
 def normalise_observation(spark, d):
     o = V.observations(spark, d).select("id", "received", "occurred")
     t = _reports(spark, d).select("id", F.concat(F.upper(F.substring("t", 1, 1)), F.lower(F.substr("t", F.lit(2))), F.lit(". More follows! ")).alias("content"))
@@ -258,7 +258,7 @@ def gazetteer_resolve(spark, d):
     return P.resolved(V.observations(spark, d), _lexicon(spark, d)).select("id", "at_lat", "reason")
 
 
-@Q.add("location_confidence", _LEX + " SELECT id, CASE precision WHEN 'Exact' THEN 0.95 WHEN 'Settlement' THEN 0.85 WHEN 'Region' THEN 0.6 ELSE 0.35 END AS confidence FROM j WHERE lat IS NOT NULL")
+@Q.add("location_confidence", _LEX + " SELECT id, CASE precision WHEN 'Exact' THEN 0.95 WHEN 'Settlement' THEN 0.85 WHEN 'Region' THEN 0.6 ELSE 0.35 END::DOUBLE AS confidence FROM j WHERE lat IS NOT NULL")
 def location_confidence(spark, d):
     o = V.observations(spark, d).where("lat is not null")
     return P.resolved(o, _lexicon(spark, d)).select("id", "confidence")
