@@ -6,12 +6,13 @@ and the stretch alone. A point falls on one component of the signature and one w
 document whose weight is above that level. A component keeps its earliest point, so two documents agree on it with
 the probability of their weighted Jaccard similarity. A process stops once it is later than every component.
 
-Documents whose words are the same, in order, are one text. Texts that share a band meet in its bucket; there their
-signatures are compared block by block and only promising pairs leave the task, as spanning forests of the most
-alike. Pairs are verified on the full multisets, and
-classes are the connected components of verified pairs. Buckets above `HOT` texts are dealt out again by pairs of
-bands, which those that are alike share several of; a bucket is read as a stream, with leaders of earlier blocks
-kept beside the current one. No bucket, class or fingerprint list comes to the driver.
+Documents whose words are the same, in order, are one text. Texts that share a band meet in its bucket, and classes
+are the connected components of the promising pairs that hold on the full multisets. They are found in two passes.
+The first only saves work: a bucket is read block by block, with leaders of earlier blocks kept beside the current
+one (above `HOT` texts, by pairs of bands), and spanning forests of the most alike are verified. The second is whole:
+wherever texts of a bucket are still in different components, every block meets every other, each cell of two blocks
+a task's group, and every promising pair is verified there unless verified links join its ends already. A text of
+the bucket's largest component meets only those outside it. No bucket, class or fingerprint list comes to the driver.
 
 Defined cases: a document without words (null, blank) is a class of its own; fewer than five words are one shingle;
 rows are never merged, each comes back with its class; extra columns are ignored here, and kept by `first_of_each`.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinelle.llm import storage, words
@@ -33,6 +34,8 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: Bytes of text at once; texts compared at once in a bucket; leaders kept; forests of a block; texts of a hot bucket.
 STEP, BLOCK, LEADERS, FORESTS, HOT = 4 << 20, 256, 64, 2, 2048
+#: Shingles of a block of the second pass; the estimate above which a pair is promising (it is off by 0.036 at 0.8).
+SHARE, PROMISING = 1 << 19, 0.66
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,32 +107,38 @@ def bands(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, print (null: no words), bands, sig for every row."""
+    """doc_id, row (a key that finds the row again), print (null: no words), n (shingles), bands, sig for every row."""
 
     def run(batches):
-        for batch in words.pieces(batches, text, STEP):
-            counts, prints, doc, value = shingles(batch.column(text))
+        for batch in words.pieces(batches, "text", STEP):
+            counts, prints, doc, value = shingles(batch.column("text"))
             key, sig = bands(signatures(len(counts), *weighted(doc, value)))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * BANDS, pa.int32()), pa.array(key.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(doc_id), pa.array(prints, pa.string()), keys, pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "print", "bands", "sig"]
+                [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.string()), pa.array(np.bincount(doc, minlength=len(counts)), pa.int64()), keys, pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "row", "print", "n", "bands", "sig"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, "doc_id long, print string, bands array<long>, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, print string, n long, bands array<long>, sig binary")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """Never null; rows that share it by chance are told apart by their prints."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def block_pairs(sig: np.ndarray, n_old: int) -> tuple[np.ndarray, np.ndarray]:
     """Promising pairs among signatures, of which the first n_old have met before.
 
-    Estimates are off by 0.036 at 0.8; pairs above 0.66 are promising. Of these, FORESTS spanning forests of greatest
-    estimates leave the block: a pair left out is joined, in each of them, by pairs that look at least as alike.
+    FORESTS spanning forests of greatest estimates leave the block; pairs left out wait for `rest`.
     """
     n = len(sig)
     alike = np.zeros((n, n))
     for a in range(0, n, 32):
         alike[a : a + 32] = (sig[a : a + 32, None] == sig[None]).mean(axis=2)
     alike[:n_old, :n_old] = 0
-    i, j = np.nonzero(np.triu(alike, 1) >= 0.66)
+    i, j = np.nonzero(np.triu(alike, 1) >= PROMISING)
     order = np.argsort(-alike[i, j], kind="stable")
     left = list(zip(i[order].tolist(), j[order].tolist(), strict=True))
     take = []
@@ -152,7 +161,7 @@ def block_pairs(sig: np.ndarray, n_old: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of prints that are worth verifying; `texts` has print, bands and sig, one row a print."""
+    """Distinct pairs (a, b) of prints to verify first, not all; `texts` has print, bands and sig, one row a print."""
     keys = texts.select("print", F.posexplode("bands").alias("band", "key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = keys.join(sizes, "key")
@@ -197,31 +206,159 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Those pairs whose multisets overlap by SIMILAR or more; `pairs` has a, b and the documents that show them."""
-    ends = pairs.select(F.col("a").alias("print"), F.col("id_a").alias("doc_id")).union(pairs.select("b", "id_b")).distinct()
-    shown = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
+def bags(prints: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(print, bag): the sorted multisets of `prints`, read again from a row that shows each."""
+    rows = texts.join(prints.distinct(), "print", "left_semi").select("row").distinct()
+    shown = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text")).join(rows, "row", "left_semi").select("text")
 
     def run(batches):
         for batch in words.pieces(batches, "text", STEP):
-            counts, prints, doc, value = shingles(batch.column("text"))
+            counts, found, doc, value = shingles(batch.column("text"))
             ends = np.searchsorted(doc, np.arange(len(counts) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.string()), pa.array([np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["doc_id", "print", "bag"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["print", "bag"])
+
+    return storage.written(shown.mapInArrow(run, "print string, bag binary").dropDuplicates(["print"]), "bags")
 
-    bags = storage.written(shown.mapInArrow(run, "doc_id long, print string, bag binary").dropDuplicates(["doc_id", "print"]), "bags")
-    side = lambda k: bags.select(F.col("doc_id").alias(f"id_{k}"), F.col("print").alias(k), F.col("bag").alias(f"bag_{k}"))
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Those pairs (a, b) of prints whose multisets overlap by SIMILAR or more."""
+    have = bags(pairs.select(F.col("a").alias("print")).union(pairs.select("b")), texts, docs, doc_id, text)
 
     def compare(batches):
         for batch in words.pieces(batches, "bag_a", STEP):
             good = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR for x, y in zip(batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(side("a"), ["a", "id_a"]).join(side("b"), ["b", "id_b"])
+    both = pairs.join(have.toDF("a", "bag_a"), "a").join(have.toDF("b", "bag_b"), "b")
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(compare, "a string, b string")
 
 
+def cells(texts: DataFrame) -> DataFrame:
+    """(key, band, lo, hi, side, print) of every text in every cell of its buckets; `texts` has a label.
+
+    Buckets of one label have no cells. The largest label of a bucket and all others are cut into blocks by hash; a
+    cell is a block of the others with itself (side 0), or with another block of either kind (sides 0 and 1).
+    """
+    keys = texts.select("print", "label", "n", F.posexplode("bands").alias("band", "key"))
+    labels = keys.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / SHARE)).cast("int")
+    top = labels.groupBy("key").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    top = top.select("key", F.col("top.label").alias("largest"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("m"), blocks(F.col("top.c"), F.col("top.s")).alias("of_largest"))
+    apart = F.col("label") != F.col("largest")
+    members = keys.join(top, "key").withColumn("at", F.when(apart, F.pmod(F.xxhash64("print"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("print"), "of_largest")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("m") + F.col("of_largest")).otherwise(F.col("m")) - 1)))
+    return members.select("key", "band", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), (F.col("at") > F.col("other")).cast("int").alias("side"), "print")
+
+
+def cell_pairs(rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Promising pairs of a cell, most alike first: labels that differ, and no band before this one in common, so that
+    a pair is taken up in one bucket alone."""
+    side, band = np.array(rows["side"]), rows["band"][0]
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, SIZE)
+    label = np.unique(np.array(rows["label"], object), return_inverse=True)[1]
+    keys = np.array([k[:band] for k in rows["bands"]], np.int64).reshape(len(sig), band)
+    within = rows["lo"][0] == rows["hi"][0]
+    left, right = (np.arange(len(sig)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    found = []
+    for k in range(0, len(left), 32):
+        rows_at = left[k : k + 32]
+        alike = np.count_nonzero(sig[rows_at, None] == sig[None, right], axis=2)
+        x, y = np.nonzero((alike >= PROMISING * SIZE) & (label[rows_at, None] != label[None, right]))
+        i, j, alike = rows_at[x], right[y], alike[x, y]
+        if within:
+            i, j, alike = i[i < j], j[i < j], alike[i < j]
+        first = np.ones(len(i), bool)
+        for b in range(band):
+            first &= keys[i, b] != keys[j, b]
+        found.append((i[first], j[first], alike[first]))
+    i, j, alike = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(-alike, kind="stable")
+    return i[order], j[order]
+
+
+def cell_links(rows: dict[str, list]) -> list[tuple[int, int]]:
+    """A spanning forest, over the labels, of the cell's promising pairs whose multisets overlap by SIMILAR or more."""
+    bag = [np.frombuffer(b, np.uint64) for b in rows["bag"]]
+    # As sets: the k-th time of a shingle is an element of its own.
+    size = np.array([len(b) for b in bag])
+    flat = np.concatenate(bag)
+    starts = np.ones(len(flat), bool)
+    starts[1:] = flat[1:] != flat[:-1]
+    starts[(np.cumsum(size) - size)[size > 0]] = True
+    nth = np.arange(len(flat)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    element = np.unique(np.where(nth == 0, flat, mix(flat + nth.astype(np.uint64) * _MULT)), return_inverse=True)[1]
+    element = np.split(element, np.cumsum(size)[:-1])
+    mark = np.zeros(len(flat) + 1, bool)
+    name = np.unique(np.array(rows["label"], object), return_inverse=True)[1]
+    root = list(range(len(bag)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links, shown = [], -1
+    for i, j in zip(*(x.tolist() for x in cell_pairs(rows)), strict=True):
+        a, b = find(name[i]), find(name[j])
+        if a == b or min(size[i], size[j]) < SIMILAR * max(size[i], size[j]):
+            continue
+        if i != shown:
+            if shown >= 0:
+                mark[element[shown]] = False
+            mark[element[i]] = True
+            shown = i
+        both = int(np.count_nonzero(mark[element[j]]))
+        if both >= SIMILAR * (size[i] + size[j] - both):
+            root[a] = b
+            links.append((i, j))
+    return links
+
+
+def by_cell(frame: DataFrame, work, schema: str) -> DataFrame:
+    """`work` (from a cell's columns to a batch) over every cell of `frame`; cells are whole in their task."""
+    names = frame.columns
+
+    def run(batches):
+        at, rows = None, {}
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in ("key", "lo", "hi")), strict=True))
+            columns = [batch.column(k).to_pylist() for k in names]
+            begin = 0
+            for end in range(1, len(key) + 1):
+                if end < len(key) and key[end] == key[begin]:
+                    continue
+                if key[begin] != at:
+                    if rows:
+                        yield work(rows)
+                    at, rows = key[begin], {k: [] for k in names}
+                for k, column in zip(names, columns, strict=True):
+                    rows[k] += column[begin:end]
+                begin = end
+        if rows:
+            yield work(rows)
+
+    return frame.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "print").mapInArrow(run, schema)
+
+
+def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) that join all labels of `texts` which promising, verified pairs join; `texts` has a label."""
+    at = ["key", "band", "lo", "hi", "side", "print"]
+
+    def promising(rows):
+        met = np.unique(np.concatenate(cell_pairs(rows))).tolist()
+        return pa.RecordBatch.from_pylist([{k: rows[k][m] for k in at} for m in met], schema=shape)
+
+    def links(rows):
+        found = cell_links(rows)
+        return pa.RecordBatch.from_arrays([pa.array([rows["print"][p[k]] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    shape = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("print", pa.string())])
+    known = texts.select("print", "label", "bands", "sig")
+    met = storage.written(by_cell(cells(texts).join(known, "print"), promising, "key long, band int, lo int, hi int, side int, print string"), "met")
+    have = bags(met.select("print"), texts, docs, doc_id, text)
+    return by_cell(met.join(known, "print").join(have, "print"), links, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(print, least): every linked print and the least print of its component, by least neighbours and pointer jumps."""
     edges = storage.written(links.union(links.select("b", "a")).toDF("v", "to"), "edges")
@@ -240,13 +377,14 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, print and class_id (the least doc_id of its class)."""
     rows = storage.written(sketch(docs, doc_id, text), "sketches")
-    texts = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
-    # A null id cannot lead back to its text, but equal prints have equal sketches, so any row shows them.
-    texts = storage.written(texts, "texts")
-    pairs = storage.written(candidates(texts), "pairs")
+    # Equal prints have equal sketches, so any row shows them.
+    shown = [F.min_by(c, "row").alias(c) for c in ("n", "bands", "sig")]
+    texts = storage.written(rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *shown), "texts")
     ids = texts.select("print", "doc_id")
-    pairs = pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
-    linked = components(storage.written(verified(pairs, docs, doc_id, text), "links")).join(ids, "print")
+    links = storage.written(verified(storage.written(candidates(texts), "pairs"), texts, docs, doc_id, text), "links")
+    labelled = texts.join(components(links), "print", "left").withColumn("label", F.coalesce("least", "print")).drop("least", "doc_id")
+    more = storage.written(rest(storage.written(labelled, "labelled"), docs, doc_id, text), "rest")
+    linked = components(links.union(more)).join(ids, "print")
     heads = linked.groupBy("least").agg(F.min("doc_id").alias("class_id"))
     linked = linked.join(heads, "least").select("print", "class_id")
     own = ids.join(linked, "print", "left").select("print", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -98,3 +98,41 @@ def test_query_against_all_pairs_on_the_small_table(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     got = op9_near_duplicates(spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == brute(docs)
+
+
+def classes_by_matrix(texts):
+    """The least place of each text's component over all pairs; for many texts of which no shingle repeats in one."""
+    bags = [set(bag(t)) for t in texts]
+    n = Counter(s for b in bags for s in b)
+    column = {s: k for k, s in enumerate(s for s in n if n[s] > 1)}
+    held = np.zeros((len(bags), len(column)), np.float32)
+    for i, b in enumerate(bags):
+        held[i, [column[s] for s in b if s in column]] = 1
+    size = np.array([len(b) for b in bags])
+    least = np.arange(len(bags))
+    both = held @ held.T
+    linked = both >= 0.8 * (size[:, None] + size[None] - both) - 1e-3
+    while True:
+        after = np.array([least[row].min() for row in linked])
+        if (after == least).all():
+            return least.tolist()
+        least = after
+
+
+def spread(r, words, edits):
+    """`edits` words changed, so far apart that each breaks five shingles."""
+    words = list(words)
+    step = len(words) // edits
+    for k in range(edits):
+        words[k * step + 4 + r.randrange(step - 9)] = f"new{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_a_star_of_copies_that_are_near_to_the_original_only(spark):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)] + [spread(r, base, 4) for _ in range(3000)]
+    want = classes_by_matrix(texts)
+    assert set(want) == {0}
+    got = bagmin.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
