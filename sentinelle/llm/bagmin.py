@@ -15,7 +15,9 @@ a task's group, and every promising pair is verified there unless verified links
 the bucket's largest component meets only those outside it. No bucket, class or fingerprint list comes to the driver.
 
 Defined cases: a document without words (null, blank) is a class of its own; fewer than five words are one shingle;
-rows are never merged, each comes back with its class; extra columns are ignored here, and kept by `first_of_each`.
+rows are never merged, each comes back with its class; a null id comes after all others, and texts under null ids are
+linked like any; different texts under one id are different classes with one class_id, told apart by class_print;
+extra columns are ignored here, and kept by `first_of_each`.
 """
 
 from __future__ import annotations
@@ -375,7 +377,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, print and class_id (the least doc_id of its class)."""
+    """One row for each document: doc_id, print, and its class: class_id (the least doc_id) and class_print (the least
+    print that shows it)."""
     rows = storage.written(sketch(docs, doc_id, text), "sketches")
     # Equal prints have equal sketches, so any row shows them.
     shown = [F.min_by(c, "row").alias(c) for c in ("n", "bands", "sig")]
@@ -385,18 +388,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     labelled = texts.join(components(links), "print", "left").withColumn("label", F.coalesce("least", "print")).drop("least", "doc_id")
     more = storage.written(rest(storage.written(labelled, "labelled"), docs, doc_id, text), "rest")
     linked = components(links.union(more)).join(ids, "print")
-    heads = linked.groupBy("least").agg(F.min("doc_id").alias("class_id"))
-    linked = linked.join(heads, "least").select("print", "class_id")
-    own = ids.join(linked, "print", "left").select("print", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return rows.select("doc_id", "print").join(own, "print", "left").select("doc_id", "print", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # A class is named by its least (doc_id, print), null ids last: two texts under one id stay two classes.
+    heads = linked.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("head"))
+    linked = linked.join(heads, "least").select("print", F.struct("head.doc_id", "head.print").alias("head"))
+    own = ids.join(linked, "print", "left").select("print", F.coalesce("head", F.struct("doc_id", "print")).alias("head"))
+    found = rows.select("doc_id", "print").join(own, "print", "left").withColumn("head", F.coalesce("head", F.struct("doc_id", "print")))
+    return found.select("doc_id", "print", F.col("head.doc_id").alias("class_id"), F.col("head.print").alias("class_print"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row for each class: the one with the least id. Documents without words all stay."""
+    """`docs` with one row for each class: the one with the least id and, of that id, the least print. Documents
+    without words all stay."""
     found = classes(docs, doc_id, text)
-    stay = storage.written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.count("*").alias("_n")), "stay")
-    # Of a class the least print stands for rows that share the least id.
-    stay = stay.groupBy("_id").agg(F.min("_print").alias("_print"))
+    stay = storage.written(found.where("class_print is not null").select(F.col("class_id").alias("_id"), F.col("class_print").alias("_head")).distinct(), "stay")
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_print", T.StringType())])
@@ -408,5 +412,5 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     marked = docs.mapInArrow(run, schema)
     blank = marked.where("_print is null")
-    first = marked.where("_print is not null").join(stay.where("_print is not null").select(F.col("_id").alias(doc_id), "_print"), [doc_id, "_print"], "left_semi").dropDuplicates([doc_id, "_print"])
+    first = marked.join(stay, (F.col("_print") == F.col("_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_print"])
     return first.select(*docs.columns).unionByName(blank.select(*docs.columns))

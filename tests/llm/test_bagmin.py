@@ -136,3 +136,14 @@ def test_a_star_of_copies_that_are_near_to_the_original_only(spark):
     assert set(want) == {0}
     got = bagmin.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
+def test_null_ids_and_one_id_with_two_texts_lose_nothing(spark):
+    r = random.Random(5)
+    one, two, three, four = ([f"{c}{k}" for k in range(60)] for c in "abcd")
+    rows = [(None, " ".join(one)), (None, near(r, one, 1)), (None, " ".join(two)), (None, " ".join(two)), (7, " ".join(three)), (7, " ".join(four)), (8, near(r, four, 1)), (None, near(r, three, 1)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(k.doc_id, k.text and k.text[0]) for k in bagmin.first_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (7, "c"), (7, "d"), (None, None)], key=str)
+    found = {k.print: (k.class_id, k.class_print) for k in bagmin.classes(docs).collect() if k.print}
+    assert sorted(Counter(found.values()).values()) == [1, 2, 2, 2]
