@@ -343,7 +343,7 @@ def by_cell(frame: DataFrame, work, schema: str) -> DataFrame:
 
 
 def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) that join all labels of `texts` which promising, verified pairs join; `texts` has a label."""
+    """Distinct links (a, b) between the labels of `texts`: they join all that promising, verified pairs join."""
     at = ["key", "band", "lo", "hi", "side", "print"]
 
     def promising(rows):
@@ -352,13 +352,13 @@ def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     def links(rows):
         found = cell_links(rows)
-        return pa.RecordBatch.from_arrays([pa.array([rows["print"][p[k]] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([pick(rows["label"][i], rows["label"][j]) for i, j in found], pa.string()) for pick in (min, max)], names=["a", "b"])
 
     shape = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("print", pa.string())])
     known = texts.select("print", "label", "bands", "sig")
     met = storage.written(by_cell(cells(texts).join(known, "print"), promising, "key long, band int, lo int, hi int, side int, print string"), "met")
     have = bags(met.select("print"), texts, docs, doc_id, text)
-    return by_cell(met.join(known, "print").join(have, "print"), links, "a string, b string")
+    return by_cell(met.join(known, "print").join(have, "print"), links, "a string, b string").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -386,8 +386,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ids = texts.select("print", "doc_id")
     links = storage.written(verified(storage.written(candidates(texts), "pairs"), texts, docs, doc_id, text), "links")
     labelled = texts.join(components(links), "print", "left").withColumn("label", F.coalesce("least", "print")).drop("least", "doc_id")
-    more = storage.written(rest(storage.written(labelled, "labelled"), docs, doc_id, text), "rest")
-    linked = components(links.union(more)).join(ids, "print")
+    labelled = storage.written(labelled, "labelled")
+    more = components(storage.written(rest(labelled, docs, doc_id, text), "rest")).toDF("label", "least")
+    linked = labelled.select("print", "label").join(more, "label", "left").select("print", F.coalesce("least", "label").alias("least")).join(ids, "print")
     # A class is named by its least (doc_id, print), null ids last: two texts under one id stay two classes.
     heads = linked.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("head"))
     linked = linked.join(heads, "least").select("print", F.struct("head.doc_id", "head.print").alias("head"))

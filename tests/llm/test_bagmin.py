@@ -138,6 +138,16 @@ def test_a_star_of_copies_that_are_near_to_the_original_only(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
 
+def test_links_that_look_less_alike_than_others_are_kept(spark):
+    texts = []
+    for g in range(3):
+        r = random.Random(g)
+        base = [f"g{g}w{k}" for k in range(200)]
+        texts += [near(r, base, 3 if g < 2 else 4) for _ in range(200)]
+    got = bagmin.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(classes_by_matrix(texts)))
+
+
 def test_null_ids_and_one_id_with_two_texts_lose_nothing(spark):
     r = random.Random(5)
     one, two, three, four = ([f"{c}{k}" for k in range(60)] for c in "abcd")
