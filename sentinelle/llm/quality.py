@@ -4,8 +4,9 @@ Text metrics are built-in array and string functions over the whole text; `Rule`
 range it must keep, and `verdict` turns the table into a single boolean expression. No user function runs.
 
 Defined cases: a null or blank text has no words (every count 0, base rules fail); a text without enough words
-for a ratio gets ratio 0; repeated rows are judged one by one; extra columns pass through, and the metric
-columns are added under a prefix so that they clash with none of them.
+for a ratio gets ratio 0; repeated rows are judged one by one; extra columns pass through, and metrics come under a
+prefix, where they replace columns of the same names (name another prefix to keep both); `kept` returns its input's
+columns untouched, whatever their names. Equal windows are found by 64-bit hashes and then compared word by word.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentinelle.llm import storage
+
 WHITE = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
 # Frequent function words of English, French, German and Spanish.
-STOP_WORDS = (
-    "the of and to in is it that was for on are with as by be this at from or an a "
-    "le la les de des du et en un une que qui dans pour sur au "
-    "der die das und den von zu im mit sich des auf für ist ein eine nicht "
-    "el los las que y por con para una se del es no lo"
-)
+STOP_WORDS = """
+the of and to in is it that was for on are with as by be this at from or an a
+le la les de des du et en un une que qui dans pour sur au
+der die das und den von zu im mit sich des auf für ist ein eine nicht
+el los las que y por con para una se del es no lo
+"""
 
 
 @dataclass(frozen=True)
@@ -54,27 +57,19 @@ def with_metrics(docs: DataFrame, text: str = "text", p: str = "q_") -> DataFram
 
     Each array is made in a projection of its own, so that the ones after it read it instead of making it again.
     """
-    t, words, grams, seen, bits = F.coalesce(F.col(text), F.lit("")), F.col(f"{p}words"), F.col(f"{p}grams"), F.col(f"{p}seen"), f"{p}bits"
+    t, words, grams, seen = F.coalesce(F.col(text), F.lit("")), F.col(f"{p}words"), F.col(f"{p}grams"), F.col(f"{p}seen")
     body = F.btrim(t, F.lit(WHITE))
     out = docs.withColumn(f"{p}words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, GAP)))
-    # A window is one long: the bits that its position needs, and above them the bits of its hash.
-    out = out.withColumn(bits, F.greatest(F.lit(1), F.ceil(F.log2(F.size(words) + 1))).cast("int"))
-    place = lambda g, i: F.call_function("shiftleft", g, F.col(bits)).bitwiseOR(i.cast("long"))
-    near = lambda s, k: F.call_function("shiftrightunsigned", s.bitwiseXOR(F.get(grams, k)), F.col(bits)) == 0
-    out = out.withColumn(
-        f"{p}grams",
-        F.sort_array(F.slice(F.transform(words, lambda w, i: place(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), i)), 1, F.greatest(F.size(words) - 2, F.lit(0)))),
-    )
-    # Equal windows stand side by side once sorted.
-    out = out.withColumn(
-        f"{p}seen",
-        F.sort_array(
-            F.transform(
-                F.filter(grams, lambda s, k: near(s, k - 1) | near(s, k + 1)),
-                lambda s: s.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1),
-            )
-        ),
-    )
+    # A window is the hash of its words and its place; equal windows stand side by side once sorted.
+    window = lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.cast("long").alias("i"))
+    out = out.withColumn(f"{p}grams", F.sort_array(F.slice(F.transform(words, window), 1, F.greatest(F.size(words) - 2, F.lit(0)))))
+
+    def same(a: Column, b: Column) -> Column:
+        word = [F.get(words, a.i + k) == F.get(words, b.i + k) for k in range(3)]
+        return (a.h == b.h) & word[0] & word[1] & word[2]
+
+    twice = F.filter(grams, lambda s, k: same(s, F.get(grams, k - 1)) | same(s, F.get(grams, k + 1)))
+    out = out.withColumn(f"{p}seen", F.sort_array(F.transform(twice, lambda s: s.i)))
     covered = F.aggregate(
         seen,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
@@ -92,7 +87,7 @@ def with_metrics(docs: DataFrame, text: str = "text", p: str = "q_") -> DataFram
             f"{p}n_stops": n_stops.cast("long"),
             f"{p}lines": lines,
         }
-    ).drop(f"{p}words", f"{p}grams", f"{p}seen", bits)
+    ).drop(f"{p}words", f"{p}grams", f"{p}seen")
     kept = F.col(f"{p}lines")
     return out.withColumns({f"{p}n_lines": F.size(kept).cast("long"), f"{p}n_dup_lines": (F.size(kept) - F.size(F.array_distinct(kept))).cast("long")}).drop(f"{p}lines")
 
@@ -135,12 +130,13 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, p: str = "q_") -> Da
     return out.withColumn(f"{p}base_failed", base_failed(p)).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.size(f"{p}failed") == 0))
 
 
-def kept(docs: DataFrame, text: str = "text", rules=RULES, p: str = "q_") -> DataFrame:
+def kept(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of `docs` that pass, with its columns alone.
 
     A filter on an expression this large would be pushed below the projections that make its arrays, and make them
     again for each element. The verdict therefore passes through a generator, which no filter is pushed below.
     """
+    p = storage.free(docs, "q_")
     judged = judge(docs, text, rules, p)
     mark = F.explode_outer(F.when(F.col(f"{p}kept"), F.array(F.lit(True)))).alias(f"{p}pass")
     return judged.select(*docs.columns, mark).where(F.col(f"{p}pass").isNotNull()).select(*docs.columns)

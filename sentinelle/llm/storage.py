@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +23,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch, so that long texts make short batches, and what a session that sets none has.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+DEFAULT_BYTES = "67108864b"
+
+
+def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """`frame.mapInArrow` with batches bounded by bytes as well as by rows, unless the session says how large."""
+    name, most = BATCH_BYTES
+    conf = frame.sparkSession.conf
+    if conf.get(name) == DEFAULT_BYTES:
+        conf.set(name, str(most))
+    return frame.mapInArrow(run, schema)
+
+
+def free(frame: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `frame` begins so."""
+    while any(c.lower().startswith(name.lower()) for c in frame.columns):
+        name = "_" + name
+    return name
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """`frame` as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = frame.sparkSession
