@@ -56,7 +56,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             }
             yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
-    return storage.written(docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(shards, INDEX), "postings")
+    return storage.written(storage.mapped(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), shards, INDEX), "postings")
 
 
 SCHEMA = pa.schema(
@@ -132,7 +132,13 @@ class Shard:
         if not len(terms) or (terms < 0).any():
             return np.zeros(0, np.int64)
         lists = sorted((self.positions[self.list_at[t] : self.list_at[t + 1]].astype(np.int64) for t in terms), key=len)
-        start = np.unique(np.concatenate([x for x in (lists[0][:, None] - np.arange(width)).T]))
+        step = max(1, STARTS // width)
+        found = [self._near(lists, lists[0][k : k + step], width) for k in range(0, len(lists[0]), step)]
+        return np.unique(np.concatenate(found))
+
+    def _near(self, lists: list[np.ndarray], rarest: np.ndarray, width: int) -> np.ndarray:
+        """The starts whose window has one of the positions `rarest`."""
+        start = np.unique(rarest[:, None] - np.arange(width))
         ok = np.zeros(len(start), bool)
         last = np.zeros(len(start), np.int64)
         for one in lists:
@@ -146,10 +152,11 @@ class Shard:
         return start[self.same_doc(start, last)]
 
 
-def blocks(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], list[str]]]:
-    """The test set block by block: its vocabulary, and for each phrase length (phrases, their items, their segments).
+def blocks(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list[str]]]:
+    """The test set block by block: its vocabulary, for each phrase length (phrases, their items), and the items' ids.
 
-    Items are first cut into overlapping segments of bounded length, so that no single item exceeds a block.
+    Items are cut into overlapping segments of bounded length, and equal segments of an item are one, so that no item
+    exceeds a block. Segments are dealt into buckets by hash; buckets are put together up to BLOCK_WORDS words.
     """
     step = 2048
 
@@ -165,11 +172,20 @@ def blocks(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[t
                         out.append({"item": item, "words": seg.to_pylist(), "n": len(seg)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item", pa.string()), ("words", pa.list_(pa.binary())), ("n", pa.int64())]))
 
-    cut = storage.written(items.select(F.col(item_id).cast("string").alias(item_id), text).mapInArrow(segments, "item string, words array<binary>, n long"), "segments")
+    segmented = storage.mapped(items.select(F.col(item_id).cast("string").alias(item_id), text), segments, "item string, words array<binary>, n long")
+    cut = storage.written(segmented.distinct(), "segments")
     total = cut.agg(F.sum("n")).first()[0] or 0
-    n = -(-total // BLOCK_WORDS)
-    for b in range(n):
-        rows = cut.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b).collect()
+    bucket = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, 8 * total // BLOCK_WORDS)))
+    dealt: list[list[int]] = []
+    room = 0
+    for r in cut.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n")).orderBy("k").collect():
+        if r.n > room:
+            dealt.append([])
+            room = BLOCK_WORDS
+        dealt[-1].append(r.k)
+        room -= r.n
+    for mine in dealt:
+        rows = cut.where(bucket.isin(mine)).collect()
         which, vocabulary = words.distinct(pa.array([w for r in rows for w in r.words], pa.binary()))
         names = sorted({r.item for r in rows})
         number = {x: i for i, x in enumerate(names)}
@@ -211,8 +227,8 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
             vocabulary, by, names = shared.value
             vocabulary, names = pa.array(vocabulary, pa.binary()), pa.array(names, pa.string())
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row)
+                for at in range(batch.num_rows):
+                    shard = Shard(batch.slice(at, 1).to_pylist()[0])
                     number = shard.numbers(vocabulary)
                     for k, (grams, item) in by.items():
                         if slop is None:
@@ -229,7 +245,7 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
                         columns += [pc.take(names, pa.array(who, pa.int64())), pa.array(start - base, pa.int64()), pa.array(stop - base, pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc", "doc_id", "item_id", "start", "stop"])
 
-        part = index.mapInArrow(run, MATCHES)
+        part = storage.mapped(index, run, MATCHES)
         found = part if found is None else found.union(part)
     return found if found is not None else spark.createDataFrame([], MATCHES)
 
