@@ -35,11 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items contaminate go."""
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    index = decontam.build_index(marked, "_key")
+    key = storage.free(docs, "_key")
+    marked = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    index = decontam.build_index(marked, key)
     judged = decontam.judged(index, decontam.search(index, table(spark, sf_dir, "benchmark")))
-    bad = storage.written(judged.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return marked.join(F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad, "_key", "left_anti").select(*docs.columns)
+    bad = storage.written(judged.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return marked.join(F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad, key, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
