@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, print string, n long, bands array<long>, sig binary")
+    return storage.mapped(rows, run, "doc_id long, row long, print string, n long, bands array<long>, sig binary")
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -195,7 +195,7 @@ def candidates(texts: DataFrame) -> DataFrame:
         if len(prints) > max(old, 1):
             yield flush()
 
-    return rows.select("key", "print", "sig").mapInArrow(run, "a string, b string").distinct()
+    return storage.mapped(rows.select("key", "print", "sig"), run, "a string, b string").distinct()
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -219,7 +219,7 @@ def bags(prints: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str = "do
             ends = np.searchsorted(doc, np.arange(len(counts) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([np.sort(value[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["print", "bag"])
 
-    return storage.written(shown.mapInArrow(run, "print string, bag binary").dropDuplicates(["print"]), "bags")
+    return storage.written(storage.mapped(shown, run, "print string, bag binary").dropDuplicates(["print"]), "bags")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str =
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(have.toDF("a", "bag_a"), "a").join(have.toDF("b", "bag_b"), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(compare, "a string, b string")
+    return storage.mapped(both.select("a", "b", "bag_a", "bag_b"), compare, "a string, b string")
 
 
 def cells(texts: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def by_cell(frame: DataFrame, work, schema: str) -> DataFrame:
         if rows:
             yield work(rows)
 
-    return frame.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "print").mapInArrow(run, schema)
+    return storage.mapped(frame.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "print"), run, schema)
 
 
 def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,7 +411,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             prints = shingles(batch.column(text))[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[f.name for f in schema.fields])
 
-    marked = docs.mapInArrow(run, schema)
+    marked = storage.mapped(docs, run, schema)
     blank = marked.where("_print is null")
     first = marked.join(stay, (F.col("_print") == F.col("_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_print"])
     return first.select(*docs.columns).unionByName(blank.select(*docs.columns))

@@ -11,7 +11,8 @@ A list too long for `MAX_BYTES` is dealt into shards by hash, each with a cascad
 shard; shards are broadcast one after another. Membership needs no join.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and matches nothing; an empty list or an
-empty universe gives a cascade that lists nothing; repeated URLs are judged one by one; extra columns pass through.
+empty universe gives a cascade that lists nothing; repeated URLs are judged one by one; extra columns pass through,
+but for those of the names that `judge` gives its own.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def build_filter(keys: DataFrame, n: int, rate: float, salt: int) -> Filter:
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    rows = keys.select("key").mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = storage.mapped(keys.select("key"), marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(n_words, np.uint64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(words, hashes, salt)
@@ -106,7 +107,7 @@ def passing(keys: DataFrame, level: Filter) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.has(batch.column("key").to_numpy())))
 
-    return keys.mapInArrow(run, "key long")
+    return storage.mapped(keys, run, "key long")
 
 
 def build(listed: DataFrame, universe: DataFrame) -> Cascade:
@@ -162,7 +163,7 @@ def with_membership(rows: DataFrame, cascades: list[Cascade], keys: str, out: st
                 rest = [batch.column(f.name) for f in schema.fields if f.name != out]
                 yield pa.RecordBatch.from_arrays([*rest, column], names=[f.name for f in schema.fields if f.name != out] + [out])
 
-        rows = rows.mapInArrow(run, schema)
+        rows = storage.mapped(rows, run, schema)
     return rows
 
 
@@ -175,37 +176,40 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(has, host).otherwise(""), F.when(has, path).otherwise("")
 
 
-def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
+def rule_keys(host: Column, path: Column, labels: list[int], path_lengths: list[int]) -> Column:
     """Every (host, path start) that a rule fitting the URL could have, longest first.
 
-    Hosts are the host and its parent domains; path starts are those of the lengths that some rule has.
+    Hosts are the host's last labels, as many as some rule has; path starts are of the lengths that some rule has. A
+    URL thus has as many keys as rules have shapes, however long it is.
     """
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in path_lengths]), lambda n: F.when(F.length(path) >= n, F.substring(path, F.lit(1), n))))
-    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(F.array_compact(starts), lambda s: F.struct(F.length(F.concat(h, s)).alias("n"), h.alias("host"), s.alias("path")))))
-    return F.when(host == "", F.array().cast("array<struct<n:int,host:string,path:string>>")).otherwise(F.reverse(F.array_sort(pairs)))
+    kind = "array<struct<n:int,host:string,path:string>>"
+    hosts = F.array_distinct(F.array(*[F.substring_index(host, ".", -n) for n in labels]))
+    starts = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths]))
+    pairs = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda s: F.struct(F.length(F.concat(h, s)).alias("n"), h.alias("host"), s.alias("path"))))).cast(kind)
+    return F.when(host == "", F.array().cast(kind)).otherwise(F.reverse(F.array_sort(pairs))) if labels else F.array().cast(kind)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """`pages` with host, path, rule and verdict.
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", names: tuple[str, str, str, str] = ("host", "path", "rule", "verdict")) -> DataFrame:
+    """`pages` with host, path, rule and verdict under `names`, which replace columns of these names.
 
     `rules` are (verdict, host, path start). Two cascades, over all candidate keys of the corpus, hold the rules that
     block and those that allow; the longest candidate that either lists decides. A URL that none lists is allowed.
     """
-    lengths = sorted({len(p) for _, _, p in rules})
+    p = storage.free(pages, "_url_")
+    pairs, keys, at = (f"{p}{x}" for x in ("pairs", "keys", "at"))
+    lengths, labels = sorted({len(start) for _, _, start in rules}), sorted({host.count(".") + 1 for _, host, _ in rules})
     host, path = host_and_path(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path}).withColumn("_pairs", rule_keys(F.col("host"), F.col("path"), lengths))
-    rows = rows.withColumn("_keys", F.transform("_pairs", lambda p: key(p.host, p.path)))
-    universe = storage.written(rows.select(F.explode("_keys").alias("key")).distinct(), "universe")
+    rows = pages.withColumns({names[0]: host, names[1]: path}).withColumn(pairs, rule_keys(F.col(names[0]), F.col(names[1]), labels, lengths))
+    rows = rows.withColumn(keys, F.transform(pairs, lambda x: key(x.host, x.path)))
+    universe = storage.written(rows.select(F.explode(keys).alias("key")).distinct(), "universe")
     for verdict in ("block", "allow"):
-        mine = [(h, p) for v, h, p in rules if v == verdict]
+        mine = [(h, start) for v, h, start in rules if v == verdict]
         listed = pages.sparkSession.createDataFrame(mine, "host string, path string").select(key(F.col("host"), F.col("path")).alias("key"))
-        rows = with_membership(rows, build_sharded(listed, universe), "_keys", f"_{verdict}")
-    hit = F.array_position(F.transform(F.arrays_zip("_block", "_allow"), lambda x: x["_block"] | x["_allow"]), F.lit(True))
-    rows = rows.withColumn("_at", hit.cast("int"))
+        rows = with_membership(rows, build_sharded(listed, universe), keys, f"{p}{verdict}")
+    block, allow = F.col(f"{p}block"), F.col(f"{p}allow")
     # array_position counts from 1 and gives 0 for none.
-    found = F.get("_pairs", F.col("_at") - 1)
-    rule = F.when(F.col("_at") > 0, F.concat(found.host, found.path))
-    verdict = F.when((F.col("_at") > 0) & F.get("_block", F.col("_at") - 1) & ~F.get("_allow", F.col("_at") - 1), "block").otherwise("allow")
-    return rows.withColumns({"rule": rule, "verdict": verdict}).drop("_pairs", "_keys", "_block", "_allow", "_at")
+    rows = rows.withColumn(at, F.array_position(F.zip_with(block, allow, lambda b, a: b | a), F.lit(True)).cast("int"))
+    found = F.get(pairs, F.col(at) - 1)
+    rule = F.when(F.col(at) > 0, F.concat(found.host, found.path))
+    verdict = F.when((F.col(at) > 0) & F.get(block, F.col(at) - 1) & ~F.get(allow, F.col(at) - 1), "block").otherwise("allow")
+    return rows.withColumns({names[2]: rule, names[3]: verdict}).drop(pairs, keys, f"{p}block", f"{p}allow", at)

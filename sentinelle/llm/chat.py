@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinelle.llm import storage
+
 # The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
 _REST = "|".join(f"{re.escape(c[0])}(?P<b{i}>\\\\*){re.escape(c[1:])}" for i, c in enumerate(CONTROL))
@@ -120,7 +122,7 @@ def render(events: DataFrame) -> DataFrame:
 
         yield from _batches(turns(), _OUT)
 
-    return log.mapInArrow(fold, SEGMENTS)
+    return storage.mapped(log, fold, SEGMENTS)
 
 
 _SUM = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -154,7 +156,7 @@ def digests(segments: DataFrame) -> DataFrame:
 
         yield from _batches(conversations(), _SUM)
 
-    return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return storage.mapped(ordered, read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def formatted(segments: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ products of piece probabilities over all its segmentations, by the forward recur
 opens a word begins with a mark, so segmentations never cross words: the sum of a text is the product of the sums
 of its words, and each distinct word needs one lattice.
 
-Words are counted over all documents. The most frequent (at most `HEAD`, a fixed bound) are broadcast with their
-counts and scores; all others meet their documents in a join keyed by word, where by construction no key is hot.
+Words are counted over all documents. The most frequent in all of them (at most `HEAD`, a fixed bound) are broadcast
+with their counts and scores; all others meet their documents in a join keyed by word, where none has more than a
+`HEAD`-th of the occurrences.
 
 Defined cases: null is the empty text (only the end is scored); a word outside the vocabulary is spelled with byte
-pieces, so every score is finite; repeated rows are scored one by one; with no training documents every count is 0
-and the piece probabilities stay the vocabulary's own.
+pieces, so every score is finite; a word of any length is scored, part by part beyond `LONG` bytes; repeated rows are
+scored one by one; with no training documents every count is 0 and the piece probabilities stay the vocabulary's own.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from sentinelle.llm import storage, words
 
-#: Longest piece in bytes, lattice cells at once, bytes of text at once, words broadcast, added count of a piece.
-WIDEST, CELLS, STEP, HEAD, ADDED = 16, 1 << 16, 16 << 20, 200_000, 0.1
+#: Places of lattices at once, bytes of text at once, words broadcast, added count of a piece.
+CELLS, STEP, HEAD, ADDED = 1 << 16, 4 << 20, 200_000, 0.1
+#: A word of more bytes goes through its lattice alone, PART places at once.
+LONG, PART = 256, 1 << 16
 #: Stands for the mark that opens a word; no UTF-8 text has this byte.
 MARK = b"\xff"
 _ODD, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
@@ -46,7 +49,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         piece = sp.id_to_piece(i)
         raw = bytes([int(piece[1:-1], 16)]) if sp.is_byte(i) else piece.encode("utf-8").replace("▁".encode(), MARK)
-        if len(raw) <= WIDEST and MARK not in raw[1:] and raw not in found:
+        if MARK not in raw[1:] and raw not in found:
             found[raw] = 1.0 / (10.0 - sp.get_score(i) if not sp.is_byte(i) else 1e6)
     for b in range(256):
         found.setdefault(bytes([b]), 1e-6)
@@ -59,6 +62,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.log_p = np.append(log_p, -np.inf)
+        self.widest = max(map(len, pieces))
         self.keys = np.array([self._key(p) for p in pieces], np.uint64)
         self.rounds: list[tuple[np.ndarray, np.ndarray]] = []
         left = np.arange(len(pieces))
@@ -91,18 +95,19 @@ class Pieces:
 
 def lattices(text: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words of one length (rows of bytes): piece numbers by (word, end, width from wide to narrow), their log
-    probabilities, and the forward sums by (word, end) behind WIDEST columns of nothing."""
+    probabilities, and the forward sums by (word, end) behind as many columns of nothing as the widest piece."""
     n, length = text.shape
-    number = np.full((n, length + 1, WIDEST), -1, np.int32)
+    widest = min(pieces.widest, length)
+    number = np.full((n, length + 1, widest), -1, np.int32)
     key = np.zeros((n, length + 1), np.uint64)
-    for w in range(1, min(WIDEST, length) + 1):
+    for w in range(1, widest + 1):
         key = key[:, : length - w + 1] * _ODD + text[:, w - 1 :] + np.uint64(1)
-        number[:, w:, WIDEST - w] = pieces.find(key)
+        number[:, w:, widest - w] = pieces.find(key)
     log_p = pieces.log_p[number]
-    forward = np.full((n, WIDEST + length + 1), -np.inf)
-    forward[:, WIDEST] = 0.0
+    forward = np.full((n, widest + length + 1), -np.inf)
+    forward[:, widest] = 0.0
     for end in range(1, length + 1):
-        forward[:, WIDEST + end] = log_sum(forward[:, end : WIDEST + end] + log_p[:, end])
+        forward[:, widest + end] = log_sum(forward[:, end : widest + end] + log_p[:, end])
     return number, log_p, forward
 
 
@@ -113,21 +118,73 @@ def log_sum(x: np.ndarray) -> np.ndarray:
 
 def expected(number: np.ndarray, log_p: np.ndarray, forward: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, expected uses) over weighted words, by the backward recursion beside the forward one."""
-    n, ends = number.shape[:2]
-    backward = np.full((n, WIDEST + ends), -np.inf)
-    backward[:, WIDEST + ends - 1] = 0.0
+    n, ends, widest = number.shape
+    backward = np.full((n, widest + ends), -np.inf)
+    backward[:, widest + ends - 1] = 0.0
     for end in range(ends - 1, 0, -1):
-        # What follows `end` flows back to the starts end - WIDEST ... end - 1.
-        into = backward[:, WIDEST + end, None] + log_p[:, end]
-        backward[:, end : WIDEST + end] = np.logaddexp(backward[:, end : WIDEST + end], into)
+        # What follows `end` flows back to the starts end - widest ... end - 1.
+        into = backward[:, widest + end, None] + log_p[:, end]
+        backward[:, end : widest + end] = np.logaddexp(backward[:, end : widest + end], into)
     word, end, w = np.nonzero(number >= 0)
-    start = WIDEST + end - (WIDEST - w)
-    share = np.exp(forward[word, start] + log_p[word, end, w] + backward[word, WIDEST + end] - forward[word, -1])
+    start = widest + end - (widest - w)
+    share = np.exp(forward[word, start] + log_p[word, end, w] + backward[word, widest + end] - forward[word, -1])
     return number[word, end, w], share * weight[word]
 
 
+def opened(text: np.ndarray, lo: int, hi: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, width, number) of every piece of one word that starts in [lo, hi), by start."""
+    part = text[lo : hi + pieces.widest - 1].astype(np.uint64)
+    key = np.zeros(len(part) + 1, np.uint64)
+    found = []
+    for w in range(1, min(pieces.widest, len(part)) + 1):
+        key = key[: len(part) - w + 1] * _ODD + part[w - 1 :] + np.uint64(1)
+        number = pieces.find(key[: hi - lo])
+        at = np.flatnonzero(number >= 0)
+        found.append((at + lo, np.full(len(at), w), number[at]))
+    start, width, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(start, kind="stable")
+    return start[order], width[order], number[order]
+
+
+def added(a: float, b: float) -> float:
+    """Log of the sum of two numbers given by their logs."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def long_forward(text: np.ndarray, pieces: Pieces) -> Iterator[list[float]]:
+    """The forward sums of one word at places 0, 1, ... part by part; the last is that of the whole word."""
+    here = [0.0] + [-math.inf] * pieces.widest
+    for lo in range(0, len(text), PART):
+        hi = min(lo + PART, len(text))
+        here += [-math.inf] * (hi - lo)
+        start, width, number = opened(text, lo, hi, pieces)
+        for s, w, p in zip((start - lo).tolist(), width.tolist(), pieces.log_p[number].tolist(), strict=True):
+            here[s + w] = added(here[s + w], here[s] + p)
+        yield here[: hi - lo]
+        here = here[hi - lo :]
+    yield here[:1]
+
+
+def long_expected(text: np.ndarray, pieces: Pieces, weight: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(piece, expected uses) over one weighted word, part by part from its end."""
+    forward = np.concatenate([np.array(f) for f in long_forward(text, pieces)])
+    after = [0.0] + [-math.inf] * pieces.widest
+    for lo in reversed(range(0, len(text), PART)):
+        hi = min(lo + PART, len(text))
+        start, width, number = opened(text, lo, hi, pieces)
+        log_p = pieces.log_p[number]
+        back = [-math.inf] * (hi - lo) + after
+        for s, w, p in zip((start - lo).tolist()[::-1], width.tolist()[::-1], log_p.tolist()[::-1], strict=True):
+            back[s] = added(back[s], back[s + w] + p)
+        yield number, weight * np.exp(forward[start] + log_p + np.array(back)[start - lo + width] - forward[-1])
+        after = back[: pieces.widest + 1]
+
+
 def by_length(found: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in `found`, bytes as rows) of words of one length, with the mark in front, a bounded number at once."""
+    """(places in `found`, bytes as rows) of words of one length, with the mark in front, a bounded number at once; a
+    word longer than LONG comes alone, as one row of eight-bit bytes."""
     data, off = words.utf8(found)
     size = np.diff(off)
     order = np.argsort(size, kind="stable")
@@ -135,8 +192,9 @@ def by_length(found: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for group in np.split(order, edges):
         if len(group):
             length = int(size[group[0]])
-            for part in np.array_split(group, max(1, len(group) * (length + 1) // CELLS)):
-                rows = np.full((len(part), length + 1), MARK[0], np.uint64)
+            kind = np.uint64 if length <= LONG else np.uint8
+            for part in np.array_split(group, max(1, len(group) * (length + 1) // CELLS) if length <= LONG else len(group)):
+                rows = np.full((len(part), length + 1), MARK[0], kind)
                 rows[:, 1:] = data[off[part][:, None] + np.arange(length)]
                 yield part, rows
 
@@ -145,12 +203,16 @@ def word_scores(found: pa.Array, pieces: Pieces) -> np.ndarray:
     """Log10 of the marginal probability of each word."""
     out = np.zeros(len(found))
     for part, rows in by_length(found):
-        out[part] = lattices(rows, pieces)[2][:, -1] / math.log(10)
-    return out
+        if rows.shape[1] - 1 <= LONG:
+            out[part] = lattices(rows, pieces)[2][:, -1]
+        else:
+            for sums in long_forward(rows[0], pieces):
+                out[part] = sums[-1]
+    return out / math.log(10)
 
 
 def count_words(docs: DataFrame, text: str, held: str) -> DataFrame:
-    """(word, c): how often each word stands in training documents; words of other documents have 0, the end is null."""
+    """(word, c, m): how often each word stands in training documents and in all; the end is null."""
 
     def run(batches):
         for batch in words.pieces(batches, text, STEP):
@@ -158,10 +220,11 @@ def count_words(docs: DataFrame, text: str, held: str) -> DataFrame:
             train = ~batch.column(held).to_numpy(zero_copy_only=False).astype(bool)
             which, terms = words.distinct(found)
             c = np.bincount(which, weights=np.repeat(train, counts), minlength=len(terms)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([terms.cast(pa.binary()), pa.array(c)], names=["word", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["word", "c"])
+            m = np.bincount(which, minlength=len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([terms.cast(pa.binary()), pa.array(c), pa.array(m)], names=["word", "c", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), *(pa.array([int(x)], pa.int64()) for x in (train.sum(), len(train)))], names=["word", "c", "m"])
 
-    return docs.select(text, held).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return storage.mapped(docs.select(text, held), run, "word binary, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
 def fit(counts: DataFrame, pieces: list[bytes], p: np.ndarray, ends: int, rounds: int = 1) -> tuple[np.ndarray, float]:
@@ -178,14 +241,15 @@ def fit(counts: DataFrame, pieces: list[bytes], p: np.ndarray, ends: int, rounds
             for batch in batches:
                 weight = batch.column("c").to_numpy().astype(float)
                 for part, rows in by_length(batch.column("word")):
-                    which, share = expected(*lattices(rows, have), weight[part])
-                    total += np.bincount(which, weights=share, minlength=len(total))
+                    short = rows.shape[1] - 1 <= LONG
+                    for which, share in [expected(*lattices(rows, have), weight[part])] if short else long_expected(rows[0], have, weight[part[0]]):
+                        total += np.bincount(which, weights=share, minlength=len(total))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["piece", "uses"])
 
         # At most one row for each piece of the vocabulary comes back, however large the corpus.
         fitted = np.full(len(pieces), ADDED)
-        for r in counts.where("c > 0 and word is not null").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+        for r in storage.mapped(counts.where("c > 0 and word is not null"), run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             fitted[r.piece] += r.uses
         total = fitted.sum() + ends + ADDED
         log_p, log_end = np.log(fitted / total), math.log((ends + ADDED) / total)
@@ -211,25 +275,24 @@ def score(docs: DataFrame, vocabulary_path: str, held: str, doc_id: str = "doc_i
         have = Pieces(*model.value)
         for batch in batches:
             lp = word_scores(batch.column("word"), have)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp)], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("word", "c", "m")), pa.array(lp)], names=["word", "c", "m", "lp"])
 
-    scored = storage.written(counts.where("word is not null").mapInArrow(with_scores, "word binary, c long, lp double"), "scores")
+    scored = storage.written(storage.mapped(counts.where("word is not null"), with_scores, "word binary, c long, m long, lp double"), "scores")
     # Frequency classes of an eighth of a power of two: a few hundred, of which the upper ones fit the head.
-    klass = F.floor(8 * F.log2(F.col("c") + 1))
+    klass = F.floor(8 * F.log2("m"))
     cutoff, room = math.inf, HEAD
     for r in scored.groupBy(klass.alias("k")).count().orderBy(F.desc("k")).collect():
         room -= r["count"]
         if room < 0:
             break
         cutoff = r.k
-    head = scored.where(klass >= cutoff).collect() if cutoff < math.inf else []
-    top = spark.sparkContext.broadcast(([bytes(r.word) for r in head], np.array([r.c for r in head], np.int64), np.array([r.lp for r in head], float)))
+    head = scored.where(klass >= cutoff if cutoff < math.inf else F.lit(False)).select("word", "c", "lp").toArrow().combine_chunks()
+    top = spark.sparkContext.broadcast((pa.array(head["word"].to_pylist(), pa.binary()), head["c"].to_numpy(), head["lp"].to_numpy()))
 
     def rows(batches):
         from pyspark import TaskContext
 
         known, c, lp = top.value
-        known = pa.array(known, pa.binary())
         base, c, lp = np.append(np.log10(c + 1.0) - floor, 0.0), np.append(c, 0), np.append(lp, 0.0)
         key = (TaskContext.get().partitionId()) << 40
         for batch in words.pieces(batches, "text", STEP):
@@ -252,7 +315,7 @@ def score(docs: DataFrame, vocabulary_path: str, held: str, doc_id: str = "doc_i
             )
             key += len(count)
 
-    found = storage.written(docs.mapInArrow(rows, "key long, doc_id long, held boolean, word binary, n long, known long, base double, score double"), "tokens")
+    found = storage.written(storage.mapped(docs, rows, "key long, doc_id long, held boolean, word binary, n long, known long, base double, score double"), "tokens")
     rare = found.where("word is not null").select("key", "word", "n").join(scored.where(klass < cutoff) if cutoff < math.inf else scored, "word")
     rare = rare.select(
         "key",

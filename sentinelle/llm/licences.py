@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sentinelle.llm import words
+from sentinelle.llm import storage, words
 
 ALIKE = 0.8
 
@@ -121,4 +121,4 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, alike: float
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return storage.mapped(docs, run, schema)

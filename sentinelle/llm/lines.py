@@ -1,33 +1,31 @@
 """Line dedup by distinct-site spread.
 
-Each line is known by a 64-bit hash; its spread is the number of distinct sites that have it. HyperLogLog sketches
+Each line is known by a 128-bit hash; its spread is the number of distinct sites that have it. HyperLogLog sketches
 of sites are merged by one aggregation keyed by line, with partial sketches made where the lines are read. Lines
 whose estimate is clearly above the threshold are boilerplate, those clearly below are not, and those near it get an
 exact distinct count. Boilerplate lines leave every document but the one where they stand first (least document id,
 then place), so that no text is lost to the collection.
 
+Boilerplate meets the lines by `skew.met`: the most frequent, bounded in number, are broadcast, and the others are
+dealt out by line. Only places travel from there to the documents.
+
 Defined cases: lines are what stands between line feeds; blank lines are never boilerplate; a null site is a site of
 its own; a null text has no lines and stays null; repeats of a boilerplate line inside its first document go too;
-rows that share an id and a text are treated alike; extra columns pass through.
+rows that share an id and a text are treated alike; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sentinelle.llm import storage, words
+from sentinelle.llm import skew, storage
 
 #: Sites that make a line boilerplate; estimates within +-NEAR of it (a share) are counted exactly.
 SPREAD, NEAR = 5, 0.5
 #: Registers of a sketch: 2 ** PRECISION.
 PRECISION = 10
-#: Boilerplate lines that may be broadcast (32 bytes each); more meet their documents in a shuffle.
-BROADCAST_LINES = 1_000_000
+LINE = ["line", "mark"]
 
 
 def has_word(line: Column) -> Column:
@@ -35,88 +33,53 @@ def has_word(line: Column) -> Column:
 
 
 def exploded(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """doc, copy (a hash of the text, so that rows sharing an id stay apart), place, line, site of every line with a word."""
+    """doc, copy (a hash of the text, so that rows sharing an id stay apart), site, place and both halves of the hash
+    (line, mark) of every line with a word."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc"),
         F.xxhash64(text).alias("copy"),
         F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"),
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "said"),
     )
-    return rows.where(has_word(F.col("said"))).select("doc", "copy", "site", "place", F.xxhash64("said").alias("line"))
+    return rows.where(has_word(F.col("said"))).select("doc", "copy", "site", "place", F.xxhash64("said").alias("line"), F.xxhash64(F.lit(1), "said").alias("mark"))
 
 
 def boilerplate(lines: DataFrame, spread: int = SPREAD, near: float = NEAR) -> DataFrame:
-    """line, first (where it stays) of every line on `spread` sites or more."""
+    """line, mark, first (where it stays) and times of every line on `spread` sites or more."""
     # One row a line, site and task reaches the shuffle at most, whatever a frequent line's count.
-    sketched = lines.groupBy("line").agg(
+    sketched = lines.groupBy(*LINE).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", PRECISION)).alias("sites"), F.min(F.struct("doc", "copy", "place")).alias("first"), F.count("*").alias("times")
     )
-    sketched = storage.written(sketched.where((F.col("times") >= spread) & (F.col("sites") >= spread * (1 - near))).drop("times"), "spread")
-    sure = sketched.where(F.col("sites") > spread * (1 + near)).select("line", "first")
-    close = sketched.where(F.col("sites") <= spread * (1 + near))
-    exact = lines.join(close.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= spread)
-    return sure.union(close.join(exact, "line").select("line", "first"))
-
-
-def signed(text: str | None) -> int:
-    """What Spark's xxhash64 gives for a string column."""
-    if text is None:
-        return 42
-    h = xxhash.xxh64_intdigest(text.encode("utf-8"), seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def cut_in_place(docs: DataFrame, plates: DataFrame, doc_id: str, text: str, n: str, gone: str) -> DataFrame:
-    """Texts without boilerplate, where they are read: the broadcast list is bounded by BROADCAST_LINES."""
-    rows = plates.collect()
-    order = np.argsort(np.array([r.line for r in rows], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([rows[k].line for k in order], np.int64), [tuple(rows[k].first) for k in order]))
-    schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType()), T.StructField(gone, T.LongType())])
-    at = docs.columns.index(text)
-
-    def one(doc, said: str | None):
-        known, first = shared.value
-        if said is None:
-            return None, 0, 0
-        parts = said.split("\n")
-        places = [k for k, x in enumerate(parts) if x.strip(" \t\n\x0b\x0c\r")]
-        lines = np.array([signed(parts[k]) for k in places], np.int64)
-        found = np.searchsorted(known, lines)
-        found[found == len(known)] = 0
-        hits = np.flatnonzero(known[found] == lines) if len(known) and len(lines) else []
-        copy = signed(said) if len(hits) else None
-        drop = {places[k] for k in hits if first[found[k]] != (doc, copy, places[k])}
-        return "\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else said, len(places), len(drop)
-
-    def run(batches):
-        for batch in words.pieces(batches, text, 4 << 20):
-            out = [one(d, t) for d, t in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), batch.column(text).to_pylist(), strict=True)]
-            columns = list(batch.columns)
-            columns[at] = pa.array([x[0] for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=[f.name for f in schema.fields])
-
-    return docs.mapInArrow(run, schema)
+    sketched = storage.written(sketched.where((F.col("times") >= spread) & (F.col("sites") >= spread * (1 - near))), "spread")
+    sure = sketched.where(F.col("sites") > spread * (1 + near)).drop("sites")
+    close = sketched.where(F.col("sites") <= spread * (1 + near)).drop("sites")
+    exact = lines.join(close.select(*LINE), LINE, "left_semi").groupBy(*LINE).agg(F.count_distinct("site").alias("n")).where(F.col("n") >= spread)
+    return sure.unionByName(close.join(exact.select(*LINE), LINE))
+
+
+def places(lines: DataFrame, plates: DataFrame) -> DataFrame:
+    """doc, copy and the places of the lines to cut."""
+    hits = skew.met(lines.select("doc", "copy", "place", *LINE), plates, LINE, "times")
+    return hits.where(~F.struct("doc", "copy", "place").eqNullSafe(F.col("first"))).groupBy("doc", "copy").agg(F.collect_set("place").alias("places"))
 
 
 def without_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", spread: int = SPREAD, near: float = NEAR, prefix: str = "line_") -> DataFrame:
     """`docs` with boilerplate lines out of `text`, and `{prefix}n` (lines with a word) and `{prefix}removed` beside it."""
-    n, gone, key = f"{prefix}n", f"{prefix}removed", f"{prefix}copy"
+    p = storage.free(docs, "_line_")
+    doc, copy, drop = (F.col(f"{p}{x}") for x in ("doc", "copy", "places"))
     lines = exploded(docs, doc_id, text, site)
-    plates = storage.written(boilerplate(lines, spread, near), "boilerplate")
-    if plates.count() <= BROADCAST_LINES:
-        return cut_in_place(docs, plates, doc_id, text, n, gone)
-    hits = lines.join(plates, "line").where(~F.struct("doc", "copy", "place").eqNullSafe(F.col("first")))
+    cut = places(lines, storage.written(boilerplate(lines, spread, near), "boilerplate"))
+    cut = cut.select(F.col("doc").alias(f"{p}doc"), F.col("copy").alias(f"{p}copy"), F.col("places").alias(f"{p}places"))
     # Only places travel; the texts are cut where they are.
-    cut = hits.groupBy(F.col("doc").alias(f"{prefix}doc"), F.col("copy").alias(key)).agg(F.collect_set("place").alias(f"{prefix}places"))
-    marked = docs.withColumn(key, F.xxhash64(text))
-    rows = marked.join(cut, F.col(doc_id).cast("long").eqNullSafe(cut[f"{prefix}doc"]) & (marked[key] == cut[key]), "left").drop(cut[key])
-    said, places = F.split(F.col(text), "\n", -1), F.col(f"{prefix}places")
+    rows = docs.join(cut, F.col(doc_id).cast("long").eqNullSafe(doc) & (F.xxhash64(text) == copy), "left")
+    said = F.split(F.col(text), "\n", -1)
     # The places that stay, by one hash set, then their lines.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(said) - 1), places)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(said) - 1), drop)
     kept = F.array_join(F.transform(stay, lambda i: F.get(said, i)), "\n")
-    return (
-        rows.withColumn(n, F.coalesce(F.size(F.filter(said, has_word)), F.lit(0)).cast("long"))
-        .withColumn(gone, F.coalesce(F.size(places), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(places.isNotNull(), kept).otherwise(F.col(text)))
-        .drop(f"{prefix}places", f"{prefix}doc", key)
-    )
+    return rows.withColumns(
+        {
+            f"{prefix}n": F.coalesce(F.size(F.filter(said, has_word)), F.lit(0)).cast("long"),
+            f"{prefix}removed": F.coalesce(F.size(drop), F.lit(0)).cast("long"),
+            text: F.when(drop.isNotNull(), kept).otherwise(F.col(text)),
+        }
+    ).drop(f"{p}doc", f"{p}copy", f"{p}places")

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinelle.llm import chat
 from sentinelle.session import table
 
 
+def logged(rows: DataFrame) -> DataFrame:
+    """Turns as the log of a chat service would have them: every text streamed in two parts; a user's typed first with
+    a draft that an edit replaces; an assistant's begun once, answered, and regenerated, which voids the answer."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    # Numbered by conversation, as the fold is: both windows share one shuffle.
+    turns = rows.withColumn("at", F.row_number().over(order).cast("long") * 8)
+    text = F.coalesce("text", F.lit(""))
+    half = F.ceil(F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda k, kind, said, position=F.col("turn"), role=F.col("role"): F.struct((F.col("at") + k).alias("seq"), position.alias("position"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    answer = event(2, "message", F.lit("That was quick."), F.col("turn") + 1, F.lit("user"))
+    begun = F.array(event(0, "message", rest), event(1, "delta", F.lit(" ...")), F.when(F.col("turn") < F.lit(1 << 62), answer), event(3, "regenerate", F.lit(None).cast("string")), event(4, "delta", first), event(5, "delta", rest))
+    typed = F.array(event(0, "message", rest), event(1, "edit", first), event(2, "delta", rest))
+    return turns.select("conv_id", F.explode(F.array_compact(F.when(F.col("role") == "assistant", begun).otherwise(typed))).alias("e")).select("conv_id", "e.*")
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("position"), F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.render(events))
+    return chat.digests(chat.render(logged(rows.unionByName(extra))))
 
 
 ORACLE = {

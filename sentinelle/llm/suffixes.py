@@ -3,13 +3,17 @@
 A byte goes if some `LENGTH`-byte string that covers it starts anywhere else as well. Candidate search: in every
 window of LENGTH bytes the `GRAM`-byte substring with the least hash is its anchor, so equal windows have equal
 anchors at equal distances. Consecutive windows with one anchor form a stretch; the text under a stretch is its
-context. Contexts that are equal byte for byte are collapsed first and need no comparison: their windows repeat.
-The remaining contexts of anchors seen more than once are dealt out by anchor and suffix-sorted in bounded bins.
+context. Contexts with the same 128-bit cryptographic digest are one: their windows repeat. The distinct contexts
+of anchors that have more than one are dealt out by anchor and suffix-sorted in bounded bins.
 
 The sort is two-stage: suffixes smaller than their successors are sorted directly, by words of eight bytes; all
 others are induced by scanning the 256 buckets in order, each suffix placing its predecessor in the bucket of its
-first byte. Adjacent common prefixes then show which windows repeat. An anchor whose contexts exceed a bin goes
-another exact way: its windows are hashed (128 bits) and counted by a salted, pre-aggregating shuffle.
+first byte. Adjacent common prefixes then show which windows repeat.
+
+An anchor with more than `CROWD` contexts would overfill a bin. Its contexts are cut into pieces of `WIDTHS[0]`
+windows at most, by distance from the anchor, and dealt out by the bytes that all windows of a piece's place share;
+pieces then are collapsed, counted and sorted like contexts. Where one such core still has too many pieces, they are
+cut into single windows, whose core is the window itself, so that no more than one is left of it.
 
 Defined cases: null is the empty text; texts shorter than LENGTH keep all bytes; identical rows are copies of each
 other and both lose what repeats; overlapping repeats inside one text count; matches never cross documents; long
@@ -27,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinelle.llm import storage, words
+from sentinelle.llm import skew, storage, words
 from sentinelle.llm.bagmin import mix
 
 LENGTH, GRAM = 200, 32
@@ -35,6 +39,8 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text handled at once, of a bin of contexts, and a bin's contexts of one anchor.
 STEP, BIN, CROWD = 1 << 20, 4 << 20, 12_000
+#: Windows of a piece of a crowded anchor's contexts, round by round.
+WIDTHS = (16, 1)
 _ODD = 0xD1342543DE82EF95
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -77,12 +83,12 @@ def units(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def stretches(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor hash, context hash) of every stretch."""
+    """(document, first window in it, first window, windows, distance of the anchor, anchor hash) of every stretch."""
     n = len(text)
     sizes = np.diff(at)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64),)
     roll = Rolling(text)
     grams = np.arange(n - GRAM + 1)
     low = np.uint64((1 << 24) - 1)
@@ -101,8 +107,13 @@ def stretches(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     lo, anchor = start[first], anchor[first]
-    context = roll.of(lo, lo + count - 1 + LENGTH) ^ mix((anchor - lo).astype(np.uint64) * np.uint64(512) + count.astype(np.uint64))
-    return doc[lo], lo - at[doc[lo]], count, roll.of(anchor, anchor + GRAM), context
+    return doc[lo], lo - at[doc[lo]], lo, count, anchor - lo, roll.of(anchor, anchor + GRAM)
+
+
+def digests(contexts: list[bytes] | list[memoryview], distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a digest of each context and its anchor's distance."""
+    both = np.frombuffer(b"".join(hashlib.blake2b(c, digest_size=16).digest() for c in contexts), np.uint64).reshape(-1, 2)
+    return (both[:, 0] ^ mix(distance.astype(np.uint64))).view(np.int64), both[:, 1].view(np.int64)
 
 
 def eights(text: np.ndarray) -> np.ndarray:
@@ -222,37 +233,69 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.xxhash64(t).alias("h"), F.col(doc_id).alias("doc_id"), t.alias("text"))
 
 
+PLACE = ["d", "h", "lo", "n", "at"]
+CONTEXT = ["key", "c1", "c2"]
+COLUMNS = ", ".join(f"{x} long" for x in PLACE + CONTEXT)
+_LONGS = [(x, pa.int64()) for x in PLACE + CONTEXT]
+
+
 def all_stretches(docs: DataFrame) -> DataFrame:
-    """d, h, lo, n, anchor, context of every stretch of every document."""
+    """PLACE (document, first window, windows, distance of the anchor) and CONTEXT (anchor, digest) of every stretch."""
 
     def run(batches):
         for batch in words.pieces(batches, "text", 4 * STEP):
             d, h = batch.column("d").to_numpy(), batch.column("h").to_numpy()
             for text, at, number, shift in units(*words.utf8(batch.column("text"))):
-                doc, lo, n, anchor, context = stretches(text, at)
+                doc, lo, first, n, distance, anchor = stretches(text, at)
+                view = memoryview(np.ascontiguousarray(text))
+                c1, c2 = digests([view[a:b] for a, b in zip(first.tolist(), (first + n - 1 + LENGTH).tolist(), strict=True)], distance)
                 row = number[doc]
-                columns = [d[row], h[row], lo + shift[doc], n.astype(np.int64), anchor.view(np.int64), context.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "h", "lo", "n", "anchor", "context"])
+                columns = [d[row], h[row], lo + shift[doc], n.astype(np.int64), distance, anchor.view(np.int64), c1, c2]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PLACE + CONTEXT)
 
-    return docs.select("d", "h", "text").mapInArrow(run, f"{KEYED}, lo long, n long, anchor long, context long")
+    return storage.mapped(docs.select("d", "h", "text"), run, COLUMNS)
+
+
+TEXTS = f"{COLUMNS}, contexts long, bytes binary"
+_TEXTS = pa.schema([*_LONGS, ("contexts", pa.int64()), ("bytes", pa.binary())])
 
 
 def with_texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """`needed` (d, h, lo, n, anchor, context) with the bytes under each stretch."""
-    lists = needed.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "n", "anchor", "context")).alias("parts"))
+    """`needed` (PLACE, CONTEXT, contexts) with the bytes under each stretch. A document's list is shorter than its text."""
+    rest = [x for x in [*PLACE, *CONTEXT, "contexts"] if x not in ("d", "h")]
+    lists = needed.groupBy("d", "h").agg(F.collect_list(F.struct(*rest)).alias("parts"))
 
     def run(batches):
         for batch in words.pieces(batches, "text", 4 * STEP):
             data, off = words.utf8(batch.column("text"))
-            for k, (d, h, parts) in enumerate(zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
-                rows = [p | {"d": d, "h": h, "bytes": data[off[k] + p["lo"] : off[k] + p["lo"] + p["n"] - 1 + LENGTH].tobytes()} for p in parts]
-                for a in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_pylist(rows[a : a + 4096], schema=schema)
+            for k, (d, h, parts) in enumerate(zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("parts"), strict=True)):
+                for a in range(0, len(parts), 4096):
+                    rows = [p | {"d": d, "h": h, "bytes": data[off[k] + p["lo"] : off[k] + p["lo"] + p["n"] - 1 + LENGTH].tobytes()} for p in parts.values.slice(a, 4096).to_pylist()]
+                    yield pa.RecordBatch.from_pylist(rows, schema=_TEXTS)
 
-    schema = pa.schema([(x, pa.int64()) for x in ("d", "h", "lo", "n", "anchor", "context")] + [("bytes", pa.binary())])
     # Rows that are the same throughout show the same bytes; one of them is enough.
     shown = docs.select("d", "h", "text").join(lists, ["d", "h"])
-    return shown.mapInArrow(run, f"{KEYED}, lo long, n long, anchor long, context long, bytes binary")
+    return storage.mapped(shown, run, TEXTS)
+
+
+def split(contexts: DataFrame, width: int) -> DataFrame:
+    """Contexts with their bytes, cut into pieces of at most `width` windows, whose key is their common core."""
+
+    def run(batches):
+        for batch in words.pieces(batches, "bytes", STEP):
+            out = []
+            for r in batch.to_pylist():
+                # Windows k of a range of distances at - k all cover the bytes from the farthest start to the nearest end.
+                for far in range((r["at"] - r["n"] + 1) // width, r["at"] // width + 1):
+                    a, b = max(0, r["at"] - far * width - width + 1), min(r["n"] - 1, r["at"] - far * width)
+                    core = r["bytes"][r["at"] - far * width : r["at"] - far * width - width + 1 + LENGTH]
+                    key = hashlib.blake2b(core + far.to_bytes(4, "little", signed=True) + r["key"].to_bytes(8, "little", signed=True), digest_size=8).digest()
+                    out.append(r | {"lo": r["lo"] + a, "n": b - a + 1, "at": r["at"] - a, "key": int.from_bytes(key, "little", signed=True), "bytes": r["bytes"][a : b + LENGTH]})
+            c1, c2 = digests([p["bytes"] for p in out], np.array([p["at"] for p in out], np.int64))
+            columns = [pa.array([p[x] for p in out], pa.int64()) for x in [*PLACE, "key"]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(c1), pa.array(c2), pa.array([p["bytes"] for p in out], pa.binary())], names=[*PLACE, *CONTEXT, "bytes"])
+
+    return storage.mapped(contexts, run, f"{COLUMNS}, bytes binary")
 
 
 SPANS = f"{KEYED}, lo long, hi long"
@@ -260,10 +303,10 @@ _SPANS = pa.schema([(x, pa.int64()) for x in ("d", "h", "lo", "hi")])
 
 
 def sorted_bins(contexts: DataFrame) -> DataFrame:
-    """Runs [lo, hi) of repeated windows, from suffix sorting; contexts of an anchor stay in one bin."""
+    """Runs [lo, hi) of repeated windows, from suffix sorting; contexts of a key stay in one bin."""
 
     def run(batches):
-        bin_, size, anchor = [], 0, None
+        bin_, size, key = [], 0, None
 
         def flush():
             found = repeated([r["bytes"] for r in bin_], [r["n"] for r in bin_])
@@ -273,57 +316,46 @@ def sorted_bins(contexts: DataFrame) -> DataFrame:
         last = None
         for batch in words.pieces(batches, "bytes", STEP):
             for r in batch.to_pylist():
-                same = (r["anchor"], r["context"], r["d"], r["h"], r["lo"])
+                same = tuple(r[x] for x in CONTEXT)
                 if same == last:
                     continue
                 last = same
-                if r["anchor"] != anchor and size >= BIN:
+                if r["key"] != key and size >= BIN:
                     yield flush()
                     bin_, size = [], 0
-                anchor = r["anchor"]
+                key = r["key"]
                 bin_.append(r)
                 size += len(r["bytes"])
         if bin_:
             yield flush()
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context", "d", "h", "lo").mapInArrow(run, SPANS)
+    columns = ["d", "h", "lo", "n", *CONTEXT, "bytes"]
+    return storage.mapped(contexts.select(columns).repartition("key").sortWithinPartitions(*CONTEXT), run, SPANS)
 
 
-def counted_windows(contexts: DataFrame) -> DataFrame:
-    """The same runs for anchors with more contexts than a bin holds: windows are hashed and counted."""
-
-    def run(batches):
-        for batch in words.pieces(batches, "bytes", STEP):
-            for r in batch.to_pylist():
-                windows = [hashlib.blake2b(r["bytes"][k : k + LENGTH], digest_size=16).digest() for k in range(r["n"])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[x]] * r["n"], pa.int64()) for x in ("d", "h")] + [pa.array(r["lo"] + np.arange(r["n"])), pa.array(windows, pa.binary())], names=["d", "h", "lo", "window"]
-                )
-
-    windows = storage.written(contexts.mapInArrow(run, f"{KEYED}, lo long, window binary").distinct(), "windows")
-    more = windows.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
-    return windows.join(more, "window").select("d", "h", "lo", (F.col("lo") + 1).alias("hi"))
+def collapsed(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of members whose context stands in several places, and one member (with `contexts`, the number under its
+    key) of every context whose key has several, of which some stand in one place only."""
+    shown = [F.min(F.struct(*PLACE)).alias("one")] + [F.first("bytes").alias("bytes")] * ("bytes" in members.columns)
+    distinct = storage.written(members.groupBy(*CONTEXT).agg(F.count("*").alias("times"), *shown), f"{name}-contexts")
+    copied = skew.met(members.select("d", "h", "lo", "n", *CONTEXT), distinct.where("times > 1").select(*CONTEXT, "times"), CONTEXT, "times")
+    keys = distinct.groupBy("key").agg(F.count("*").alias("contexts"), F.min("times").alias("rarest")).where("contexts > 1 and rarest = 1").drop("rarest")
+    open_ = skew.met(distinct, storage.written(keys, f"{name}-keys"), ["key"], "contexts").select("one.*", *CONTEXT, "contexts", *["bytes"] * ("bytes" in members.columns))
+    return copied.select("d", "h", "lo", (F.col("lo") + F.col("n")).alias("hi")), open_
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """d, h and the runs [lo, hi) of window starts that repeat; `docs` is keyed."""
-    every = storage.written(all_stretches(docs), "stretches")
-    known = every.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select("anchor")
-    some = storage.written(every.join(known, "anchor"), "shared")
-    distinct = storage.written(
-        some.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("d", "h", "lo", "n")).alias("one")), "contexts"
-    )
-    anchors = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("times").alias("rarest")).where("contexts > 1 and rarest = 1")
-    open_ = storage.written(distinct.join(anchors, "anchor").select("one.*", "anchor", "context", "times", "contexts"), "open")
-    columns = ("d", "h", "lo", "n", "anchor", "context")
-    texts = storage.written(with_texts(open_.select(*columns), docs), "texts")
-    crowded = open_.where(F.col("contexts") > CROWD).select("anchor").distinct()
-    found = sorted_bins(texts.join(crowded, "anchor", "left_anti"))
-    if not crowded.isEmpty():
-        found = found.union(counted_windows(texts.join(crowded, "anchor", "left_semi")))
-    plain = distinct.where("times > 1").select("anchor", "context")
-    copied = some.join(plain, ["anchor", "context"]).select("d", "h", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    return found.union(copied)
+    found, open_ = collapsed(storage.written(all_stretches(docs), "stretches"), "all")
+    texts = storage.written(with_texts(open_, docs), "texts")
+    for width in WIDTHS:
+        found = found.union(sorted_bins(texts.where(F.col("contexts") <= CROWD)))
+        crowded = texts.where(F.col("contexts") > CROWD)
+        if crowded.isEmpty():
+            return found
+        copied, open_ = collapsed(storage.written(split(crowded, width), "pieces"), f"of-{width}")
+        found, texts = found.union(copied), storage.written(open_, "texts")
+    return found.union(sorted_bins(texts))
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -353,4 +385,4 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_te
             columns = [batch.column("doc_id").cast(pa.int64())] + [pa.array([r[k] for r in out]) for k in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return storage.mapped(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

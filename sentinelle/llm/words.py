@@ -48,6 +48,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def cut(data: np.ndarray, off: np.ndarray, keep: np.ndarray, lower: bool = False) -> tuple[np.ndarray, pa.Array]:

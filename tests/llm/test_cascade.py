@@ -50,7 +50,10 @@ def test_rules_against_brute_force(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://com/en/", "x://com/en", "x://dot.com/en/1", "x://notcom/en/1"]
     urls += ["x://example.net/de/81", "x://b.example.net/de/7", "x://net", "x://org/es/?a", "x://a.org?x/es/", "x://a.org#/es/", "x://a://b.com/en/", "x://..com/en/7", "x://ex.com\n/en/7"]
     urls += ["https://a.example.com/en/7", "https://a.example.com/en/7"]
-    rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, key string")
+    urls += ["x://" + "a." * 100_000 + "com/en/7", "x://net/de/8" + "/" * 1_000_000]
+    rows = spark.createDataFrame([(i, u, "clash", "mine", 1) for i, u in enumerate(urls)], "page_id long, url string, key string, _url_at string, host int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in cascade.judge(rows, RULES).collect()}
     assert got == {i: brute(u) for i, u in enumerate(urls)}
+    assert {r._url_at for r in cascade.judge(rows, RULES).collect()} == {"mine"}
     assert cascade.judge(rows.limit(0), RULES).count() == 0
+    assert {r.verdict for r in cascade.judge(rows, []).collect()} == {"allow"}

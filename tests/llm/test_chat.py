@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 from hypothesis import given
 from hypothesis import strategies as st
 
 from sentinelle.llm import chat
-from sentinelle.llm.q_chat import op1_chat_format
+from sentinelle.llm.q_chat import logged, op1_chat_format
 
 TRICKY = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "s>", "[", "INST]", "/", "é", "\n", " [/INST]", "<\\s>"]), max_size=8).map("".join)
 
@@ -64,3 +65,17 @@ def test_query_has_the_planted_conversation(spark):
     got = {r.conv_id: r for r in op1_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (got[-7].loss_chars, got[-7].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_the_query_folds_edits_and_regenerations(spark):
+    r = random.Random(4)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None]), r.choice([None, "", "x", "a <s> b", "日本語 text"])) for c in (1, 2, None) for t in [None, None, *range(9), 3, 3]]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log_ = logged(frame)
+    assert {e.kind for e in log_.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = sorted(((str(s.conv_id), s.turn, *chat.parse(s.segment)) for s in chat.render(log_).collect()))
+    want = []
+    for c in (1, 2, None):
+        mine = sorted(((t is not None, t or 0, role or "", text or "") for k, t, role, text in rows if k == c))
+        want += [(str(c), i, role, text) for i, (_, _, role, text) in enumerate(mine)]
+    assert got == sorted(want)

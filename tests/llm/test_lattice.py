@@ -51,6 +51,29 @@ def test_expected_uses_match_enumeration():
     assert got == pytest.approx([3 * uses[x] / total for x in PIECES])
 
 
+@pytest.mark.parametrize("part", [1, 2, 7, 1000])
+def test_a_long_word_part_by_part(monkeypatch, part):
+    monkeypatch.setattr(lattice, "PART", part)
+    have = lattice.Pieces(PIECES, np.log([0.2, 0.1, 0.15, 0.15, 0.1, 0.1, 0.1, 0.1]))
+    text = np.frombuffer(b"\xffabaabbabababbbaab", np.uint8)
+    whole = lattice.lattices(text.astype(np.uint64)[None], have)
+    sums = [x for f in lattice.long_forward(text, have) for x in f]
+    assert sums == pytest.approx(whole[2][0, -len(sums) :].tolist())
+    count = lambda which, share: np.bincount(which, weights=share, minlength=len(PIECES))
+    got = sum(count(*x) for x in lattice.long_expected(text, have, 3.0))
+    assert got == pytest.approx(count(*lattice.expected(*whole, np.array([3.0]))))
+
+
+def test_long_and_short_words_meet_at_the_bound(monkeypatch):
+    pieces, p = lattice.vocabulary(tokenizer_path(VOCABULARY))
+    have = lattice.Pieces(pieces, np.log(p))
+    assert have.widest > 16
+    words = pa.array(["x" * 256, "неправительственных" * 9, "ab1" * 40], pa.string()).cast(pa.binary())
+    short = lattice.word_scores(words, have)
+    monkeypatch.setattr(lattice, "LONG", 10)
+    assert lattice.word_scores(words, have) == pytest.approx(short)
+
+
 def base(docs):
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     held = {k: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for k, (i, _) in enumerate(docs)}
@@ -62,7 +85,7 @@ def base(docs):
 @pytest.mark.parametrize("head", [0, 3, 100000])
 def test_scores_against_plain_counting(spark, monkeypatch, head, tmp_path):
     monkeypatch.setattr(lattice, "HEAD", head)
-    docs = [(i, f"the cat {'sat ' * (i % 5)}on Éé w{i} İ") for i in range(40)] + [(5, None), (5, ""), (6, "x" * 3000), (6, "x" * 3000), (None, " a\tb\n")]
+    docs = [(i, f"the cat {'sat ' * (i % 5)}on Éé w{i} İ") for i in range(40)] + [(5, None), (5, ""), (6, "x" * 3000), (6, "x" * 3000), (7, "ab1" * 300_000), (None, " a\tb\n")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op5_lattice_score(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == base(docs)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sentinelle.llm import suffixes
+from sentinelle.llm import skew, suffixes
 from sentinelle.session import table
 
 SCHEMA = "doc_id long, text string, h string"
@@ -44,11 +44,12 @@ def sample(r=None):
     return docs
 
 
-@pytest.mark.parametrize(("step", "bin_", "crowd"), [(1 << 20, 4 << 20, 12000), (400, 3000, 6), (300, 1, 10**6)])
+@pytest.mark.parametrize(("step", "bin_", "crowd"), [(1 << 20, 4 << 20, 12000), (400, 3000, 6), (300, 1, 10**6), (10**6, 3000, 1)])
 def test_against_all_windows(spark, monkeypatch, step, bin_, crowd):
     monkeypatch.setattr(suffixes, "STEP", step)
     monkeypatch.setattr(suffixes, "BIN", bin_)
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(skew, "HEAD", 20)
     docs = sample()
     assert result(suffixes.removed(spark.createDataFrame(docs, SCHEMA))) == brute(docs)
 
