@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentinelle.llm import storage, words
 
@@ -401,10 +402,9 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """`docs` with one row for each class: the one with the least id and, of that id, the least print. Documents
     without words all stay."""
     found = classes(docs, doc_id, text)
-    stay = storage.written(found.where("class_print is not null").select(F.col("class_id").alias("_id"), F.col("class_print").alias("_head")).distinct(), "stay")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_print", T.StringType())])
+    shown = storage.free(docs, "_print")
+    stay = storage.written(found.where("class_print is not null").select(F.col("class_id").alias(f"{shown}_id"), F.col("class_print").alias(f"{shown}_head")).distinct(), "stay")
+    schema = T.StructType([*docs.schema.fields, T.StructField(shown, T.StringType())])
 
     def run(batches):
         for batch in words.pieces(batches, text, STEP):
@@ -412,6 +412,6 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[f.name for f in schema.fields])
 
     marked = storage.mapped(docs, run, schema)
-    blank = marked.where("_print is null")
-    first = marked.join(stay, (F.col("_print") == F.col("_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_print"])
+    blank = marked.where(F.col(shown).isNull())
+    first = marked.join(stay, (F.col(shown) == F.col(f"{shown}_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col(f"{shown}_id")), "left_semi").dropDuplicates([shown])
     return first.select(*docs.columns).unionByName(blank.select(*docs.columns))

@@ -7,7 +7,7 @@ exact distinct count. Boilerplate lines leave every document but the one where t
 then place), so that no text is lost to the collection.
 
 Boilerplate meets the lines by `skew.met`: the most frequent, bounded in number, are broadcast, and the others are
-dealt out by line. Only places travel from there to the documents.
+dealt out by line. From there only places go on to the documents.
 
 Defined cases: lines are what stands between line feeds; blank lines are never boilerplate; a null site is a site of
 its own; a null text has no lines and stays null; repeats of a boilerplate line inside its first document go too;
@@ -70,8 +70,8 @@ def without_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     lines = exploded(docs, doc_id, text, site)
     cut = places(lines, storage.written(boilerplate(lines, spread, near), "boilerplate"))
     cut = cut.select(F.col("doc").alias(f"{p}doc"), F.col("copy").alias(f"{p}copy"), F.col("places").alias(f"{p}places"))
-    # Only places travel; the texts are cut where they are.
-    rows = docs.join(cut, F.col(doc_id).cast("long").eqNullSafe(doc) & (F.xxhash64(text) == copy), "left")
+    # Places are far smaller than texts, so they are hashed and the texts need no sort.
+    rows = docs.join(cut.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(doc) & (F.xxhash64(text) == copy), "left")
     said = F.split(F.col(text), "\n", -1)
     # The places that stay, by one hash set, then their lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size(said) - 1), drop)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -46,11 +47,31 @@ def test_against_plain_python(spark):
     assert 0 < len(want) < 200
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _key string, _print string, q_words int, line_n int, _line_doc int"
+
+
+def same(frame, rows):
+    assert frame.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+    assert sorted(map(tuple, frame.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_stages_on_odd_rows(spark):
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "word " * 60, "en", "s", 300), (2, "word " * 60, "en", "s", 300)]
-    for frame in (spark.createDataFrame(rows, columns), spark.createDataFrame([], columns)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, frame, SF).columns == frame.columns
-            assert stage(spark, frame, SF).count() <= len(rows)
-        assert corpus_pipeline.tokens(spark, frame, SF).count() == frame.count()
+    r = random.Random(3)
+    text = lambda seed: " ".join(f"{seed}{r.randrange(10**6)} the" for _ in range(40))
+    one, two = text("a"), text("b")
+    more = ("k", "p", 1, 2, 3)
+    row = lambda d, t, source="s": (d, t, "en", source, None if t is None else len(t), *more)
+    none = (1, None, None, None, None, None, None, None, None, None)
+    rows = [none, row(None, ""), row(2, one), row(2, one), row(2, two), row(None, text("c")), row(3, "few words")]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    stages = dict(corpus_pipeline.STAGES)
+    same(stages["quality rules"](spark, frame, SF), rows[2:6])
+    same(stages["decontamination"](spark, frame, SF), rows)
+    # The two rows of one id and one text are one document; blank ones all stay.
+    same(stages["near-duplicates"](spark, frame, SF), rows[:3] + rows[4:])
+    plate = [row(k, f"common line\nown {k}", f"s{k}") for k in range(5)] + [row(9, "common line", "s9"), row(10, "\ncommon line\n", None)]
+    cut = [row(0, "common line\nown 0", "s0")] + [row(k, f"own {k}", f"s{k}") for k in range(1, 5)]
+    same(stages["line dedup"](spark, spark.createDataFrame(rows + plate, COLUMNS), SF), rows + cut)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        same(stage(spark, spark.createDataFrame([], COLUMNS), SF), [])
+    assert corpus_pipeline.tokens(spark, frame, SF).count() == len(rows)
