@@ -24,7 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from texts, and with them documents that had nothing else."""
-    out = lines.without_boilerplate(docs).where((F.col("line_n") > F.col("line_removed")) | (F.col("line_removed") == 0))
+    p = storage.free(docs, "line_")
+    n, removed = F.col(f"{p}n"), F.col(f"{p}removed")
+    out = lines.without_boilerplate(docs, prefix=p).where((n > removed) | (removed == 0))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
