@@ -15,43 +15,49 @@ from sentinelle.sources.views import HOUR, KM, Queries
 Q = Queries()
 
 
-def _side(spark, d, s, where):
-    o = V.observations(spark, d).where(where)
-    keep = {"id": "id", "occurred": "occurred", "lat": "lat", "lon": "lon", "place": "place", "precision": "precision"}
+def reports(spark, d):
+    """Observations with the words and actors they name, and whose claim they are."""
     actors = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), F.col("user_id") % 3), F.concat(F.lit("a"), F.col("id") % 4)))
     words = F.array(F.concat(F.lit("w"), F.col("k") % 5), F.concat(F.lit("x"), F.col("user_id") % 4), F.lit("same"))
-    return o.select("event_type", *[F.col(c).alias(f"{n}_{s}") for n, c in keep.items()], F.array_distinct(actors).alias(f"actors_{s}"), words.alias(f"tokens_{s}"))
+    identity = F.when(F.col("channel").isNotNull(), F.concat_ws("/", "platform", "channel"))
+    columns = ("id", "received", "occurred", "event_type", "lat", "lon", "precision", "place")
+    return V.observations(spark, d).select(*columns, F.array_distinct(actors).alias("actors"), words.alias("tokens"), (F.col("tier") == "UserGenerated").alias("claim"), identity.alias("identity"))
 
 
-_OBS = "id % 4 = 0"
-_CAND = "id % 4 = 2"
-_PAIRS = f""", s AS (SELECT *, CASE WHEN id % 3 = 0 THEN []::VARCHAR[] ELSE list_distinct(['a' || (user_id % 3), 'a' || (id % 4)]) END AS actors, ['w' || (k % 5), 'x' || (user_id % 4), 'same'] AS tokens FROM v_observations),
+DAY = 24 * HOUR
+_REPORTS = """, s AS (SELECT *, CASE WHEN id % 3 = 0 THEN []::VARCHAR[] ELSE list_distinct(['a' || (user_id % 3), 'a' || (id % 4)]) END AS actors, ['w' || (k % 5), 'x' || (user_id % 4), 'same'] AS tokens FROM v_observations)"""
+_PAIRS = f"""{_REPORTS},
 p AS (SELECT a.id AS a, b.id AS b, a.occurred AS at_a, b.occurred AS at_b, lower(a.place) = lower(b.place) AS same, a.precision = 'Country' AND b.precision = 'Country' AS country,
         CASE WHEN a.precision <> 'Country' AND b.precision <> 'Country' THEN {KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} END AS km,
         round_even(len(list_intersect(a.tokens, b.tokens)) / sqrt(len(a.tokens)::DOUBLE * len(b.tokens)), 4) AS sim, len(list_intersect(a.actors, b.actors)) AS shared,
         CASE WHEN len(a.actors) > 0 AND len(b.actors) > 0 THEN round_even(len(list_intersect(a.actors, b.actors)) / len(a.actors), 4) END AS overlap
-      FROM s a JOIN s b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {2 * HOUR} WHERE a.id % 4 = 0 AND b.id % 4 = 2),
+      FROM s a JOIN s b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {DAY}
+      QUALIFY b.id < a.id AND row_number() OVER (PARTITION BY a.id ORDER BY b.occurred DESC, b.id) <= 200),
 c AS (SELECT *, CASE WHEN km IS NOT NULL THEN CASE WHEN km <= 75 THEN 1 - 0.45 * km / 75 END WHEN country AND same THEN 0.55 WHEN same THEN 0.55 WHEN sim >= 0.4 AND shared > 0 THEN 0.6 END AS cap FROM p),
 f AS (SELECT *, round(cap * (0.6 + 0.4 * CASE WHEN overlap IS NOT NULL THEN (overlap + sim) / 2 ELSE sim END), 3) AS score FROM c)"""
 
 
 def _pairs(spark, d):
-    return R.pairs_in_time(_side(spark, d, "a", _OBS), _side(spark, d, "b", _CAND), ["event_type"], "occurred_a", "occurred_b", 2 * HOUR)
+    """Every report with those of lesser id, among its newest candidates, that place, or wording and actors, can join it to."""
+    ranked = R.ranked(reports(spark, d), DAY)
+    columns = ("id", "occurred", "lat", "lon", "place", "precision", "actors", "tokens", "rank", "upto")
+    a, b = (ranked.select("event_type", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
+    return R.among(R.near_pairs(a, b, DAY), DAY).unionByName(R.by_content(a, b, DAY)).where("id_b < id_a")
 
 
-@Q.add("correlation_candidates_interval", _PAIRS + " SELECT a, count(*) AS candidates, max(at_b) AS newest FROM p GROUP BY 1")
+@Q.add("correlation_candidates_interval", f"SELECT o.id AS a, least(200, count(*))::BIGINT AS candidates, max(i.occurred) AS newest FROM v_observations o JOIN v_incidents i ON i.event_type = o.event_type AND abs(i.occurred - o.occurred) <= {DAY} GROUP BY 1")
 def correlation_candidates_interval(spark, d):
-    return _pairs(spark, d).groupBy(F.col("id_a").alias("a")).agg(F.count("*").alias("candidates"), F.max("occurred_b").alias("newest"))
+    return R.candidates(V.observations(spark, d), V.incidents(spark, d), DAY).withColumnRenamed("id", "a")
 
 
-@Q.add("held_claim_candidates", f""", h AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.received, b.id) AS r FROM v_observations a JOIN v_observations b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {24 * HOUR}
-  WHERE a.id % 50 = 5 AND b.status = 'HeldForCorroboration') SELECT a, b FROM h WHERE r <= 50""")
+@Q.add("held_claim_candidates", f""", h AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.received, b.id) AS r FROM v_observations a JOIN v_observations b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {DAY}
+  WHERE b.status = 'HeldForCorroboration') SELECT a, b FROM h WHERE r <= 50""")
 def held_claim_candidates(spark, d):
     o = V.observations(spark, d)
-    a = o.where("id % 50 = 5").select("event_type", F.col("id").alias("a"), F.col("occurred").alias("at_a"))
+    a = o.select("event_type", F.col("id").alias("a"), F.col("occurred").alias("at_a"))
     b = o.where("status = 'HeldForCorroboration'").select("event_type", F.col("id").alias("b"), F.col("occurred").alias("at_b"), "received")
     w = Window.partitionBy("a").orderBy("received", "b")
-    return R.pairs_in_time(a, b, ["event_type"], "at_a", "at_b", 24 * HOUR).withColumn("r", F.row_number().over(w)).where("r <= 50").select("a", "b")
+    return R.pairs_in_time(a, b, ["event_type"], "at_a", "at_b", DAY).withColumn("r", F.row_number().over(w)).where("r <= 50").select("a", "b")
 
 
 @Q.add("correlation_pair_score", _PAIRS + " SELECT a, b, score FROM f WHERE score >= 0.45")
@@ -65,10 +71,13 @@ def correlation_best_earlier(spark, d):
     return earlier.groupBy(F.col("id_a").alias("a")).agg(F.max_by("id_b", F.struct("score", "occurred_b", -F.col("id_b"))).alias("b"), F.max("score").alias("score"))
 
 
-@Q.add("corroboration_pairs", f""", h AS (SELECT * FROM v_observations WHERE tier = 'UserGenerated' AND channel IS NOT NULL)
-SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.event_type = b.event_type AND a.id < b.id AND abs(a.occurred - b.occurred) <= {6 * HOUR} WHERE a.platform || '/' || a.channel <> b.platform || '/' || b.channel AND {KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25""")
+@Q.add("corroboration_pairs", f"""{_REPORTS}, h AS (SELECT * FROM s WHERE tier = 'UserGenerated' AND channel IS NOT NULL)
+SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.event_type = b.event_type AND a.id < b.id AND abs(a.occurred - b.occurred) <= {DAY} WHERE a.platform || '/' || a.channel <> b.platform || '/' || b.channel
+  AND CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.precision <> 'Country' AND b.precision <> 'Country' THEN {KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25
+      ELSE a.place = b.place AND NOT (a.lat IS NOT NULL AND a.precision = 'Country') AND NOT (b.lat IS NOT NULL AND b.precision = 'Country')
+        AND (len(list_intersect(a.actors, b.actors)) > 0 OR round_even(len(list_intersect(a.tokens, b.tokens)) / 3, 4) >= 0.4) END""")
 def corroboration_pairs(spark, d):
-    return R.corroborated(V.observations(spark, d).where("tier = 'UserGenerated'"), 6 * HOUR).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return R.corroborated(reports(spark, d).where("claim"), DAY).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 @Q.add("incident_rollup", "SELECT incident, count(*) AS observations, max(severity) AS severity, arg_min(event_type, (received, id)) AS event_type, min(occurred) AS occurred, arg_min(lat, (received, id)) FILTER (lat IS NOT NULL) AS lat, max(value) AS confidence, array_to_string(list_sort(list(DISTINCT source))[1:40], ',') AS sources FROM v_observations WHERE incident IS NOT NULL GROUP BY 1")
@@ -79,8 +88,7 @@ def incident_rollup(spark, d):
 
 @Q.add("correlate_greedy_assign")
 def correlate_greedy_assign(spark, d):
-    o = V.observations(spark, d).withColumn("block", F.floor(F.col("lat") / 15))
-    return R.greedy(o.select("id", "received", "occurred", "lat", "lon", "event_type", "block"), HOUR)
+    return R.correlated(reports(spark, d), DAY)
 
 
 @Q.add("correlation_components", f""", b AS (SELECT *, CASE WHEN occurred - lag(occurred) OVER w > {HOUR} THEN 1 ELSE 0 END AS gap FROM v_observations WINDOW w AS (PARTITION BY event_type ORDER BY occurred, id)),

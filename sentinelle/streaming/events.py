@@ -6,12 +6,19 @@ than the watermark are left to the next batch correlation.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinelle.operators.desk import Desk
+from sentinelle.operators.desk import reports as in_order
+
+#: Microseconds by which a report may come late.
+LATE = 48 * 3_600_000_000
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -51,6 +58,27 @@ def running_incidents(events: DataFrame, gap_seconds: int = 6 * 3600) -> DataFra
     return events.groupBy("event_type", "user_id").applyInPandasWithState(step, "event_type string, user_id long, incident long, reports long", "last double, n long, number long", "update", "NoTimeout")
 
 
+def correlated(reports: DataFrame, window: int) -> DataFrame:
+    """Reports settled into incidents as they arrive: (id, incident, score, how), held claims once they are released.
+
+    The state of a type is its desk: open incidents and held claims. Reports of a micro-batch are taken in order of
+    arrival; a source that delivers files in that order gives what `correlate.correlated` gives. A desk forgets what
+    occurred more than twice `LATE` before the newest arrival.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state):
+        desk = pickle.loads(state.get[0]) if state.exists else Desk(window)
+        found = pd.concat(list(frames)).sort_values(["received", "id"])
+        out = []
+        for r in in_order(found):
+            out += desk.take(r)
+        desk.forget(int(found["received"].max()) - 2 * LATE)
+        state.update((pickle.dumps(desk),))
+        yield pd.DataFrame(out, columns=["id", "incident", "score", "how"]).astype({"incident": "Int64", "score": float})
+
+    return reports.groupBy("event_type").applyInPandasWithState(step, "id long, incident long, score double, how string", "desk binary", "append", "NoTimeout")
+
+
 def land(stream: DataFrame, folder: str, checkpoint: str, failed: str | None = None, reason: str = "reject_reason"):
     """Writes each micro-batch once: rows with a reason go to `failed`, the rest to `folder`, by batch number."""
 
