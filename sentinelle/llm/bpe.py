@@ -1,11 +1,12 @@
 """BPE encoding and decoding with a public tokenizer file.
 
 A text is cut where the tokenizer itself always cuts it (ASCII white space); each distinct chunk of a batch is
-encoded once. A chunk longer than `LEAF` characters can hold long unsplit text, and each of its pre-tokens that
-is longer than a leaf goes through tree concatenation: halves are encoded on their own, down to leaves, and at
-every join a growing window of tokens around it is encoded again until its first token agrees with the left half
-and its last with the right half. Neighbouring tokens then are, at every place, neighbours in an encoding of
-their own text, which makes the whole the encoding of the whole.
+encoded once. In a chunk longer than `LEAF` characters each pre-token longer than a leaf goes through tree
+concatenation, all pre-tokens of the batch together: every one is halved down to leaves, all leaves are encoded at
+once and in parallel, and then, level by level, all joins are made at once. At a join a window of tokens around it is
+encoded again, growing until its first token agrees with the left half and its last with the right half. Neighbouring
+tokens then are, at every place, neighbours in an encoding of their own text, which makes the whole the encoding of
+the whole. A batch is bounded by its bytes, so only the text of one very long row can make it larger.
 
 Defined cases: null is the empty text (no ids, decoded ''); strings of special tokens inside a text become those
 tokens, as in the library; repeated rows are encoded alike; other columns pass through.
@@ -13,6 +14,7 @@ tokens, as in the library; repeated rows are encoded alike; other columns pass t
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import os
@@ -24,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sentinelle.llm import words
+from sentinelle.llm import storage, words
 
-LEAF = 512
-#: Bytes of text handled at once, and chunks that a Python worker remembers; both only bound memory.
-STEP, REMEMBERED = 8 << 20, 200_000
+LEAF = 16
+#: Bytes of text handled at once, and chunks of at most 64 bytes that a Python worker remembers; both only bound memory.
+STEP, REMEMBERED = 1 << 20, 50_000
+#: Leaves or windows beyond which the library encodes them on threads.
+MANY = 4096
 
 
 class Coder:
@@ -45,59 +49,88 @@ class Coder:
         self.whole.no_padding()
         bpe, merges = spec["model"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         suffix = bpe.get("end_of_word_suffix")
-        self.suffix = len(suffix or "")
-        self.last = models.BPE(bpe["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {}))
-        self.inner = models.BPE(bpe["vocab"], merges)
+        kinds = (models.BPE(bpe["vocab"], merges), models.BPE(bpe["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {})))
+        #: Encoders of bare text: inside a pre-token, and up to its end.
+        self.inner, self.last = (Tokenizer(kind) for kind in kinds)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def leaf(self, text: str, last: bool) -> list[tuple[int, int]]:
-        """(id, characters) of the tokens of `text`, which ends its pre-token if `last`."""
-        tokens = [(t.id, len(t.value)) for t in (self.last if last else self.inner).tokenize(text)]
-        if last and tokens:
-            tokens[-1] = (tokens[-1][0], tokens[-1][1] - self.suffix)
-        return tokens
-
-    def tree(self, text: str, last: bool = True) -> list[tuple[int, int]]:
-        """(id, characters) of the tokens of one pre-token, by tree concatenation."""
-        if len(text) <= LEAF:
-            return self.leaf(text, last)
-        mid = len(text) // 2
-        return self.join(text, self.tree(text[:mid], False), self.tree(text[mid:], last), mid, last)
-
-    def join(self, text: str, left: list, right: list, mid: int, last: bool) -> list:
-        k = 1
-        while True:
-            a, b = max(0, len(left) - k), min(len(right), k)
-            lo, hi = mid - sum(n for _, n in left[a:]), mid + sum(n for _, n in right[:b])
-            whole = last and b == len(right)
-            window = self.leaf(text[lo:hi], whole)
-            if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
-                return left[:a] + window + right[b:]
-            k *= 2
-
-    def long(self, chunk: str) -> list[int]:
-        """The ids of a chunk that may hold long unsplit text."""
-        out: list[int] = []
-        for part in self.special_re.split(chunk) if self.special_re else [chunk]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                clean = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
-                for token, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean):
-                    out += [i for i, _ in self.tree(token)]
+    def leaves(self, texts: list[str], ends: list[bool]) -> list[list[tuple[int, int]]]:
+        """(id, characters) of the tokens of every text; one that `ends` ends its pre-token."""
+        os.environ["TOKENIZERS_PARALLELISM"] = str(len(texts) > MANY).lower()
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for encoder, end in ((self.inner, False), (self.last, True)):
+            mine = [k for k, e in enumerate(ends) if e == end]
+            for k, coded in zip(mine, encoder.encode_batch([texts[k] for k in mine], add_special_tokens=False), strict=True):
+                out[k] = [(i, b - a) for i, (a, b) in zip(coded.ids, coded.offsets, strict=True)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return out
 
+    def trees(self, tokens: list[str]) -> list[list[tuple[int, int]]]:
+        """(id, characters) of the tokens of each pre-token, by tree concatenation of all of them level by level."""
+        # A token's bounds at each level halve those of the level above, down to leaves.
+        levels = [[[0, len(t)] for t in tokens]]
+        while any(b - a > LEAF for at in levels[-1] for a, b in zip(at[:-1], at[1:], strict=True)):
+            levels.append([sorted({*at, *((a + b) // 2 for a, b in zip(at[:-1], at[1:], strict=True) if b - a > LEAF)}) for at in levels[-1]])
+        cut = [(t[a:b], b == len(t)) for t, at in zip(tokens, levels[-1], strict=True) for a, b in zip(at[:-1], at[1:], strict=True)]
+        coded = iter(self.leaves([c for c, _ in cut], [e for _, e in cut]))
+        have = [{a: next(coded) for a in at[:-1]} for at in levels[-1]]
+        for above, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
+            joins = []
+            for k, (up, down) in enumerate(zip(above, below, strict=True)):
+                joins += [(k, m, up[bisect.bisect_right(up, m) - 1], up[bisect.bisect_right(up, m)]) for m in sorted(set(down) - set(up))]
+            self.join(tokens, have, joins)
+        return [h[0] for h in have]
+
+    def join(self, tokens: list[str], have: list[dict[int, list]], joins: list[tuple[int, int, int, int]]) -> None:
+        """Put together, for each (token, middle, start, stop), the two halves that meet in the middle."""
+        size = 1
+        while joins:
+            windows = []
+            for k, mid, lo, hi in joins:
+                left, right = have[k][lo], have[k][mid]
+                a, b = max(0, len(left) - size), min(len(right), size)
+                start, stop = mid - sum(n for _, n in left[a:]), mid + sum(n for _, n in right[:b])
+                windows.append((a, b, tokens[k][start:stop], b == len(right) and hi == len(tokens[k])))
+            again = []
+            for join, (a, b, _, _), window in zip(joins, windows, self.leaves([w[2] for w in windows], [w[3] for w in windows]), strict=True):
+                k, mid, lo, _ = join
+                left, right = have[k][lo], have[k][mid]
+                if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
+                    have[k][lo] = left[:a] + window + right[b:]
+                    del have[k][mid]
+                else:
+                    again.append(join)
+            joins, size = again, size * 2
+
+    def long(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of chunks that may hold long unsplit text."""
+        out: list[list[int | None]] = []
+        waiting: list[str] = []
+        for chunk in chunks:
+            ids: list[int | None] = []
+            for part in self.special_re.split(chunk) if self.special_re else [chunk]:
+                if part in self.special:
+                    ids.append(self.special[part])
+                elif part:
+                    clean = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
+                    for token, _ in self.whole.pre_tokenizer.pre_tokenize_str(clean):
+                        ids.append(None)
+                        waiting.append(token)
+            out.append(ids)
+        trees = iter(self.trees(waiting))
+        return [[i for one in ids for i in ([one] if one is not None else [t for t, _ in next(trees)])] for ids in out]
+
     def chunks(self, found: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids (unsigned 32 bits each) and decoded text of chunks; a chunk with tokens decodes to text with a blank after it."""
         fresh = [c for c in found if c not in self.known]
         texts = [c.decode("utf-8") for c in fresh]
-        short = self.whole.encode_batch_fast([t for t in texts if len(t) <= LEAF], add_special_tokens=False)
-        quick = iter(short)
+        quick = iter(self.whole.encode_batch_fast([t for t in texts if len(t) <= LEAF], add_special_tokens=False))
+        slow = iter(self.long([t for t in texts if len(t) > LEAF]))
         new: dict[bytes, tuple[bytes, bytes]] = {}
         for c, t in zip(fresh, texts, strict=True):
-            ids = next(quick).ids if len(t) <= LEAF else self.long(t)
+            ids = next(quick).ids if len(t) <= LEAF else next(slow)
             said = self.whole.decode(ids, skip_special_tokens=False) + " " if ids else ""
             new[c] = (np.asarray(ids, "<u4").tobytes(), said.encode("utf-8"))
         out = [self.known.get(c) or new[c] for c in found]
@@ -139,4 +172,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             got, said = coder(path).batch(batch.column(text))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], got, said], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return storage.mapped(docs, run, schema)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from sentinelle.llm import bpe
@@ -37,12 +38,23 @@ def test_same_ids_and_text_as_the_library(spark):
         assert r.decoded == said, r.doc_id
 
 
-def test_tree_equals_one_encoding(monkeypatch):
-    monkeypatch.setattr(bpe, "LEAF", 5)
+@pytest.mark.parametrize("leaf", [1, 3, 5, 16])
+def test_trees_equal_one_encoding(monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "MANY", 50)
     c, r = bpe.Coder(tokenizer_path()), random.Random(1)
-    for _ in range(400):
-        word = "".join(r.choice("theinaoxz") for _ in range(r.randrange(1, 90)))
-        assert [i for i, _ in c.tree(word)] == [t.id for t in c.last.tokenize(word)]
+    found = ["".join(r.choice("theinaoxzé'") for _ in range(r.randrange(1, 90))) for _ in range(400)]
+    for word, tree in zip(found, c.trees(found), strict=True):
+        assert [i for i, _ in tree] == c.last.encode(word, add_special_tokens=False).ids
+        assert sum(n for _, n in tree) == len(word)
+
+
+def test_a_long_unsplit_run_in_a_table(spark):
+    r = random.Random(8)
+    run = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    got = bpe.encode(spark.createDataFrame([(1, f"start {run} end", ""), (2, run[:99], "")], SCHEMA), tokenizer_path(), ids="coded").collect()
+    for row, text in zip(sorted(got, key=lambda x: x.doc_id), (f"start {run} end", run[:99]), strict=True):
+        assert (np.frombuffer(row.coded, "<u4").tolist(), row.decoded) == library(text)
 
 
 def test_empty_table(spark):
