@@ -81,3 +81,31 @@ def capped(items: DataFrame, order: list, per_channel: int = 3, per_platform: in
 def overfull(df: DataFrame, cap: int) -> DataFrame:
     """Whether more rows match than a report shows, found by reading one more than it shows."""
     return df.limit(cap + 1).agg(F.count("*").alias("probe")).select(F.least(F.col("probe"), F.lit(cap).cast("long")).alias("shown"), (F.col("probe") > cap).alias("truncated"))
+
+
+def gaps(df: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """keys, starts, ends of stretches of more than `width` between neighbours in time.
+
+    Two rows of a time bin of that width are never so far apart, so only each bin's first and last time are put in order.
+    """
+    bins = df.groupBy(*keys, F.floor(F.col(at) / width).alias("_bin")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    return bins.select(*keys, F.lag("_last").over(w).alias("starts"), F.col("_first").alias("ends")).where(F.col("ends") - F.col("starts") > width)
+
+
+def nearest_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float], width: float = 1.0) -> DataFrame:
+    """For each key the values at the nearest rank of `shares` (name -> share), exactly.
+
+    Values are counted by ranges of `width` first; the range that holds a rank is found among the counts, and only its
+    own values, counted once each, are put in order.
+    """
+    seen = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(value) / width))
+    ranges = seen.groupBy(key, "_range").agg(F.sum("_n").alias("_in"))
+    total = seen.groupBy(key).agg(F.sum("_n").alias("_all"))
+    upto = F.sum("_in").over(Window.partitionBy(key).orderBy("_range"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("_all") * s)).alias("rank")) for n, s in shares.items()]))
+    spots = ranges.withColumn("_before", upto - F.col("_in")).join(total, key).withColumn("_want", wanted)
+    spots = spots.where((F.col("_want.rank") > F.col("_before")) & (F.col("_want.rank") <= F.col("_before") + F.col("_in")))
+    inside = seen.join(spots, [key, "_range"]).withColumn("_reach", F.col("_before") + F.sum("_n").over(Window.partitionBy(key, "_range", "_want.name").orderBy(value)))
+    hit = lambda n: F.min(F.when((F.col("_want.name") == n) & (F.col("_reach") >= F.col("_want.rank")), F.col(value))).alias(n)
+    return inside.groupBy(key).agg(*[hit(n) for n in shares])

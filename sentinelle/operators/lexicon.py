@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinelle.operators import graph
+
 # Feature codes and the precision each stands for.
 FEATURES = {"PPLC": "Settlement", "PPLA": "Settlement", "PPLA2": "Settlement", "PPL": "Settlement", "ADM1": "Region", "ADM2": "Region", "PCLI": "Country"}
 #: Inhabitants a plain town needs, degrees within which two entries are one place or one holds the other, and how far a winner must lead.
@@ -20,41 +21,33 @@ def admitted(rows: DataFrame) -> DataFrame:
 
 
 def disambiguated(entries: DataFrame) -> DataFrame:
-    """key, chosen (null: undecided): what a bare name means. `entries` has key, id, lat, lon, population.
+    """key, chosen (null: undecided), places: what a bare name means. `entries` has key, id (its own), lat, lon, population.
 
     Entries of a name that lie together, or one inside the other, are one place; the most populous place wins if it has
-    TOWN inhabitants and LEAD times those of the next. A name's bearers are few, whatever the corpus.
+    TOWN inhabitants and LEAD times those of the next. Neighbours meet by grid cell; of a name's places only the two
+    most populous are kept, so a name may have any number of bearers.
     """
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values("id").itertuples(index=False))
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i, a in enumerate(rows):
-            for j, b in enumerate(rows[:i]):
-                apart = max(abs(a.lat - b.lat), abs(a.lon - b.lon))
-                if apart <= SAME or (apart <= NESTED and min(a.population, b.population) == 0):
-                    root[find(i)] = find(j)
-        places: dict[int, list] = {}
-        for i, r in enumerate(rows):
-            places.setdefault(find(i), []).append(r)
-        best = sorted((max(p, key=lambda r: (r.population, -r.id)) for p in places.values()), key=lambda r: (-r.population, r.id))
-        top, rest = best[0], best[1:]
-        sure = not rest or (top.population >= TOWN and top.population >= LEAD * rest[0].population)
-        return pd.DataFrame({"key": [top.key], "chosen": pd.array([top.id if sure else None], "Int64"), "places": [len(best)]})
-
-    return entries.select("key", "id", "lat", "lon", "population").groupBy("key").applyInPandas(choose, "key string, chosen long, places long")
+    rows = entries.select("key", "id", "lat", "lon", "population")
+    y, x = F.floor(F.col("lat") / NESTED), F.floor(F.col("lon") / NESTED)
+    near = lambda c: F.explode(F.array(*[c + k for k in (-1, 0, 1)]))
+    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "lat", "lon", "population")], y.alias("y"), x.alias("x"))
+    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "lat", "lon", "population")], near(y).alias("y"), x.alias("x")).withColumn("x", near(F.col("x")))
+    apart = F.greatest(F.abs(F.col("lat_a") - F.col("lat_b")), F.abs(F.col("lon_a") - F.col("lon_b")))
+    one = (apart <= SAME) | ((apart <= NESTED) & (F.least("population_a", "population_b") == 0))
+    same = graph.connected(a.join(b, ["key", "y", "x"]).where((F.col("id_a") < F.col("id_b")) & one).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    places = rows.join(same, "id", "left").groupBy("key", F.coalesce("component", "id").alias("place")).agg(F.max(F.struct("population", (-F.col("id")).alias("back"))).alias("best"))
+    ahead = Window.partitionBy("key").orderBy(F.desc("best"))
+    top = places.withColumn("r", F.row_number().over(ahead)).where("r <= 2").groupBy("key").agg(F.max("best").alias("top"), F.min(F.when(F.col("r") == 2, F.col("best.population"))).alias("next"))
+    sure = F.col("next").isNull() | ((F.col("top.population") >= TOWN) & (F.col("top.population") >= LEAD * F.col("next")))
+    return top.join(places.groupBy("key").agg(F.count("*").alias("places")), "key").select("key", F.when(sure, -F.col("top.back")).alias("chosen"), "places")
 
 
 def capitalised(text, most: int = 5) -> Column:
     """Runs of capitalised words, without those inside longer ones."""
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"), F.lit(0)))
-    whole = F.filter(runs, lambda r: ~F.exists(runs, lambda o: (o != r) & F.contains(o, r)))
+    # Inside another one: still there once its own entry is taken out of the list.
+    listed = F.concat(F.lit("\n"), F.array_join(runs, "\n"), F.lit("\n"))
+    whole = F.filter(runs, lambda r: ~F.contains(F.replace(listed, F.concat(F.lit("\n"), r, F.lit("\n")), F.lit("\n")), r))
     return F.slice(whole, 1, most)
 
 

@@ -96,9 +96,9 @@ def conflict_register_build(spark, d):
     return sums.join(country, "conflict").select("conflict", "events", "deaths", "country", "places")
 
 
-@Q.add("register_country_backing", ", x AS (SELECT DISTINCT unnest(conflicts) AS conflict, country, place FROM v_conflicts WHERE lat IS NOT NULL AND user_id < 60), b AS (SELECT conflict, country, count(*) AS places FROM x GROUP BY 1, 2) SELECT * FROM b WHERE places >= 2")
+@Q.add("register_country_backing", ", x AS (SELECT DISTINCT unnest(conflicts) AS conflict, country, place FROM v_conflicts WHERE lat IS NOT NULL), b AS (SELECT conflict, country, count(*) AS places FROM x GROUP BY 1, 2) SELECT * FROM b WHERE places >= 2")
 def register_country_backing(spark, d):
-    x = V.conflict_reports(spark, d).where("lat is not null and user_id < 60").select(F.explode("conflicts").alias("conflict"), "country", "place").distinct()
+    x = V.conflict_reports(spark, d).where("lat is not null").select(F.explode("conflicts").alias("conflict"), "country", "place").distinct()
     return x.groupBy("conflict", "country").agg(F.count("*").alias("places")).where("places >= 2")
 
 
@@ -125,7 +125,7 @@ def narrative_evidence_pack(spark, d):
 
 @Q.add(
     "control_assessment",
-    f""", c AS (SELECT lower(place) AS place, received AS made, id % 5 = 0 AS withdrawal, id % 9 = 0 AS coded, 'A' || (id % 3) AS actor, lower(source) AS source FROM v_observations WHERE id % 37 = 0 AND received >= {NOW - 90 * DAY} AND received < {NOW}),
+    f""", c AS (SELECT lower(place) AS place, received AS made, id % 5 = 0 OR user_id % 40 = 9 AS withdrawal, id % 9 = 0 AS coded, 'A' || (CASE WHEN user_id % 4 = 0 THEN id ELSE user_id % 40 END % 3) AS actor, lower(source) AS source FROM v_observations WHERE received >= {NOW - 90 * DAY} AND received < {NOW}),
 g AS (SELECT *, max(made) OVER (PARTITION BY place) AS newest FROM c WHERE NOT withdrawal),
 s AS (SELECT place, max(newest) AS newest, count(*) AS claims, bool_or(coded) AS coded, count(DISTINCT source) AS sources, count(DISTINCT lower(actor)) FILTER (made >= newest - {14 * DAY}) AS actors, arg_max(actor, (made, actor)) AS holder FROM g GROUP BY 1),
 v AS (SELECT p.place, CASE WHEN claims IS NULL OR (NOT coded AND sources < 2) THEN 'Insufficient' WHEN actors > 1 THEN 'Contested' WHEN newest < {NOW - 30 * DAY} THEN 'Stale' ELSE 'Assessed' END AS verdict, holder, coalesce(claims, 0) AS claims
@@ -133,8 +133,9 @@ v AS (SELECT p.place, CASE WHEN claims IS NULL OR (NOT coded AND sources < 2) TH
 SELECT place, verdict, CASE WHEN verdict = 'Assessed' THEN holder END AS holder, claims FROM v""",
 )
 def control_assessment(spark, d):
-    i = F.col("id")
-    claims = V.observations(spark, d).where(i % 37 == 0).select("place", F.col("received").alias("at"), F.when(i % 5 == 0, "WithdrawalReported").otherwise("TerritoryTransferred").alias("signal"), (i % 9 == 0).alias("coded"), F.concat(F.lit("A"), i % 3).alias("actor"), "source")
+    i, u = F.col("id"), F.col("user_id")
+    actor = F.concat(F.lit("A"), F.when(u % 4 == 0, i).otherwise(u % 40) % 3)
+    claims = V.observations(spark, d).select("place", F.col("received").alias("at"), F.when((i % 5 == 0) | (u % 40 == 9), "WithdrawalReported").otherwise("TerritoryTransferred").alias("signal"), (i % 9 == 0).alias("coded"), actor.alias("actor"), "source")
     return C.control(claims, NOW, DAY)
 
 

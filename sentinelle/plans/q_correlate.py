@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sentinelle.operators import analytics as A
 from sentinelle.operators import correlate as R
 from sentinelle.operators import mentions as M
 from sentinelle.operators import metrics as E
@@ -136,8 +137,7 @@ def set_prf_metrics(spark, d):
 
 @Q.add("latency_nearest_rank_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM v_observations GROUP BY 1")
 def latency_nearest_rank_percentile(spark, d):
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by value)")
-    return V.observations(spark, d).groupBy("event_type").agg(disc(0.5).alias("median"), disc(0.95).alias("p95"))
+    return A.nearest_ranks(V.observations(spark, d), "event_type", "value", {"median": 0.5, "p95": 0.95})
 
 
 @Q.add("placement_reach_by_region", ", r AS (SELECT n_regionkey AS region, country, count(*) AS events, count(lat) AS placed, sum(k) AS deaths FROM v_observations JOIN nation ON n_nationkey = country GROUP BY 1, 2) SELECT region, count(*) AS conflicts, count(*) FILTER (placed * 1.1 >= events) AS reached, round(sum(placed) / sum(events), 6) AS coverage FROM r GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sentinelle.operators import analytics as A
 from sentinelle.operators import lexicon as L
 from sentinelle.session import table
 from sentinelle.sources import views as V
@@ -15,7 +16,7 @@ Q = Queries()
 def _entries(spark, d):
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(
-        F.concat(F.lit("n"), k % 300).alias("key"), k.alias("id"), ((k * 7 % 90) / 50.0).alias("lat"), ((k * 11 % 70) / 50.0).alias("lon"), (F.abs(k * 7919) % 60000).alias("population"),
+        F.concat(F.lit("n"), F.floor(k / 5)).alias("key"), k.alias("id"), ((k * 7 % 90) / 50.0).alias("lat"), ((k * 11 % 70) / 50.0).alias("lon"), (F.abs(k * 7919) % 60000).alias("population"),
         F.get(F.array(*[F.lit(x) for x in ("PPL", "PPLA", "ADM1", "XXX")]), (k % 4).cast("int")).alias("feature"), F.when(k % 13 != 0, F.col("c_nationkey")).alias("country"),
     )
 
@@ -38,7 +39,7 @@ def capitalised_runs(spark, d):
 
 @Q.add("capitalised_entities")
 def capitalised_entities(spark, d):
-    return table(spark, d, "documents").select("doc_id", L.capitalised(F.substring("text", 1, 2000)).alias("entities"))
+    return table(spark, d, "documents").select("doc_id", L.capitalised(F.col("text")).alias("entities"))
 
 
 @Q.add("conflict_choice_validation", ", c AS (SELECT id, ['K0', 'K1', 'NONE', 'K9', NULL][id % 5 + 1] AS key, (id % 13) / 10.0 AS confidence FROM v_observations) SELECT id, CASE WHEN key IS NULL THEN 'unreadable' WHEN key = 'K9' THEN 'not offered' WHEN confidence > 1 THEN 'confidence' WHEN confidence < 0.35 THEN 'unsure' END AS fault FROM c")
@@ -51,10 +52,7 @@ def conflict_choice_validation(spark, d):
 
 @Q.add("recent_downtime", f", g AS (SELECT source, received, lag(received) OVER (PARTITION BY source ORDER BY received, id) AS before FROM v_observations) SELECT source, before AS starts, received AS ends FROM g WHERE received - before > {2 * HOUR} ORDER BY ends DESC, source LIMIT 50")
 def recent_downtime(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("received", "id")
-    gaps = V.observations(spark, d).select("source", F.lag("received").over(w).alias("starts"), F.col("received").alias("ends"))
+    gaps = A.gaps(V.observations(spark, d), ["source"], "received", 2 * HOUR)
     return gaps.where(F.col("ends") - F.col("starts") > 2 * HOUR).orderBy(F.desc("ends"), "source").limit(50)
 
 
