@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Category keywords in order of precedence.
 TYPE_KEYWORDS = {
@@ -139,7 +141,7 @@ def same_actor(a, b) -> Column:
 def control_signal(text, place) -> Column:
     """What a report claims about who holds `place`; the pattern is built for each row from its place."""
     phrases = lambda xs: "|".join(x.replace(" ", r"\s+") for x in xs)
-    name = F.concat(F.lit(r"\Q"), F.trim(place), F.lit(r"\E"))
+    name = F.regexp_replace(F.trim(place), r"([^\p{L}\p{Nd}\s])", r"\\$1")
     starts, ends = r"(?iU)(?<!\w)", r"(?!\w)"
     leaves = F.concat(F.lit(f"{starts}(?:{phrases(WITHDRAWAL)}){FILLER}\\s+"), name, F.lit(ends))
     takes = F.concat(F.lit(f"{starts}(?:{phrases(GAIN)}){FILLER}\\s+"), name, F.lit(ends))
@@ -152,6 +154,35 @@ def control_signal(text, place) -> Column:
     )
 
 
+def control_claim(text, place, actors) -> Column:
+    """The signal and its actor, as a struct: a claim counts only if the report names exactly one actor. `actors` are the
+    names of its organisations, states and military units."""
+    signal = control_signal(text, place)
+    distinct = F.array_distinct(F.transform(F.coalesce(actors, F.array().cast("array<string>")), F.lower))
+    one = (signal != "None") & (F.size(distinct) == 1)
+    return F.struct(F.when(one, signal).otherwise("None").alias("signal"), F.when(one, F.get(actors, F.lit(0))).alias("actor"))
+
+
+def byte_size(n) -> Column:
+    """A number of bytes as people read it."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    step = F.least(F.lit(len(units) - 1), F.floor(F.log(1024.0, F.greatest(n, F.lit(1)).cast("double")))).cast("int")
+    value = n / F.pow(F.lit(1024.0), step)
+    return F.when(step == 0, F.concat_ws(" ", n.cast("long").cast("string"), F.lit("B"))).otherwise(F.concat_ws(" ", F.format_number(value, 1), F.get(F.array(*[F.lit(u) for u in units]), step)))
+
+
+def folded(text: Column) -> Column:
+    """NFKC and lower case, which no built-in function gives; batches of texts at once."""
+
+    @F.pandas_udf(StringType())
+    def fold(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
+
+    return fold(text)
+
+
 def first_sentence(text) -> Column:
     """Up to and including the first full stop, exclamation or question mark after the first character."""
     found = F.regexp_extract(F.trim(text), r"(?s)^(.[^.!?]*[.!?])", 1)

@@ -41,13 +41,26 @@ def memberships(reports: DataFrame, register: DataFrame) -> DataFrame:
     return every.groupBy("id", "key").agg(F.max("basis").alias("basis"), F.max("shared").alias("shared"))
 
 
-def assigned(members: DataFrame) -> DataFrame:
-    """The conflict each report goes to, if its strongest reason names exactly one."""
-    best = Window.partitionBy("id")
-    top = members.withColumn("_b", F.max("basis").over(best)).where(F.col("basis") == F.col("_b"))
-    top = top.withColumn("_s", F.max("shared").over(best)).where((F.col("basis") != 3) | (F.col("shared") == F.col("_s")))
-    out = top.groupBy("id").agg(F.max("basis").alias("basis"), F.count("*").alias("n"), F.min("key").alias("key"))
-    return out.select("id", "basis", F.when(F.col("n") == 1, F.col("key")).alias("conflict"), "n")
+def assigned(members: DataFrame, register: DataFrame, few: int = 2, most: int = 8) -> DataFrame:
+    """id, basis (the strongest), conflicts (what the report goes to) and candidates (what it could be), as lists of keys.
+
+    A code decides for all its conflicts. Named actors decide by the words shared: for those with the most, unless several
+    share fewer than `few`, or more than `most` share as many. A place or country decides if it names exactly one
+    conflict. Lists have `most` keys, strongest first, then by `events`, the coded events of the register. A report has
+    at most one row for each conflict of the register.
+    """
+    rows = members.join(register.select("key", F.coalesce("events", F.lit(0)).alias("events")), "key")
+    entry = F.struct((-F.col("basis")).alias("b"), (-F.col("events")).alias("e"), "key", "shared")
+    out = rows.groupBy("id").agg(F.max("basis").alias("basis"), F.array_sort(F.collect_list(entry)).alias("all"))
+    best = F.filter("all", lambda m: m.b == -F.col("basis"))
+    top = F.array_max(F.transform(best, lambda m: m.shared))
+    named = F.filter(best, lambda m: m.shared == top)
+    few_words, too_many = (F.size(named) > 1) & (top < few), F.size(named) > most
+    none = F.slice(best, 1, 0)
+    goes = F.when(F.col("basis") == 4, best).when(F.col("basis") == 3, F.when(few_words | too_many, none).otherwise(named)).otherwise(F.when(F.size(best) == 1, best).otherwise(none))
+    could = F.when((F.col("basis") == 3) & ~few_words & too_many, named).otherwise(F.array_except(F.col("all"), goes))
+    keys = lambda c: F.transform(F.slice(c, 1, most), lambda m: m.key)
+    return out.select("id", "basis", keys(goes).alias("conflicts"), keys(could).alias("candidates"))
 
 
 def pruned_tokens(register: DataFrame, share: float = 0.1, least: int = 40) -> DataFrame:

@@ -35,25 +35,36 @@ def set_scores(rows: DataFrame, expected: str, got: str) -> DataFrame:
 
 
 def severity_pipeline(rounds: int = 50):
-    """Text, category and numbers to a severity, by multinomial logistic regression."""
+    """Words, pairs of words, category and numbers to a severity, by multinomial logistic regression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, MinMaxScaler, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import HashingTF, MinMaxScaler, NGram, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{Nd}]+"),
+            NGram(n=2, inputCol="words", outputCol="word_pairs"),
             HashingTF(inputCol="words", outputCol="bag", numFeatures=1 << 12),
+            HashingTF(inputCol="word_pairs", outputCol="pair_bag", numFeatures=1 << 12),
             StringIndexer(inputCol="event_type", outputCol="type_index", handleInvalid="keep"),
             OneHotEncoder(inputCols=["type_index"], outputCols=["type_vector"]),
             VectorAssembler(inputCols=["sources", "confidence", "entities", "located"], outputCol="numbers"),
             MinMaxScaler(inputCol="numbers", outputCol="scaled"),
-            VectorAssembler(inputCols=["bag", "type_vector", "scaled"], outputCol="features"),
+            VectorAssembler(inputCols=["bag", "pair_bag", "type_vector", "scaled"], outputCol="features"),
             LogisticRegression(featuresCol="features", labelCol="severity", family="multinomial", regParam=0.05, maxIter=rounds),
         ]
     )
 
 
+def opinions(model, rows: DataFrame) -> DataFrame:
+    """id, and `classes`: every class with its probability (4 decimals), the likeliest first."""
+    from pyspark.ml.functions import vector_to_array
+
+    each = F.transform(vector_to_array("probability"), lambda p, k: F.struct(F.round(p, 4).alias("probability"), (-k).alias("back")))
+    ranked = F.transform(F.sort_array(each, asc=False), lambda c: F.struct((-c.back).alias("severity"), c.probability.alias("probability")))
+    return model.transform(rows).select("id", ranked.alias("classes"))
+
+
 def predictions(rows: DataFrame, train: str = "train", rounds: int = 50) -> DataFrame:
     """`rows` with the predicted severity; the model sees only rows where `train` holds. Severity itself is never changed."""
     model = severity_pipeline(rounds).fit(rows.where(train))

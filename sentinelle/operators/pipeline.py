@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinelle.functions import text as X
+from sentinelle.operators.mentions import with_mentions
 
 MAY_PLACE = ("Satellite", "ExternalEvent")
 
@@ -107,3 +108,31 @@ def resolved(observations: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     reason = F.when(at.isNotNull(), None).when(F.trim(F.coalesce("place", F.lit(""))) == "", "no place").when(F.col("entries").isNull(), "unknown").otherwise("ambiguous")
     return j.select("id", at.g_lat.alias("at_lat"), at.g_lon.alias("at_lon"), at.g_precision.alias("at_precision"), by.alias("confidence"), reason.alias("reason"))
+
+
+def resolved_in_context(observations: DataFrame, lexicon: DataFrame, text: str = "text", mentions: int = 12) -> DataFrame:
+    """`resolved`, and where several places share a name and the declared country does not tell them apart, the countries
+    of other places that the text names do: finest first, then in order of appearance. Only texts of such observations
+    are read; a country decides if it has one place of that name."""
+    first = resolved(observations, lexicon)
+    unsure = observations.withColumn("key", X.plain_key(F.col("place"))).join(first.where("reason = 'ambiguous'").select("id"), "id", "left_semi").select("id", "key", F.col(text).alias("text"))
+    sure = lexicon.groupBy("key").agg(F.count("*").alias("entries"), F.min("country").alias("country"), F.min("g_precision").alias("p")).where("entries = 1")
+    found = with_mentions(unsure, sure.select(F.col("key").alias("name"))).select("id", "key", F.posexplode("mentions").alias("at", "name")).where(F.col("at") < mentions)
+    named = found.join(sure.select(F.col("key").alias("name"), "country", "p"), "name")
+    rank = F.array_position(F.array(*[F.lit(p) for p in ("Settlement", "Region", "Country")]), F.col("p"))
+    local = lexicon.groupBy("key", "country").agg(F.count("*").alias("here"), F.min(F.struct("g_lat", "g_lon", "g_precision")).alias("spot")).where("here = 1")
+    told = named.join(local, ["key", "country"]).groupBy("id").agg(F.min_by("spot", F.struct(rank.alias("rank"), "at")).alias("spot"))
+    level = F.when(F.col("spot.g_precision") == "Settlement", 0.7).when(F.col("spot.g_precision") == "Region", 0.55).otherwise(0.3)
+    told = told.select("id", "spot", level.alias("level"))
+    pick = lambda c, field: F.when(F.col("spot").isNotNull(), field).otherwise(F.col(c)).alias(c)
+    joined = first.join(told, "id", "left")
+    return joined.select("id", pick("at_lat", F.col("spot.g_lat")), pick("at_lon", F.col("spot.g_lon")), pick("at_precision", F.col("spot.g_precision")), pick("confidence", F.col("level")), pick("reason", F.lit(None).cast("string")))
+
+
+def submitted(posts: DataFrame, now: int, per_minute: int = 30) -> DataFrame:
+    """Manual submissions as envelopes: the kind is Manual and the source an anonymous user, whatever they declare; a
+    client's submissions beyond `per_minute` in one minute are rejected. `posts` has client and at (microseconds)."""
+    window = Window.partitionBy("client", F.floor(F.col("at") / 60_000_000)).orderBy("at")
+    late = F.row_number().over(window) > per_minute
+    forced = {"kind": F.lit("Manual"), "tier": F.lit("UserGenerated"), "platform": F.lit(None).cast("string"), "channel": F.lit(None).cast("string"), "received": F.lit(now)}
+    return posts.withColumns(forced | {"reject_reason": F.when(late, "too many submissions")})

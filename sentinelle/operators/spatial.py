@@ -43,9 +43,9 @@ def near_any(points: DataFrame, centres: DataFrame, most_km: float) -> DataFrame
 
 
 def watch_areas(points: DataFrame, areas: DataFrame, most_km: float) -> DataFrame:
-    """One row for each area, quiet ones too: reports and the nearest in km (one decimal)."""
+    """One row for each area, quiet ones too: reports and the nearest in km (one decimal); busiest first, then nearest, quiet ones last."""
     hits = near_any(points, areas, most_km).groupBy("name").agg(F.count("*").alias("n"), F.min("km").alias("nearest"))
-    return areas.join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.bround("nearest", 1).alias("nearest_km"))
+    return areas.join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.bround("nearest", 1).alias("nearest_km")).orderBy(F.desc("n"), F.asc_nulls_last("nearest_km"), "name")
 
 
 def persistent_cells(spots: DataFrame, least_days: int = 3) -> DataFrame:

@@ -53,7 +53,7 @@ def _register(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     both = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     tokens = C.actor_tokens(F.concat_ws(" ", "r_name", "n_name"))
-    return both.select(F.concat(F.lit("C"), "n_nationkey").alias("key"), (F.col("n_nationkey") * 3).cast("int").alias("code"), tokens.alias("tokens"), F.array(F.concat(F.lit("P"), F.col("n_nationkey") % 40)).alias("places"), (F.col("n_nationkey") % 20).cast("int").alias("country"))
+    return both.select(F.concat(F.lit("C"), "n_nationkey").alias("key"), (F.col("n_nationkey") * 3).cast("int").alias("code"), tokens.alias("tokens"), F.array(F.concat(F.lit("P"), F.col("n_nationkey") % 40)).alias("places"), (F.col("n_nationkey") % 20).cast("int").alias("country"), (F.col("n_nationkey") % 7).alias("events"))
 
 
 def _claims(spark, d):
@@ -73,10 +73,17 @@ def conflict_membership_bases(spark, d):
     return C.memberships(_claims(spark, d), _register(spark, d)).groupBy("basis").agg(F.count("*").alias("n"), F.sum("shared").alias("shared"))
 
 
-@Q.add("conflict_membership_strongest", _MEMBERS + """, b AS (SELECT *, max(basis) OVER (PARTITION BY id) AS mb FROM k), t AS (SELECT *, max(shared) OVER (PARTITION BY id) AS ms FROM b WHERE basis = mb)
-SELECT id, max(basis) AS basis, CASE WHEN count(*) = 1 THEN min(key) END AS conflict, count(*) AS n FROM t WHERE basis <> 3 OR shared = ms GROUP BY id""")
+@Q.add("conflict_membership_strongest", _MEMBERS + """, l1 AS (SELECT id, max(basis) AS top, list({'b': -basis, 'e': -(substr(key, 2)::INT % 7), 'key': key, 'shared': shared} ORDER BY -basis, -(substr(key, 2)::INT % 7), key) AS ms FROM k GROUP BY id),
+l2 AS (SELECT *, list_filter(ms, lambda m: m.b = -top) AS best FROM l1),
+l3 AS (SELECT *, list_max(list_transform(best, lambda m: m.shared)) AS most FROM l2),
+l4 AS (SELECT *, list_filter(best, lambda m: m.shared = most) AS named FROM l3),
+l5 AS (SELECT *, CASE WHEN top = 4 THEN best WHEN top = 3 THEN CASE WHEN len(named) > 8 OR (len(named) > 1 AND most < 2) THEN [] ELSE named END WHEN len(best) = 1 THEN best ELSE [] END AS goes,
+  top = 3 AND len(named) > 8 AND most >= 2 AS many FROM l4)
+SELECT id, top AS basis, array_to_string(list_transform(goes[1:8], lambda m: m.key), ',') AS conflicts,
+  array_to_string(list_transform(CASE WHEN many THEN named ELSE list_filter(ms, lambda m: NOT list_contains(list_transform(goes, lambda x: x.key), m.key)) END[1:8], lambda m: m.key), ',') AS candidates FROM l5""")
 def conflict_membership_strongest(spark, d):
-    return C.assigned(C.memberships(_claims(spark, d), _register(spark, d)))
+    out = C.assigned(C.memberships(_claims(spark, d), _register(spark, d)), _register(spark, d))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("conflicts", "candidates")})
 
 
 _PARTS = ", p AS (SELECT 'C' || p_partkey AS key, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS tokens FROM part), u AS (SELECT key, unnest(tokens) AS token FROM p), c AS (SELECT token FROM u GROUP BY 1 HAVING count(*) > 0.1 * (SELECT count(*) FROM p))"

@@ -53,7 +53,7 @@ def radius_search(spark, d):
 @Q.add("chokepoint_activity", _HITS + " SELECT c.name, count(n.id) AS n, round(min(km), 1) AS nearest_km FROM v_choke c LEFT JOIN n ON n.name = c.name GROUP BY 1")
 def chokepoint_activity(spark, d):
     areas = S.watch_areas(V.incidents(spark, d).select("id", "lat", "lon"), _areas(spark), MOST)
-    return areas.orderBy(F.desc("n"), F.asc_nulls_last("nearest_km"), "name")
+    return areas
 
 
 @Q.add("chokepoint_severity", _HITS + " SELECT name, severity, count(*) AS n FROM n GROUP BY 1, 2")

@@ -257,6 +257,19 @@ def gazetteer_resolve(spark, d):
     return P.resolved(V.observations(spark, d), _lexicon(spark, d)).select("id", "at_lat", "reason")
 
 
+_CONTEXT = _LEX.replace("lower(o.place)", "'p' || (o.id % 90)") + """, t AS (SELECT id, country, 'p' || (id % 90) AS key, id % 7 AS m FROM v_observations), w AS (SELECT key, any_value(country) AS country FROM g GROUP BY 1 HAVING count(*) = 1),
+n AS (SELECT t.id, t.key, w.country FROM t JOIN w ON w.key = 'p' || (t.m * 3 + 1)),
+u AS (SELECT n.id, min(g.g_lat) AS told FROM n JOIN g ON g.key = n.key AND g.country = n.country GROUP BY n.id HAVING count(*) = 1)
+SELECT id, coalesce(lat, found, told) AS at_lat, CASE WHEN coalesce(lat, found, told) IS NOT NULL THEN NULL WHEN entries IS NULL THEN 'unknown' ELSE 'ambiguous' END AS reason FROM j LEFT JOIN u USING (id)"""
+
+
+@Q.add("gazetteer_context_narrow", _CONTEXT)
+def gazetteer_context_narrow(spark, d):
+    i = F.col("id")
+    o = V.observations(spark, d).withColumns({"place": F.concat(F.lit("P"), i % 90), "text": F.concat(F.lit("Seen near P"), i % 7 * 3 + 1, F.lit(", it is said."))})
+    return P.resolved_in_context(o, _lexicon(spark, d)).select("id", "at_lat", "reason")
+
+
 @Q.add("location_confidence", _LEX + " SELECT id, CASE precision WHEN 'Exact' THEN 0.95 WHEN 'Settlement' THEN 0.85 WHEN 'Region' THEN 0.6 ELSE 0.35 END::DOUBLE AS confidence FROM j WHERE lat IS NOT NULL")
 def location_confidence(spark, d):
     o = V.observations(spark, d).where("lat is not null")

@@ -146,22 +146,46 @@ def ged_events(spark: SparkSession, path: str) -> DataFrame:
     ).where("identifier is not null and lat is not null and lon is not null")
 
 
-def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """RSS items (`item`) or Atom entries (`entry`); files with a DOCTYPE are left out as a whole."""
-    fields = "title string, description string, summary string, guid string, id string, link string, pubDate string, updated string, published string"
+def feed_items(spark: SparkSession, path: str, row_tag: str = "item|entry") -> DataFrame:
+    """Items of RSS and RDF feeds and entries of Atom ones, in one pass and whatever prefix their names carry; files with
+    a DOCTYPE are left out as a whole. Titles have 400 characters at most, summaries 4,000."""
+    fields = "title string, description string, summary string, content string, encoded string, guid string, id string, link string, pubDate string, date string, updated string, published string, language string"
     raw = spark.read.text(path, wholetext=True).where(~F.col("value").rlike("(?i)<!doctype"))
-    one = F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}>"), F.lit(0))).alias("xml")
-    x = raw.select(one).select(F.from_xml("xml", fields).alias("x")).select("x.*")
-    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    said = F.regexp_replace(F.coalesce("pubDate", "published", "updated"), r"^[A-Za-z]{3},\s*", "")
+    # Prefixes go from names of elements; Atom's links carry their address in an attribute, RDF's items their name.
+    plain = F.regexp_replace("value", r"<(/?)[A-Za-z][\w.-]*:([\w.-]+)", "<$1$2")
+    plain = F.regexp_replace(plain, r"<link\b[^>]*\bhref=\"([^\"]*)\"[^>]*/>", "<link>$1</link>")
+    plain = F.regexp_replace(plain, r"<item\b[^>]*\babout=\"([^\"]*)\"[^>]*>", "<item><id>$1</id>")
+    one = F.explode(F.regexp_extract_all(plain, F.lit(rf"(?s)<((?:{row_tag}))[\s>].*?</\1>"), F.lit(0))).alias("xml")
+    x = raw.select(one).select(F.from_xml(F.regexp_replace("xml", r"\s(?:xmlns|[\w.-]+:[\w.-]+)=\"[^\"]*\"", ""), fields).alias("x")).select("x.*")
+    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd")
+    said = F.regexp_replace(F.coalesce("pubDate", "published", "updated", "date"), r"^[A-Za-z]{3},\s*", "")
     at = F.coalesce(*[F.try_to_timestamp(said, F.lit(f)) for f in formats])
     clean = lambda c, n: X.truncated(X.stripped_html(c), n)
-    return x.select(F.coalesce("guid", "id", "link").alias("identifier"), clean(F.col("title"), 400).alias("title"), clean(F.coalesce("description", "summary"), 4000).alias("summary"), at.alias("published"))
+    language = F.when(X.language_tag_ok(F.trim("language")), F.lower(F.trim("language")))
+    body = F.coalesce("description", "summary", "content", "encoded")
+    return x.select(F.coalesce("guid", "id", "link").alias("identifier"), F.col("link").alias("url"), clean(F.col("title"), 400).alias("title"), clean(body, 4000).alias("summary"), at.alias("published"), language.alias("language"))
 
 
-def envelopes(df: DataFrame, source: str, kind: str, tier: str = "Published") -> DataFrame:
-    """Provider rows as observations; sources are then united by `unionByName(allowMissingColumns=True)`."""
-    return df.withColumns({"source": F.lit(source), "kind": F.lit(kind), "tier": F.lit(tier)})
+# What every provider's rows are, as (kind, tier, provenance, event type, severity); null: the rows say.
+PROVIDERS = {
+    "ACLED": ("ExternalEvent", "Published", "Polled", None, None),
+    "UCDP": ("ExternalEvent", "Published", "Polled", None, None),
+    "FIRMS": ("Satellite", "Published", "Polled", "NaturalHazard", "Low"),
+    "RSS": ("News", "Published", "Polled", None, None),
+    "document": ("News", "Published", "Collected", None, None),
+    "userGenerated": ("Manual", "UserGenerated", "Collected", None, None),
+}
+
+
+def envelopes(df: DataFrame, source: str, provider: str) -> DataFrame:
+    """Provider rows as observations; sources are then united by `unionByName(allowMissingColumns=True)`. Only satellites
+    and event providers may say where something is: coordinates of all others are dropped."""
+    kind, tier, provenance, event_type, severity = PROVIDERS[provider]
+    out = df.withColumns({"source": F.lit(source), "kind": F.lit(kind), "tier": F.lit(tier), "provenance": F.lit(provenance)})
+    out = out.withColumns({c: F.lit(v) for c, v in (("event_type", event_type), ("severity", severity)) if v})
+    if kind not in ("Satellite", "ExternalEvent"):
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("lat", "lon") if c in out.columns})
+    return out
 
 
 def capped_windows(since: int, until: int, least: int, truncated) -> list[tuple[int, int]]:
@@ -180,3 +204,27 @@ def capped_windows(since: int, until: int, least: int, truncated) -> list[tuple[
 def backfill_frontier(old: DataFrame, new: DataFrame) -> DataFrame:
     """Checkpoints by source: a frontier only ever moves back."""
     return old.unionByName(new).groupBy("source").agg(F.min("frontier").alias("frontier"))
+
+
+def backfilled(frontier: int, horizon: int, step: int, least: int, budget: int, truncated) -> tuple[list[tuple[int, int]], int]:
+    """Windows to fetch on a walk back from `frontier` to `horizon`, and the new frontier.
+
+    The walk goes in windows of `step`, each halved while its page is cut short. At most `budget` pages are asked for;
+    the frontier moves past a window only once all of it is read.
+    """
+    found: list[tuple[int, int]] = []
+    asked = 0
+
+    def counted(a, b):
+        nonlocal asked
+        asked += 1
+        return truncated(a, b)
+
+    while frontier > horizon and asked < budget:
+        since = max(horizon, frontier - step)
+        windows = capped_windows(since, frontier, least, counted)
+        if asked > budget:
+            break
+        found += windows
+        frontier = since
+    return found, frontier
