@@ -9,7 +9,7 @@ from sentinelle.operators import analytics as A
 from sentinelle.operators import correlate as R
 from sentinelle.operators import mentions as M
 from sentinelle.operators import metrics as E
-from sentinelle.session import table
+from sentinelle.session import settled, table
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, KM, Queries
 
@@ -40,7 +40,8 @@ f AS (SELECT *, round(cap * (0.6 + 0.4 * CASE WHEN overlap IS NOT NULL THEN (ove
 
 def _pairs(spark, d):
     """Every report with those of lesser id, among its newest candidates, that place, or wording and actors, can join it to."""
-    ranked = R.ranked(reports(spark, d), DAY)
+    # Both sides of two joins read it, so it is made once.
+    ranked = settled(R.ranked(reports(spark, d), DAY))
     columns = ("id", "occurred", "lat", "lon", "place", "precision", "actors", "tokens", "rank", "upto")
     a, b = (ranked.select("event_type", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
     return R.among(R.near_pairs(a, b, DAY), DAY).unionByName(R.by_content(a, b, DAY)).where("id_b < id_a")
