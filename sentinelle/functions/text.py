@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 # Category keywords in order of precedence.
 TYPE_KEYWORDS = {
@@ -171,6 +171,30 @@ def byte_size(n) -> Column:
     return F.when(step == 0, F.concat_ws(" ", n.cast("long").cast("string"), F.lit("B"))).otherwise(F.concat_ws(" ", F.format_number(value, 1), F.get(F.array(*[F.lit(u) for u in units]), step)))
 
 
+def composed(text: Column) -> Column:
+    """NFC, so that equal texts have equal characters."""
+
+    @F.pandas_udf(StringType())
+    def compose(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return compose(text)
+
+
+def elements(text: Column) -> Column:
+    """How many characters a reader sees: a letter with its marks, or a joined emoji, is one."""
+
+    @F.pandas_udf(IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        import regex
+
+        return texts.map(lambda t: None if t is None else len(regex.findall(r"\X", t))).astype("Int32")
+
+    return count(text)
+
+
 def folded(text: Column) -> Column:
     """NFKC and lower case, which no built-in function gives; batches of texts at once."""
 

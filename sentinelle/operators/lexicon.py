@@ -42,6 +42,13 @@ def disambiguated(entries: DataFrame) -> DataFrame:
     return top.join(places.groupBy("key").agg(F.count("*").alias("places")), "key").select("key", F.when(sure, -F.col("top.back")).alias("chosen"), "places")
 
 
+def outside(places: DataFrame, extents: DataFrame, slack: float = 0.1) -> DataFrame:
+    """Places beyond their country's extent (south, north, west, east) by more than `slack` degrees, or of no known country."""
+    j = places.join(extents, "country", "left")
+    within = F.col("g_lat").between(F.col("south") - slack, F.col("north") + slack) & F.col("g_lon").between(F.col("west") - slack, F.col("east") + slack)
+    return j.where(~F.coalesce(within, F.lit(False))).select(*places.columns)
+
+
 def capitalised(text, most: int = 5) -> Column:
     """Runs of capitalised words, without those inside longer ones."""
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"), F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sentinelle.functions import scores
 from sentinelle.functions import text as X
+from sentinelle.operators import lexicon as L
 from sentinelle.operators import pipeline as P
 from sentinelle.session import table
 from sentinelle.sources import views as V
@@ -247,7 +248,7 @@ def _lexicon(spark, d):
     return c.select(F.concat(F.lit("p"), F.when(k % 3 == 0, k - 1).otherwise(k)).alias("key"), (F.col("c_nationkey") % 25).cast("int").alias("country"), (k % 90 * 1.0).alias("g_lat"), (k % 170 * 1.0).alias("g_lon"), F.get(F.array(F.lit("Settlement"), F.lit("Region"), F.lit("Country")), (k % 3).cast("int")).alias("g_precision"))
 
 
-_LEX = """, g AS (SELECT 'p' || CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END AS key, c_nationkey % 25 AS country, c_custkey % 90 * 1.0 AS g_lat, ['Settlement', 'Region', 'Country'][c_custkey % 3 + 1] AS g_precision FROM customer),
+_LEX = """, g AS (SELECT 'p' || CASE WHEN c_custkey % 3 = 0 THEN c_custkey - 1 ELSE c_custkey END AS key, c_nationkey % 25 AS country, c_custkey % 90 * 1.0 AS g_lat, c_custkey % 170 * 1.0 AS g_lon, ['Settlement', 'Region', 'Country'][c_custkey % 3 + 1] AS g_precision FROM customer),
 s AS (SELECT key, count(*) AS entries, min(g_lat) AS lat1 FROM g GROUP BY 1), i AS (SELECT key, country, count(*) AS here, min(g_lat) AS lat2 FROM g GROUP BY 1, 2),
 j AS (SELECT o.id, o.lat, o.precision, entries, here, CASE WHEN entries = 1 THEN lat1 WHEN here = 1 THEN lat2 END AS found FROM v_observations o LEFT JOIN s ON s.key = lower(o.place) LEFT JOIN i ON i.key = lower(o.place) AND i.country = o.country)"""
 
@@ -276,12 +277,14 @@ def location_confidence(spark, d):
     return P.resolved(o, _lexicon(spark, d)).select("id", "confidence")
 
 
-@Q.add("lexicon_quality_checks", _LEX + " SELECT count(*) AS places, count(*) FILTER (abs(g_lat) > 90) AS outside, count(DISTINCT key) AS names, (SELECT count(*) FROM (VALUES ('p1'), ('p2'), ('nowhere')) AS a(k) WHERE k NOT IN (SELECT key FROM g)) AS missing_anchors FROM g")
+@Q.add("lexicon_quality_checks", _LEX + ", e AS (SELECT country, min(g_lat) AS s, max(g_lat) AS n, min(g_lon) AS w, max(g_lon) AS e FROM g WHERE g_precision = 'Settlement' GROUP BY 1) SELECT count(*) AS places, (SELECT count(*) FROM g AS x LEFT JOIN e USING (country) WHERE NOT coalesce(x.g_lat BETWEEN s - 0.1 AND n + 0.1 AND x.g_lon BETWEEN w - 0.1 AND e + 0.1, false)) AS outside, count(DISTINCT key) AS names, (SELECT count(*) FROM (VALUES ('p1'), ('p2'), ('nowhere')) AS a(k) WHERE k NOT IN (SELECT key FROM g)) AS missing_anchors FROM g")
 def lexicon_quality_checks(spark, d):
     g = _lexicon(spark, d)
     anchors = spark.createDataFrame([("p1",), ("p2",), ("nowhere",)], "key string")
     missing = anchors.join(g, "key", "left_anti").agg(F.count("*").alias("missing_anchors"))
-    return g.agg(F.count("*").alias("places"), F.count_if(F.abs("g_lat") > 90).alias("outside"), F.count_distinct("key").alias("names")).crossJoin(F.broadcast(missing))
+    extents = g.where("g_precision = 'Settlement'").groupBy("country").agg(F.min("g_lat").alias("south"), F.max("g_lat").alias("north"), F.min("g_lon").alias("west"), F.max("g_lon").alias("east"))
+    beyond = L.outside(g, extents).agg(F.count("*").alias("outside"))
+    return g.agg(F.count("*").alias("places"), F.count_distinct("key").alias("names")).crossJoin(F.broadcast(beyond)).crossJoin(F.broadcast(missing))
 
 
 @Q.add("lexicon_alias_difference", ", a AS (SELECT n_nationkey AS id, n_name AS name, list_sort(list_distinct([lower(n_name), lower(n_name), 'x' || n_nationkey, n_name])) AS aliases FROM nation) SELECT id, array_to_string(list_filter(aliases, lambda x: x <> name), '|') AS aliases FROM a")

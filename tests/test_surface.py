@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sentinelle.functions import text as X
 from sentinelle.operators import conflicts as C
+from sentinelle.operators import correlate as R
 from sentinelle.operators import metrics as M
 from sentinelle.operators import pipeline as P
 from sentinelle.plans import api
@@ -55,6 +56,8 @@ def test_control_claims_need_one_actor(spark):
 
 def test_small_text_functions(spark):
     r = spark.range(1).select(X.folded(F.lit("ＡB ﬁ")).alias("f"), *[X.byte_size(F.lit(n)).alias(f"b{k}") for k, n in enumerate((0, 1023, 1536, 5 << 30))]).first()
+    seen = spark.createDataFrame([("e\u0301x",), (None,)], "t string").select(X.composed(F.col("t")).alias("c"), X.elements(F.col("t")).alias("n")).collect()
+    assert [tuple(x) for x in seen] == [("\u00e9x", 2), (None, None)]
     assert (r.f, r.b0, r.b1, r.b2, r.b3) == ("ab fi", "0 B", "1023 B", "1.5 KB", "5.0 GB")
 
 
@@ -124,3 +127,10 @@ def test_severity_model_learns_words(spark):
     assert not any(r.disagrees for r in got)
     classes = {r.id: r.classes for r in api.severity_predict(M.severity_pipeline(20).fit(frame), frame).collect()}
     assert all(c[0].severity == (4 if k % 2 else 1) and c[0].probability >= c[1].probability for k, c in classes.items())
+
+
+def test_entity_keys_in_order_of_mention(spark):
+    rows = [(1, "I", 2, ["b", "c"]), (2, "I", 1, ["a", "b"]), (3, None, 0, ["z"]), (4, "J", 1, [])]
+    frame = spark.createDataFrame(rows, "id int, incident string, received int, actors array<string>")
+    got = {r.incident: r.actors for r in R.entity_keys(frame, "incident", ["received", "id"], 2).collect()}
+    assert got == {"I": ["a", "b"]}
