@@ -21,7 +21,12 @@ PLATFORMS = ("telegram", "bluesky", "mastodon", "x")
 
 def bundles(spark: SparkSession, path: str, now, max_age_days: int = 14) -> DataFrame:
     """Accepted bundles, one row a file; malformed files, unknown versions and unknown keys drop the file."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return accepted(spark.read.text(path, wholetext=True), now, max_age_days)
+
+
+def accepted(files: DataFrame, now, max_age_days: int = 14) -> DataFrame:
+    """The bundles of whole files, read at once or as they land."""
+    raw = files.select(F.col("_metadata.file_name").alias("file"), "value")
     known = F.array(*[F.lit(k) for k in BUNDLE_KEYS])
     parsed = raw.withColumn("keys", F.json_object_keys("value")).withColumn("b", F.from_json("value", BUNDLE, {"mode": "PERMISSIVE"}))
     good = F.col("keys").isNotNull() & (F.size(F.array_except("keys", known)) == 0) & (F.col("b.schemaVersion") == 1) & F.col("b.items").isNotNull() & (F.size("b.items") > 0)

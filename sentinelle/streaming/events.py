@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from sentinelle.operators.desk import Desk
 from sentinelle.operators.desk import reports as in_order
+from sentinelle.sources import readers
 
 #: Microseconds by which a report may come late.
 LATE = 48 * 3_600_000_000
@@ -58,6 +60,43 @@ def running_incidents(events: DataFrame, gap_seconds: int = 6 * 3600) -> DataFra
     return events.groupBy("event_type", "user_id").applyInPandasWithState(step, "event_type string, user_id long, incident long, reports long", "last double, n long, number long", "update", "NoTimeout")
 
 
+def bundle_items(spark: SparkSession, folder: str, now, memory: str = "14 days", files_per_batch: int = 8) -> DataFrame:
+    """Items of bundles as their files land: those without a fault, each URL once for as long as `memory` lasts."""
+    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    items = readers.accepted(files, now).select("file", F.col("collectedAt").alias("at"), F.explode("items").alias("i"))
+    good = items.where(readers.item_reason(F.col("i"), now).isNull()).select("file", "at", "i.*")
+    return good.withWatermark("at", memory).dropDuplicatesWithinWatermark(["url"])
+
+
+def observed(reports: DataFrame, name: str = "pipeline") -> DataFrame:
+    """`reports`, counted as they pass, whatever is then done with them: see `Counters`."""
+    of = lambda status: F.count_if(F.col("status") == status)
+    return reports.observe(name, F.count(F.lit(1)).alias("processed"), of("Failed").alias("failed"), of("Duplicate").alias("duplicates"), of("HeldForCorroboration").alias("held"))
+
+
+class Counters(StreamingQueryListener):
+    """Sums of what `observed` counted in every micro-batch, and how many rows and milliseconds each one took."""
+
+    def __init__(self, name: str = "pipeline"):
+        self.name, self.totals, self.batches = name, {}, []
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        row = progress.observedMetrics.get(self.name)
+        self.batches.append((progress.numInputRows, progress.batchDuration))
+        for key, n in row.asDict().items() if row is not None else ():
+            self.totals[key] = self.totals.get(key, 0) + n
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        """Nothing is counted yet."""
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        """Nothing has passed."""
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        """The sums stay."""
+
+
 def correlated(reports: DataFrame, window: int) -> DataFrame:
     """Reports settled into incidents as they arrive: (id, incident, score, how), held claims once they are released.
 
