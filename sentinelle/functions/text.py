@@ -30,16 +30,19 @@ SEVERITY_MARKERS = {
 }
 # Words that say nothing about what a report is about.
 STOP_WORDS = (
-    "a about after against all also an and any are as at be been before being but by can could did do for from further had has have he her his "
-    "how i if in into is it its more most near no not of on one only or other our out over reported reportedly said say says she should so some "
-    "such than that the their them then there these they this those to two under up was we were what when where which while who why will with "
-    "would you your"
-).split()
+    "a", "about", "after", "against", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before", "being", "but", "by",
+    "can", "could", "did", "do", "for", "from", "further", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "more", "most", "near", "no", "not", "of", "on", "one", "only", "or", "other", "our", "out", "over", "reported",
+    "reportedly", "said", "say", "says", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there",
+    "these", "they", "this", "those", "to", "two", "under", "up", "was", "we", "were", "what", "when", "where", "which", "while", "who",
+    "why", "will", "with", "would", "you", "your",
+)
 # Unit words that coded place names end in.
 PLACE_UNITS = (
-    "city town village district subdistrict sub-district province oblast raion region state governorate county department municipality woreda "
-    "zone prefecture commune camp refugee parish area territory division township borough canton circle"
-).split()
+    "city", "town", "village", "district", "subdistrict", "sub-district", "province", "oblast", "raion", "region", "state", "governorate",
+    "county", "department", "municipality", "woreda", "zone", "prefecture", "commune", "camp", "refugee", "parish", "area", "territory",
+    "division", "township", "borough", "canton", "circle",
+)
 # Phrases of control claims.
 WITHDRAWAL = ("withdrew from", "pulled out of", "pulled back from", "abandoned", "ceded", "lost control of", "retreated from")
 GAIN = ("captured", "recaptured", "retook", "seized", "overran", "liberated", "took control of", "took over")
@@ -62,7 +65,7 @@ def fingerprint(source, identifier, content) -> Column:
 def tokens(text, limit: int = 2000) -> Column:
     """Distinct words of the opening that carry meaning."""
     found = F.regexp_extract_all(F.lower(F.substring(text, 1, limit)), F.lit(r"[\p{L}\p{Nd}]+(?:-[\p{L}\p{Nd}]+)*"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
 
 
 def similarity(a, b) -> Column:
