@@ -137,7 +137,7 @@ def stripped_html(html) -> Column:
 
 def same_actor(a, b) -> Column:
     """Equal tokens, or one that begins the other with four characters or more."""
-    short, long = F.least(F.length(a), F.length(b)), None  # noqa: F841
+    short = F.least(F.length(a), F.length(b))
     return (a == b) | ((short >= 4) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
