@@ -163,11 +163,14 @@ def block_pairs(sig: np.ndarray, n_old: int) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of prints to verify first, not all; `texts` has print, bands and sig, one row a print."""
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, print, band, n) of the texts of every bucket of more than one; both passes read them, and most bands share nothing."""
     keys = texts.select("print", F.posexplode("bands").alias("band", "key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(sizes, "key")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of prints to verify first, not all; `texts` has print, bands and sig, one row a print."""
     hot = members.where(F.col("n") > HOT).select("print", "band").join(texts.select("print", "bands"), "print")
     # A hot bucket's texts meet by pairs of bands instead, each with the three that follow.
     pairs = hot.select("print", F.explode(F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.xxhash64(F.get("bands", F.col("band")), F.get("bands", (F.col("band") + k) % BANDS), k))).alias("key"))
@@ -236,13 +239,13 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, doc_id: str =
     return storage.mapped(both.select("a", "b", "bag_a", "bag_b"), compare, "a string, b string")
 
 
-def cells(texts: DataFrame) -> DataFrame:
+def cells(texts: DataFrame, members: DataFrame) -> DataFrame:
     """(key, band, lo, hi, side, print) of every text in every cell of its buckets; `texts` has a label.
 
     Buckets of one label have no cells. The largest label of a bucket and all others are cut into blocks by hash; a
     cell is a block of the others with itself (side 0), or with another block of either kind (sides 0 and 1).
     """
-    keys = texts.select("print", "label", "n", F.posexplode("bands").alias("band", "key"))
+    keys = members.select("print", "band", "key").join(texts.select("print", "label", "n"), "print")
     labels = keys.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / SHARE)).cast("int")
     top = labels.groupBy("key").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
@@ -343,7 +346,7 @@ def by_cell(frame: DataFrame, work, schema: str) -> DataFrame:
     return storage.mapped(frame.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "print"), run, schema)
 
 
-def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def rest(texts: DataFrame, buckets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct links (a, b) between the labels of `texts`: they join all that promising, verified pairs join."""
     at = ["key", "band", "lo", "hi", "side", "print"]
 
@@ -357,7 +360,7 @@ def rest(texts: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     shape = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("print", pa.string())])
     known = texts.select("print", "label", "bands", "sig")
-    met = storage.written(by_cell(cells(texts).join(known, "print"), promising, "key long, band int, lo int, hi int, side int, print string"), "met")
+    met = storage.written(by_cell(cells(texts, buckets).join(known, "print"), promising, "key long, band int, lo int, hi int, side int, print string"), "met")
     have = bags(met.select("print"), texts, docs, doc_id, text)
     return by_cell(met.join(known, "print").join(have, "print"), links, "a string, b string").distinct()
 
@@ -385,10 +388,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shown = [F.min_by(c, "row").alias(c) for c in ("n", "bands", "sig")]
     texts = storage.written(rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *shown), "texts")
     ids = texts.select("print", "doc_id")
-    links = storage.written(verified(storage.written(candidates(texts), "pairs"), texts, docs, doc_id, text), "links")
+    members = storage.written(buckets(texts), "buckets")
+    links = storage.written(verified(storage.written(candidates(texts, members), "pairs"), texts, docs, doc_id, text), "links")
     labelled = texts.join(components(links), "print", "left").withColumn("label", F.coalesce("least", "print")).drop("least", "doc_id")
     labelled = storage.written(labelled, "labelled")
-    more = components(storage.written(rest(labelled, docs, doc_id, text), "rest")).toDF("label", "least")
+    more = components(storage.written(rest(labelled, members, docs, doc_id, text), "rest")).toDF("label", "least")
     linked = labelled.select("print", "label").join(more, "label", "left").select("print", F.coalesce("least", "label").alias("least")).join(ids, "print")
     # A class is named by its least (doc_id, print), null ids last: two texts under one id stay two classes.
     heads = linked.groupBy("least").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("head"))
