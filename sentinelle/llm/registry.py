@@ -1,4 +1,4 @@
-"""The ten numbered queries and their SQL."""
+"""The numbered queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.llm import q_bagmin, q_bpe, q_cascade, q_chat, q_decontam, q_lattice, q_licences, q_lines, q_quality, q_suffixes
+from sentinelle.llm import q_bagmin, q_bpe, q_cascade, q_chat, q_decontam, q_html, q_lattice, q_licences, q_lines, q_lexical, q_quality, q_suffixes, q_whitening
 
-MODULES = (q_chat, q_decontam, q_lines, q_quality, q_lattice, q_cascade, q_suffixes, q_licences, q_bagmin, q_bpe)
+MODULES = (q_chat, q_decontam, q_lines, q_quality, q_lattice, q_cascade, q_suffixes, q_licences, q_bagmin, q_bpe, q_lexical, q_whitening, q_html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
