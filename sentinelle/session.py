@@ -15,6 +15,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -22,14 +23,26 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that spark.checkpoint.dir names, else the context's checkpoint folder.
+
+    A local session that has neither gets one of this machine; a cluster without one is refused.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def settled(frame: DataFrame) -> DataFrame:
-    """`frame` with its lineage cut, in the folder that the cluster names in spark.checkpoint.dir."""
+    """`frame` with its lineage cut, in the shared folder."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
 
 
