@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a local session without one gets a folder of this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
+from sentinelle.session import shared_folder
 
 #: Bytes of an Arrow batch, so that long texts make short batches, and what a session that sets none has.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
@@ -29,7 +17,11 @@ DEFAULT_BYTES = "67108864b"
 
 
 def mapped(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """`frame.mapInArrow` with batches bounded by bytes as well as by rows, unless the session says how large."""
+    """`frame.mapInArrow` with batches bounded by bytes as well as by rows.
+
+    The bound is a setting of the session: one that has Spark's default gets BATCH_BYTES from here on, for all its
+    queries; one that says how large batches are keeps that.
+    """
     name, most = BATCH_BYTES
     conf = frame.sparkSession.conf
     if conf.get(name) == DEFAULT_BYTES:
