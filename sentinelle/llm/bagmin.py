@@ -17,7 +17,8 @@ the bucket's largest component meets only those outside it. No bucket, class or
 Defined cases: a document without words (null, blank) is a class of its own; fewer than five words are one shingle;
 rows are never merged, each comes back with its class; a null id comes after all others, and texts under null ids are
 linked like any; different texts under one id are different classes with one class_id, told apart by class_print;
-extra columns are ignored here, and kept by `first_of_each`.
+of equal ids the least print names the class. A very long text is one multiset, held by the task that reads it. Empty
+tables give empty results. Extra columns are ignored here, and kept by `first_of_each`.
 """
 
 from __future__ import annotations
@@ -403,8 +404,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row for each class: the one with the least id and, of that id, the least print. Documents
-    without words all stay."""
+    """`docs` with one row for each class: the one with the least id and, of that id, the least print. Of rows with
+    that id and the same words, the one stays whose text has the least SHA-256, then the one whose other columns, as
+    JSON, have. Documents without words all stay."""
     found = classes(docs, doc_id, text)
     shown = storage.free(docs, "_print")
     stay = storage.written(found.where("class_print is not null").select(F.col("class_id").alias(f"{shown}_id"), F.col("class_print").alias(f"{shown}_head")).distinct(), "stay")
@@ -417,5 +419,8 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     marked = storage.mapped(docs, run, schema)
     blank = marked.where(F.col(shown).isNull())
-    first = marked.join(stay, (F.col(shown) == F.col(f"{shown}_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col(f"{shown}_id")), "left_semi").dropDuplicates([shown])
-    return first.select(*docs.columns).unionByName(blank.select(*docs.columns))
+    first = marked.join(stay, (F.col(shown) == F.col(f"{shown}_head")) & F.col(doc_id).cast("long").eqNullSafe(F.col(f"{shown}_id")), "left_semi")
+    others = [c for c in docs.columns if c != text]
+    order = F.struct(F.sha2(text, 256), F.sha2(F.to_json(F.struct(*others)), 256)) if others else F.sha2(text, 256)
+    first = first.groupBy(shown).agg(F.min_by(F.struct(*docs.columns), order).alias(shown + "_row"))
+    return first.select(shown + "_row.*").unionByName(blank.select(*docs.columns))

@@ -174,3 +174,12 @@ def test_recall_on_templated_pages(spark):
     found = sum(got[2 * g] == got[2 * g + 1] == 2 * g for g in range(700))
     print("recall", found / 700)
     assert found >= 0.9 * 700
+
+
+def test_which_row_of_one_id_and_the_same_words_stays(spark):
+    rows = [(1, "Same words, here.", "b"), (1, "same words here", "a"), (1, "same words here", "c"), (2, "SAME WORDS HERE", "a"), (3, "other", "a"), (3, "Other!", None), (4, None, "x"), (4, None, "x")]
+    first = lambda some: sorted(map(tuple, bagmin.first_of_each(spark.createDataFrame(some, SCHEMA).coalesce(1)).collect()), key=str)
+    got = first(rows)
+    assert [r[0] for r in got] == [1, 3, 4, 4]
+    for turn in (rows[::-1], rows[3:] + rows[:3], rows[1:2] + rows[:1] + rows[2:]):
+        assert first(turn) == got
