@@ -7,13 +7,14 @@ products of piece probabilities over all its segmentations, by the forward recur
 opens a word begins with a mark, so segmentations never cross words: the sum of a text is the product of the sums
 of its words, and each distinct word needs one lattice.
 
-Words are counted over all documents. The most frequent in all of them (at most `HEAD`, a fixed bound) are broadcast
+Words are counted over all documents. The most frequent in all of them (at most `HEAD`, none above `LONGEST` bytes) are broadcast
 with their counts and scores; all others meet their documents in a join keyed by word, where none has more than a
 `HEAD`-th of the occurrences.
 
 Defined cases: null is the empty text (only the end is scored); a word outside the vocabulary is spelled with byte
 pieces, so every score is finite; a word of any length is scored, part by part beyond `LONG` bytes; repeated rows are
-scored one by one; with no training documents every count is 0 and the piece probabilities stay the vocabulary's own.
+scored one by one; very long texts are cut a few megabytes at once; words of equal frequency are broadcast together or
+not at all; empty tables give empty results; extra columns are ignored; with no training documents every count is 0 and the piece probabilities stay the vocabulary's own.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from sentinelle.llm import storage, words
 
 #: Places of lattices at once, bytes of text at once, words broadcast, added count of a piece.
 CELLS, STEP, HEAD, ADDED = 1 << 16, 4 << 20, 200_000, 0.1
+#: Bytes of the longest words that may be among them; longer ones meet the documents in a shuffle.
+LONGEST = 256
 #: A word of more bytes goes through its lattice alone, PART places at once.
 LONG, PART = 256, 1 << 16
 #: Stands for the mark that opens a word; no UTF-8 text has this byte.
@@ -278,15 +281,17 @@ def score(docs: DataFrame, vocabulary_path: str, held: str, doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("word", "c", "m")), pa.array(lp)], names=["word", "c", "m", "lp"])
 
     scored = storage.written(storage.mapped(counts.where("word is not null"), with_scores, "word binary, c long, m long, lp double"), "scores")
-    # Frequency classes of an eighth of a power of two: a few hundred, of which the upper ones fit the head.
+    # Words of LONGEST bytes at most in frequency classes of an eighth of a power of two: a few hundred, of which the upper ones fit the head.
     klass = F.floor(8 * F.log2("m"))
     cutoff, room = math.inf, HEAD
-    for r in scored.groupBy(klass.alias("k")).count().orderBy(F.desc("k")).collect():
+    short = F.octet_length("word") <= LONGEST
+    for r in scored.where(short).groupBy(klass.alias("k")).count().orderBy(F.desc("k")).collect():
         room -= r["count"]
         if room < 0:
             break
         cutoff = r.k
-    head = scored.where(klass >= cutoff if cutoff < math.inf else F.lit(False)).select("word", "c", "lp").toArrow().combine_chunks()
+    frequent = short & (klass >= cutoff) if cutoff < math.inf else F.lit(False)
+    head = scored.where(frequent).select("word", "c", "lp").toArrow().combine_chunks()
     top = spark.sparkContext.broadcast((pa.array(head["word"].to_pylist(), pa.binary()), head["c"].to_numpy(), head["lp"].to_numpy()))
 
     def rows(batches):
@@ -316,7 +321,7 @@ def score(docs: DataFrame, vocabulary_path: str, held: str, doc_id: str = "doc_i
             key += len(count)
 
     found = storage.written(storage.mapped(docs, rows, "key long, doc_id long, held boolean, word binary, n long, known long, base double, score double"), "tokens")
-    rare = found.where("word is not null").select("key", "word", "n").join(scored.where(klass < cutoff) if cutoff < math.inf else scored, "word")
+    rare = found.where("word is not null").select("key", "word", "n").join(scored.where(~frequent), "word")
     rare = rare.select(
         "key",
         F.lit(None).cast("long").alias("doc_id"),

@@ -108,3 +108,12 @@ def test_fitting_helps_on_held_out_text(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op5_lattice_score(spark, str(tmp_path)).count() == 0
+
+
+def test_long_words_stay_out_of_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab " + "long" * 100 + " ab b" * (i % 3), "extra", i) for i in range(20)], "doc_id long, text string, word string, n int")
+    score = lambda: sorted(map(tuple, lattice.score(docs.selectExpr("*", "doc_id % 4 = 1 as held"), tokenizer_path(VOCABULARY), "held").collect()))
+    want = score()
+    monkeypatch.setattr(lattice, "LONGEST", 1 << 20)
+    for a, b in zip(want, score(), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
