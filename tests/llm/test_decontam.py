@@ -54,3 +54,10 @@ def test_proximity(spark):
     index = decontam.build_index(spark.createDataFrame([(1, "one x two y three", ""), (2, "three two z z z z z one", ""), (3, "three one two", "")], DOCS))
     got = decontam.search(index, spark.createDataFrame([(1, "one two three")], ITEMS), window=3, slop=2).collect()
     assert sorted((r.doc_id, r.start, r.stop) for r in got) == [(1, 0, 5), (3, 0, 3)]
+
+
+def test_long_words_make_short_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 500)
+    items = spark.createDataFrame([(i, " ".join(f"{'x' * 3000}{i}{k}" for k in range(5))) for i in range(12)], ITEMS)
+    assert len(list(decontam.blocks(items, "item_id", "text", 4))) > 6
+    check(spark, [(1, items.first().text, "s"), (2, "short", "s")], [tuple(r) for r in items.collect()])
