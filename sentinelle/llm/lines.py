@@ -11,7 +11,9 @@ dealt out by line. From there only places go on to the documents.
 
 Defined cases: lines are what stands between line feeds; blank lines are never boilerplate; a null site is a site of
 its own; a null text has no lines and stays null; repeats of a boilerplate line inside its first document go too;
-rows that share an id and a text are treated alike; extra columns pass through, whatever their names.
+rows that share an id and a text are treated alike. A line that stands first in several documents of one id stays in the
+one whose text has the least hash. Very long texts and lines are cut and hashed whole. Empty tables stay empty. Extra
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def boilerplate(lines: DataFrame, spread: int = SPREAD, near: float = NEAR) -> D
     sketched = storage.written(sketched.where((F.col("times") >= spread) & (F.col("sites") >= spread * (1 - near))), "spread")
     sure = sketched.where(F.col("sites") > spread * (1 + near)).drop("sites")
     close = sketched.where(F.col("sites") <= spread * (1 + near)).drop("sites")
-    exact = lines.join(close.select(*LINE), LINE, "left_semi").groupBy(*LINE).agg(F.count_distinct("site").alias("n")).where(F.col("n") >= spread)
+    exact = skew.met(lines.select("site", *LINE), close.select(*LINE, "times"), LINE, "times").groupBy(*LINE).agg(F.count_distinct("site").alias("n")).where(F.col("n") >= spread)
     return sure.unionByName(close.join(exact.select(*LINE), LINE))
 
 
