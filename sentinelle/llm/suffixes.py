@@ -17,7 +17,9 @@ cut into single windows, whose core is the window itself, so that no more than o
 
 Defined cases: null is the empty text; texts shorter than LENGTH keep all bytes; identical rows are copies of each
 other and both lose what repeats; overlapping repeats inside one text count; matches never cross documents; long
-texts are read in segments, so memory is bounded by a segment; extra columns are ignored.
+texts are read in segments, so memory is bounded by a segment; empty tables give empty results; extra columns are
+ignored. Where a text is copied whole stretches are, so most repeated windows of a corpus with many copies are found by
+digest, and the suffix sort decides the others.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinelle.llm import skew, storage, words
@@ -261,7 +263,8 @@ _TEXTS = pa.schema([*_LONGS, ("contexts", pa.int64()), ("bytes", pa.binary())])
 
 
 def with_texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """`needed` (PLACE, CONTEXT, contexts) with the bytes under each stretch. A document's list is shorter than its text."""
+    """`needed` (PLACE, CONTEXT, contexts) with the bytes under each stretch. A document's list has an entry for
+    each of its stretches, not for each window."""
     rest = [x for x in [*PLACE, *CONTEXT, "contexts"] if x not in ("d", "h")]
     lists = needed.groupBy("d", "h").agg(F.collect_list(F.struct(*rest)).alias("parts"))
 
@@ -358,10 +361,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.union(sorted_bins(texts))
 
 
+def united(spans: DataFrame) -> DataFrame:
+    """`spans` of each document with those whose bytes touch or overlap as one: fewer than one for LENGTH bytes of text."""
+    along = Window.partitionBy("d", "h").orderBy("lo", "hi")
+    far = F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("new", F.coalesce(F.col("lo") >= far + LENGTH, F.lit(True)).cast("int"))
+    return begins.withColumn("run", F.sum("new").over(along)).groupBy("d", "h", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept, if asked for)."""
     have = keyed(docs, doc_id, text)
-    spans = storage.written(repeats(have), "spans").distinct().groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = united(storage.written(repeats(have), "spans").distinct()).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     rows = have.join(spans, ["d", "h"], "left").select("doc_id", "text", "spans")
 

@@ -81,3 +81,9 @@ def test_query_on_the_small_table(spark):
 
     docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
     assert result(op7_repeated_strings(spark, "/root/testdata/sf0.001")) == brute(docs)
+
+
+def test_spans_of_one_document_are_united(spark):
+    spans = [(1, 0, 5, 6), (1, 0, 6, 7), (1, 0, 205, 300), (1, 0, 499, 500), (1, 0, 700, 710), (1, 1, 0, 1)]
+    got = suffixes.united(spark.createDataFrame(spans, suffixes.SPANS)).select("d", "h", "lo", "hi").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 5, 500), (1, 0, 700, 710), (1, 1, 0, 1)]
