@@ -9,7 +9,8 @@ tokens then are, at every place, neighbours in an encoding of their own text, wh
 the whole. A batch is bounded by its bytes, so only the text of one very long row can make it larger.
 
 Defined cases: null is the empty text (no ids, decoded ''); strings of special tokens inside a text become those
-tokens, as in the library; repeated rows are encoded alike; other columns pass through.
+tokens, as in the library; repeated rows are encoded alike; very long texts are encoded whole, alone in their batch;
+empty tables stay empty; other columns pass through, but for those of the names that are given to ids and decoded text.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ A list too long for `MAX_BYTES` is dealt into shards by hash, each with a cascad
 shard; shards are broadcast one after another. Membership needs no join.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and matches nothing; an empty list or an
-empty universe gives a cascade that lists nothing; repeated URLs are judged one by one; extra columns pass through,
-but for those of the names that `judge` gives its own.
+empty universe gives a cascade that lists nothing; repeated URLs are judged one by one. The longest fitting rule wins,
+and of a rule that both lists have, allow. Very long hosts and paths are judged whole. An empty table stays empty. Extra columns pass through, but for those of the names that `judge` gives
+its own.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ greatest coefficient is found.
 
 Defined cases: a null text has no words; a text of one word has no bigrams and matches nothing; equal coefficients go
 to the template that stands first, then to the stretch that begins and ends first; repeated rows are scanned one by
-one; extra columns pass through, but for those of the names that are asked for.
+one; very long texts are scanned whole, in memory that follows the text; empty tables stay empty; extra columns pass through, but for those of the names that are asked for.
 """
 
 from __future__ import annotations

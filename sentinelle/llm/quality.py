@@ -6,7 +6,8 @@ range it must keep, and `verdict` turns the table into a single boolean expressi
 Defined cases: a null or blank text has no words (every count 0, base rules fail); a text without enough words
 for a ratio gets ratio 0; repeated rows are judged one by one; extra columns pass through, and metrics come under a
 prefix, where they replace columns of the same names (name another prefix to keep both); `kept` returns its input's
-columns untouched, whatever their names. Equal windows are found by 64-bit hashes and then compared word by word.
+columns untouched, whatever their names. Very long texts are measured whole, in memory that follows the text; values equal
+to a bound keep it; empty tables stay empty. Equal windows are found by 64-bit hashes and then compared word by word.
 """
 
 from __future__ import annotations
