@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sentinelle.functions import text as X
 from sentinelle.operators import analytics as A
 from sentinelle.operators import correlate as R
 from sentinelle.operators import mentions as M
 from sentinelle.operators import metrics as E
+from sentinelle.plans.q_text import _TOKENS as TOKENS
 from sentinelle.session import settled, table
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, KM, Queries
@@ -17,20 +19,22 @@ Q = Queries()
 
 
 def reports(spark, d):
-    """Observations with the words and actors they name, and whose claim they are."""
-    actors = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), F.col("user_id") % 3), F.concat(F.lit("a"), F.col("id") % 4)))
-    words = F.array(F.concat(F.lit("w"), F.col("k") % 5), F.concat(F.lit("x"), F.col("user_id") % 4), F.lit("same"))
+    """Observations with the words and actors that the opening of a document names, and whose claim they are."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    said = docs.select("doc_id", X.tokens(F.col("text"), 400).alias("tokens"), F.slice(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[A-Z][a-z]{7,}"), F.lit(0))), 1, 4).alias("actors"))
     identity = F.when(F.col("channel").isNotNull(), F.concat_ws("/", "platform", "channel"))
     columns = ("id", "received", "occurred", "event_type", "lat", "lon", "precision", "place")
-    return V.observations(spark, d).select(*columns, F.array_distinct(actors).alias("actors"), words.alias("tokens"), (F.col("tier") == "UserGenerated").alias("claim"), identity.alias("identity"))
+    o = V.observations(spark, d).withColumn("doc_id", F.pmod("id", F.lit(docs.count())))
+    return o.join(said, "doc_id").select(*columns, "actors", "tokens", (F.col("tier") == "UserGenerated").alias("claim"), identity.alias("identity"))
 
 
 DAY = 24 * HOUR
-_REPORTS = """, s AS (SELECT *, CASE WHEN id % 3 = 0 THEN []::VARCHAR[] ELSE list_distinct(['a' || (user_id % 3), 'a' || (id % 4)]) END AS actors, ['w' || (k % 5), 'x' || (user_id % 4), 'same'] AS tokens FROM v_observations)"""
+_REPORTS = f""", t AS (SELECT doc_id, {TOKENS.format("coalesce(text, '')").replace("2000", "400")} AS tokens, list_filter(regexp_extract_all(substr(coalesce(text, ''), 1, 200), '[A-Z][a-z]{{7,}}'), lambda x, i: list_position(regexp_extract_all(substr(coalesce(text, ''), 1, 200), '[A-Z][a-z]{{7,}}'), x) = i)[1:4] AS actors FROM documents),
+s AS (SELECT o.*, tokens, actors FROM v_observations o JOIN t ON t.doc_id = o.id % (SELECT count(*) FROM documents))"""
 _PAIRS = f"""{_REPORTS},
 p AS (SELECT a.id AS a, b.id AS b, a.occurred AS at_a, b.occurred AS at_b, lower(a.place) = lower(b.place) AS same, a.precision = 'Country' AND b.precision = 'Country' AS country,
         CASE WHEN a.precision <> 'Country' AND b.precision <> 'Country' THEN {KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} END AS km,
-        round_even(len(list_intersect(a.tokens, b.tokens)) / sqrt(len(a.tokens)::DOUBLE * len(b.tokens)), 4) AS sim, len(list_intersect(a.actors, b.actors)) AS shared,
+        coalesce(round_even(len(list_intersect(a.tokens, b.tokens)) / nullif(sqrt(len(a.tokens)::DOUBLE * len(b.tokens)), 0), 4), 0) AS sim, len(list_intersect(a.actors, b.actors)) AS shared,
         CASE WHEN len(a.actors) > 0 AND len(b.actors) > 0 THEN round_even(len(list_intersect(a.actors, b.actors)) / len(a.actors), 4) END AS overlap
       FROM s a JOIN s b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {DAY}
       QUALIFY b.id < a.id AND row_number() OVER (PARTITION BY a.id ORDER BY b.occurred DESC, b.id) <= 200),
@@ -77,7 +81,7 @@ def correlation_best_earlier(spark, d):
 SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.event_type = b.event_type AND a.id < b.id AND abs(a.occurred - b.occurred) <= {DAY} WHERE a.platform || '/' || a.channel <> b.platform || '/' || b.channel
   AND CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL AND a.precision <> 'Country' AND b.precision <> 'Country' THEN {KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 25
       ELSE a.place = b.place AND NOT (a.lat IS NOT NULL AND a.precision = 'Country') AND NOT (b.lat IS NOT NULL AND b.precision = 'Country')
-        AND (len(list_intersect(a.actors, b.actors)) > 0 OR round_even(len(list_intersect(a.tokens, b.tokens)) / 3, 4) >= 0.4) END""")
+        AND (len(list_intersect(a.actors, b.actors)) > 0 OR round_even(len(list_intersect(a.tokens, b.tokens)) / nullif(sqrt(len(a.tokens)::DOUBLE * len(b.tokens)), 0), 4) >= 0.4) END""")
 def corroboration_pairs(spark, d):
     return R.corroborated(reports(spark, d).where("claim"), DAY).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 

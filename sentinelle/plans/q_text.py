@@ -8,6 +8,8 @@ from sentinelle.functions import scores
 from sentinelle.functions import text as X
 from sentinelle.operators import lexicon as L
 from sentinelle.operators import pipeline as P
+from sentinelle.operators import similar as S
+from sentinelle.operators import skew
 from sentinelle.session import table
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, NOW, Queries
@@ -27,8 +29,8 @@ def fingerprint_documents(spark, d):
 @Q.add("duplicate_documents", ", f AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g'))) AS f FROM documents) SELECT doc_id, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY f) THEN min(doc_id) OVER (PARTITION BY f) END AS duplicate_of FROM f")
 def duplicate_documents(spark, d):
     f = _docs(spark, d).select("doc_id", F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{Nd}]+", " ")), 256).alias("f"))
-    first = f.groupBy("f").agg(F.min("doc_id").alias("first"))
-    return f.join(first, "f").select("doc_id", F.when(F.col("doc_id") != F.col("first"), F.col("first")).alias("duplicate_of"))
+    first = f.groupBy("f").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    return skew.met(f, first, ["f"], "times").select("doc_id", F.when(F.col("doc_id") != F.col("first"), F.col("first")).alias("duplicate_of"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -41,14 +43,30 @@ def lexical_tokens(spark, d):
     return _docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(F.slice(F.array_sort(t), 1, 5), " ").alias("head"))
 
 
-@Q.add("lexical_similarity_pairs", f""", t AS (SELECT doc_id, source, lang, {_TOKENS.format('text')} AS w FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE round_even(len(list_intersect(a.w, b.w)) / sqrt(len(a.w)::DOUBLE * len(b.w)), 4) END::DOUBLE AS similarity
-FROM t a JOIN t b ON a.doc_id + 1 = b.doc_id""")
+_SETS = f""", w AS (SELECT doc_id, list_sort({_TOKENS.format('text')}) AS w FROM documents), s AS (SELECT w, min(doc_id) AS id, count(*) AS copies FROM w WHERE len(w) > 0 GROUP BY w)"""
+
+
+@Q.add("lexical_similarity_pairs", f"""{_SETS}, i AS (SELECT id, copies, len(w)::DOUBLE AS n, unnest(w) AS word FROM s), m AS (SELECT a.id AS a, b.id AS b, round_even(count(*) / sqrt(any_value(a.n * b.n)), 4) AS similarity FROM i a JOIN i b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, similarity, x.copies AS copies_a, y.copies AS copies_b FROM m JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE similarity >= 0.4""")
 def lexical_similarity_pairs(spark, d):
-    """Every document's wording against that of the one after it."""
-    t = _docs(spark, d).select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    after = t.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    return t.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")).join(after, "a").select("a", "b", X.similarity(F.col("wa"), F.col("wb")).alias("similarity"))
+    """All pairs of different wordings that are 0.4 alike or more, each under the least document that has it."""
+    sets = S.distinct_sets(_wordings(spark, d), "doc_id", "w").select("doc_id", "w", "copies")
+    found = S.pairs(sets, 0.4, "doc_id", "w")
+    copies = lambda s: sets.select(F.col("doc_id").alias(s), F.col("copies").alias(f"copies_{s}"))
+    return found.join(copies("a"), "a").join(copies("b"), "b").select("a", "b", "similarity", "copies_a", "copies_b")
+
+
+@Q.add("lexical_wording_classes", f"{_SETS} SELECT doc_id, coalesce(id, doc_id) AS wording FROM w LEFT JOIN s USING (w)")
+def lexical_wording_classes(spark, d):
+    """Every document with the least one of the same wording; those without words stand for themselves."""
+    docs = _wordings(spark, d)
+    sets = S.distinct_sets(docs, "doc_id", "w").select("set", F.col("doc_id").alias("first"), "copies")
+    several = skew.met(docs.where(F.size("w") > 0).select("doc_id", S.set_key(F.col("w")).alias("set")), sets, ["set"], "copies").select("doc_id", F.col("first").alias("wording"))
+    return several.unionByName(docs.where(F.size("w") == 0).select("doc_id", F.col("doc_id").alias("wording")))
+
+
+def _wordings(spark, d):
+    return _docs(spark, d).select("doc_id", X.tokens(F.coalesce("text", F.lit(""))).alias("w"))
 
 
 def _any(keys, c="t"):
