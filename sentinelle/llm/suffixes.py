@@ -8,7 +8,8 @@ of anchors that have more than one are dealt out by anchor and suffix-sorted in
 
 The sort is two-stage: suffixes smaller than their successors are sorted directly, by words of eight bytes; all
 others are induced by scanning the 256 buckets in order, each suffix placing its predecessor in the bucket of its
-first byte. Adjacent common prefixes then show which windows repeat.
+first byte. Adjacent common prefixes then show which windows repeat. Equal windows agree on WING bytes before their anchor or after
+it, so contexts that share neither with another one of their anchor are not sorted.
 
 An anchor with more than `CROWD` contexts would overfill a bin. Its contexts are cut into pieces of `WIDTHS[0]`
 windows at most, by distance from the anchor, and dealt out by the bytes that all windows of a piece's place share;
@@ -25,6 +26,7 @@ digest, and the suffix sort decides the others.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -305,14 +307,26 @@ SPANS = f"{KEYED}, lo long, hi long"
 _SPANS = pa.schema([(x, pa.int64()) for x in ("d", "h", "lo", "hi")])
 
 
+#: Bytes beside an anchor that equal windows share on one side at least: half of what a window has besides the anchor.
+WING = (LENGTH - GRAM) // 2
+
+
+def promising(rows: list[dict]) -> list[dict]:
+    """Those of a bin's contexts that share a wing with another one under their key; no others have a window in common."""
+    wings = [[(r["key"], side, r["bytes"][a : a + WING]) for side, a in enumerate((r["at"] - WING, r["at"] + GRAM)) if 0 <= a <= len(r["bytes"]) - WING] for r in rows]
+    times = Counter(w for own in wings for w in own)
+    return [r for r, own in zip(rows, wings, strict=True) if any(times[w] > 1 for w in own)]
+
+
 def sorted_bins(contexts: DataFrame) -> DataFrame:
     """Runs [lo, hi) of repeated windows, from suffix sorting; contexts of a key stay in one bin."""
 
     def run(batches):
-        bin_, size, key = [], 0, None
+        held, size, key = [], 0, None
 
         def flush():
-            found = repeated([r["bytes"] for r in bin_], [r["n"] for r in bin_])
+            bin_ = promising(held)
+            found = repeated([r["bytes"] for r in bin_], [r["n"] for r in bin_]) if bin_ else []
             rows = [{"d": r["d"], "h": r["h"], "lo": r["lo"] + a, "hi": r["lo"] + b} for r, hit in zip(bin_, found, strict=True) for a, b in runs(hit)]
             return pa.RecordBatch.from_pylist(rows, schema=_SPANS)
 
@@ -325,14 +339,14 @@ def sorted_bins(contexts: DataFrame) -> DataFrame:
                 last = same
                 if r["key"] != key and size >= BIN:
                     yield flush()
-                    bin_, size = [], 0
+                    held, size = [], 0
                 key = r["key"]
-                bin_.append(r)
+                held.append(r)
                 size += len(r["bytes"])
-        if bin_:
+        if held:
             yield flush()
 
-    columns = ["d", "h", "lo", "n", *CONTEXT, "bytes"]
+    columns = [*PLACE, *CONTEXT, "bytes"]
     return storage.mapped(contexts.select(columns).repartition("key").sortWithinPartitions(*CONTEXT), run, SPANS)
 
 
