@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,41 @@ def activity(incidents: DataFrame, now: int, windows=scores.WINDOWS) -> DataFram
     )
 
 
+def activity_bins(incidents: DataFrame, windows=scores.WINDOWS) -> DataFrame:
+    """(bin, token, weight, incidents): what the incidents of an hour weigh at its end, for every reporting window.
+
+    Weights halve in a window's own time, so those of a bin at any later time are a multiple of it: bins are stored
+    once, added up for late incidents, and read instead of incidents.
+    """
+    spine = incidents.sparkSession.createDataFrame([(t, h) for t, h, _ in windows], "token string, hours int")
+    each = incidents.withColumn("bin", F.floor(F.col("occurred") / HOUR)).crossJoin(F.broadcast(spine))
+    part = scores.contribution(F.col("severity"), ((F.col("bin") + 1) * HOUR - F.col("occurred")) / HOUR, F.col("evidence"), F.col("confidence"), F.col("hours"))
+    return each.groupBy("bin", "token").agg(F.sum(part).alias("weight"), F.count("*").alias("incidents"))
+
+
+def activity_from_bins(bins: DataFrame, incidents: DataFrame, now: int, windows=scores.WINDOWS) -> DataFrame:
+    """`activity` from stored bins; of `incidents` only those of hours that a window's ends cut are read."""
+    spine = bins.sparkSession.createDataFrame([(t, h, now - h * HOUR) for t, h, _ in windows], "token string, hours int, since long")
+    last = now // HOUR
+    whole = bins.join(F.broadcast(spine), "token").where((F.col("bin") * HOUR >= F.col("since")) & (F.col("bin") < last))
+    aged = F.col("weight") * F.pow(F.lit(0.5), (now / HOUR - (F.col("bin") + 1)) / (F.col("hours") / 4.0))
+    parts = whole.select("token", aged.alias("weight"), "incidents")
+    if now % HOUR:
+        cut = [last * HOUR, *((now - h * HOUR) // HOUR * HOUR for _, h, _ in windows)]
+        edge = functools.reduce(lambda a, b: a | b, [(F.col("occurred") >= c) & (F.col("occurred") < c + HOUR) for c in cut])
+        own = F.floor(F.col("occurred") / HOUR)
+        # An hour is read by itself where the window begins inside it or now is.
+        rows = within(incidents, "occurred", min(cut), now).where(edge).crossJoin(F.broadcast(spine)).where((F.col("occurred") >= F.col("since")) & ((own == last) | (own * HOUR < F.col("since"))))
+        part = scores.contribution(F.col("severity"), (now - F.col("occurred")) / HOUR, F.col("evidence"), F.col("confidence"), F.col("hours"))
+        parts = parts.unionByName(rows.select("token", part.alias("weight"), F.lit(1).cast("long").alias("incidents")))
+    sums = parts.groupBy("token").agg(F.sum("weight").alias("weight"), F.sum("incidents").alias("incidents"))
+    rate = F.coalesce(F.col("weight"), F.lit(0.0)) / (F.col("hours") / 24)
+    value = scores.score(rate)
+    return F.broadcast(spine).join(sums, "token", "left").select(
+        "token", F.coalesce("incidents", F.lit(0).cast("long")).alias("incidents"), F.round(rate, 4).alias("rate_per_day"), F.round(value, 4).alias("score"), scores.band(value).alias("band")
+    )
+
+
 def series(df: DataFrame, column: str, now: int, hours: int, bucket_hours: int) -> DataFrame:
     """Counts by bucket, anchored at the start of the window; empty buckets are there with zeros."""
     n = hours // bucket_hours

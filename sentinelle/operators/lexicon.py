@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sentinelle.operators import graph
 FEATURES = {"PPLC": "Settlement", "PPLA": "Settlement", "PPLA2": "Settlement", "PPL": "Settlement", "ADM1": "Region", "ADM2": "Region", "PCLI": "Country"}
 #: Inhabitants a plain town needs, degrees within which two entries are one place or one holds the other, and how far a winner must lead.
 TOWN, SAME, NESTED, LEAD = 5000, 0.05, 1.5, 10
+#: Levels that a place may lie below another one.
+DEPTH = 12
 
 
 def admitted(rows: DataFrame) -> DataFrame:
@@ -20,10 +24,33 @@ def admitted(rows: DataFrame) -> DataFrame:
     return out.where((F.col("lat") != 0) | (F.col("lon") != 0)).where((F.col("feature") != "PPL") | (F.col("population") >= TOWN))
 
 
-def disambiguated(entries: DataFrame) -> DataFrame:
+def ancestors(places: DataFrame) -> DataFrame:
+    """(id, ancestor, steps) of every place that lies in another one, at any depth; `places` has id and parent.
+
+    Each round of the recursion joins what the last one found with the parents; a place that is its own ancestor by
+    mistake stops at DEPTH.
+    """
+    name = "_places_" + uuid.uuid4().hex
+    places.select("id", "parent").where("parent is not null").createOrReplaceTempView(name)
+    return places.sparkSession.sql(
+        f"""WITH RECURSIVE up(id, ancestor, steps) MAX RECURSION LEVEL {DEPTH + 1} AS (
+              SELECT id, parent, 1 FROM {name} UNION ALL SELECT u.id, p.parent, u.steps + 1 FROM up u JOIN {name} p ON p.id = u.ancestor WHERE u.steps < {DEPTH})
+            SELECT id, ancestor, min(steps) AS steps FROM up GROUP BY id, ancestor"""
+    )
+
+
+def deepest(entries: DataFrame, within: DataFrame) -> DataFrame:
+    """Entries (key, id, country) without those that, for one key and country, hold another one of the key: the deeper
+    place is meant. `within` has id and ancestor."""
+    inner = entries.select("key", "country", F.col("id").alias("_in")).join(within.select(F.col("id").alias("_in"), F.col("ancestor").alias("id")), "_in")
+    return entries.join(inner.select("key", "country", "id").distinct(), ["key", "country", "id"], "left_anti")
+
+
+def disambiguated(entries: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """key, chosen (null: undecided), places: what a bare name means. `entries` has key, id (its own), lat, lon, population.
 
-    Entries of a name that lie together, or one inside the other, are one place; the most populous place wins if it has
+    Entries of a name that lie together, or one inside the other, are one place; what lies inside what is told by
+    administrative codes (`within`: id, ancestor) where they are given, and by distance elsewhere; the most populous place wins if it has
     TOWN inhabitants and LEAD times those of the next. Neighbours meet by grid cell; of a name's places only the two
     most populous are kept, so a name may have any number of bearers.
     """
@@ -34,7 +61,11 @@ def disambiguated(entries: DataFrame) -> DataFrame:
     b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "lat", "lon", "population")], near(y).alias("y"), x.alias("x")).withColumn("x", near(F.col("x")))
     apart = F.greatest(F.abs(F.col("lat_a") - F.col("lat_b")), F.abs(F.col("lon_a") - F.col("lon_b")))
     one = (apart <= SAME) | ((apart <= NESTED) & (F.least("population_a", "population_b") == 0))
-    same = graph.connected(a.join(b, ["key", "y", "x"]).where((F.col("id_a") < F.col("id_b")) & one).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    edges = a.join(b, ["key", "y", "x"]).where((F.col("id_a") < F.col("id_b")) & one).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    if within is not None:
+        inside = rows.select("key", F.col("id").alias("a")).join(within.select(F.col("id").alias("a"), F.col("ancestor").alias("b")), "a")
+        edges = edges.union(inside.join(rows.select("key", F.col("id").alias("b")), ["key", "b"]).select("a", "b"))
+    same = graph.connected(edges)
     places = rows.join(same, "id", "left").groupBy("key", F.coalesce("component", "id").alias("place")).agg(F.max(F.struct("population", (-F.col("id")).alias("back"))).alias("best"))
     ahead = Window.partitionBy("key").orderBy(F.desc("best"))
     top = places.withColumn("r", F.row_number().over(ahead)).where("r <= 2").groupBy("key").agg(F.max("best").alias("top"), F.min(F.when(F.col("r") == 2, F.col("best.population"))).alias("next"))

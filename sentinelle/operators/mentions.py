@@ -1,69 +1,71 @@
-"""Place mentions in texts: leftmost, then longest, whole mentions only, for any number of names at once."""
+"""Place mentions in texts: leftmost, then longest, whole mentions only, for any number of names.
+
+Texts and names are folded and cut into the same units: a run of letters and digits, a single character of a script that
+writes without gaps between words, or any other single character. A mention begins and ends at units, so a name is in a
+text if its units stand there in a row. For every number of units that some name has, all runs of that many units are
+hashed and meet the names in a join; only these numbers come to the driver. Overlapping hits of a text then give way to
+the leftmost, of those to the longest, by one ordered fold.
+"""
 
 from __future__ import annotations
 
-import functools
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sentinelle.functions import text as X
+
+#: Scripts that write without gaps between words have no edges to check: Thai, Hiragana to Katakana, Han, Hangul.
+_GAPLESS = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
+_UNIT = rf"(?s)[\p{{L}}\p{{N}}_&&[^{_GAPLESS}]]+|."
+
+
+def folded(text: Column) -> Column:
+    """NFKC and lower case; texts of ASCII alone, which NFKC leaves as they are, stay in the JVM."""
+    ascii_ = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_, F.lower(text)).otherwise(X.folded(F.when(~ascii_, text)))
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-#: Scripts that write without gaps between words have no edges to check: Hiragana to Han, Hangul, Thai.
-_GAPLESS = ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
 
 
-def _edge(a: str, b: str) -> bool:
-    """Whether a mention may begin or end between two characters."""
-    gapless = any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in _GAPLESS)
-    return gapless or not ((a.isalnum() or a == "_") and (b.isalnum() or b == "_"))
+def named(lexicon: DataFrame, name: str = "name") -> DataFrame:
+    """(name, n, code): every distinct folded name, how many units it has, and their hash."""
+    names = lexicon.where(F.col(name) != "").select(folded(F.col(name)).alias("name")).distinct()
+    return names.select("name", F.size(units(F.col("name"))).alias("n"), F.xxhash64("name").alias("code"))
 
 
-@functools.cache
-def _automaton(names: tuple[str, ...]):
-    import ahocorasick
+def hits(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, n, name): every place where the units of a name stand in a row; `at` counts units."""
+    sizes = sorted(r.n for r in names.select("n").distinct().collect())
+    cut = docs.where(F.col(text) != "").select(key, units(folded(F.col(text))).alias("_u"))
+    out = None
 
-    found = ahocorasick.Automaton()
-    for n in names:
-        if n:
-            found.add_word(n, n)
-    found.make_automaton()
-    return found
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("_u") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_u", i, n), "")))
 
+    for n in sizes:
+        some = cut.where(F.size("_u") >= n).select(key, F.posexplode(runs(n)).alias("at", "code")).join(names.where(F.col("n") == n), "code").select(key, "at", "n", "name")
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else cut.select(key, F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("name")).where("false")
 
-def mentions_in(text: str | None, names: tuple[str, ...], limit: int = 12) -> list[str]:
-    """Distinct names in order of appearance; overlapping mentions give way to the leftmost, then longest."""
-    import unicodedata
 
-    if not text or not any(names):
-        return []
-    low = unicodedata.normalize("NFKC", text).lower()
-    spans = []
-    for end, n in _automaton(names).iter(low):
-        start = end - len(n) + 1
-        if (start == 0 or _edge(low[start - 1], low[start])) and (end + 1 == len(low) or _edge(low[end], low[end + 1])):
-            spans.append((start, -len(n), n))
-    out, at = [], 0
-    for start, size, n in sorted(spans):
-        if start >= at:
-            at = start - size
-            if n not in out:
-                out.append(n)
-    return out[:limit]
+def chosen(hit: Column) -> Column:
+    """Distinct names, in order of appearance, of hits (at, -n, name) that are sorted and may overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("names"))
 
+    def step(a: Column, h: Column) -> Column:
+        names = F.when(F.array_contains(a["names"], h["name"]), a["names"]).otherwise(F.concat(a["names"], F.array(h["name"])))
+        return F.when(h["at"] >= a["at"], F.struct((h["at"] + -h["back"]).alias("at"), names.alias("names"))).otherwise(a)
 
-def with_mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text", most_names: int = 500_000) -> DataFrame:
-    """`docs` with `mentions`. The automaton is broadcast; a lexicon beyond `most_names` is refused, not cut."""
-    import unicodedata
+    return F.aggregate(hit, start, step, lambda a: a["names"])
 
-    rows = lexicon.select("name").distinct().limit(most_names + 1).collect()
-    if len(rows) > most_names:
-        raise ValueError(f"the lexicon has more than {most_names} names; deal it out in parts")
-    names = docs.sparkSession.sparkContext.broadcast(tuple(sorted({unicodedata.normalize("NFKC", r.name).lower() for r in rows if r.name})))
-    schema = T.StructType([*docs.schema.fields, T.StructField("mentions", T.ArrayType(T.StringType()))])
 
-    def run(batches):
-        for batch in batches:
-            found = [mentions_in(t, names.value) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=schema.names)
+def with_mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "id", most: int = 12) -> DataFrame:
+    """`docs` with `mentions`, the first `most` names of each text; `key` tells rows apart, `lexicon` has `name`.
 
-    return docs.mapInArrow(run, schema)
+    Null and empty texts have none; of a text with ever so many hits only their places and names are gathered.
+    """
+    found = hits(docs, named(lexicon), key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("back"), "name"))).alias("_hits"))
+    found = found.select(key, F.slice(chosen(F.col("_hits")), 1, most).alias("mentions"))
+    return docs.join(found, key, "left").withColumn("mentions", F.coalesce("mentions", F.array().cast("array<string>")))

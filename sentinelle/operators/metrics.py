@@ -6,6 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Share of all values by which the rank of a sketch's quantile may be off, with a probability of 99 %.
+RANK_ERROR = 0.0165
+
+
+def sketches(rows: DataFrame, by: list, value: str) -> DataFrame:
+    """(by, n, sketch): a quantile sketch of `value` for each group, of bounded size; stored, merged and added to later."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value)).alias("sketch"))
+
+
+def merged_sketches(stored: DataFrame, by: list) -> DataFrame:
+    """Sketches of finer groups as those of coarser ones."""
+    return stored.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles(stored: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """`stored` with a column for each wanted quantile; null where nothing was counted."""
+    value = lambda q: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return stored.withColumns({name: value(q) for name, q in wanted.items()}).drop("sketch")
+
+
 def confusion(rows: DataFrame, expected: str, got: str) -> DataFrame:
     return rows.groupBy(F.col(expected).alias("expected"), F.col(got).alias("got")).agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinelle.functions import geo
@@ -42,6 +42,50 @@ def near_any(points: DataFrame, centres: DataFrame, most_km: float) -> DataFrame
     return pairs.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= F.col("radius"))
 
 
+#: Levels of cells: bands of latitude of 180 degrees, 90, 45, ... down to about a kilometre.
+LEVELS = 14
+
+
+def _band(level: Column) -> Column:
+    return 180.0 / F.pow(F.lit(2.0), level)
+
+
+def _row(lat: Column, level: Column) -> Column:
+    return F.least(F.floor((lat + 90) / _band(level)), F.pow(F.lit(2.0), level).cast("long") - 1)
+
+
+def _around(y: Column, level: Column) -> Column:
+    """How many cells a band has, so that a circle as wide as the band, wherever its centre is, touches neighbours only."""
+    farthest = F.least(F.lit(90.0), F.abs((y + 0.5) * _band(level) - 90) + 1.5 * _band(level))
+    # Beyond three cells, which are neighbours all round, a circle's span in longitude is below 1.25 times its own width.
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(farthest)) / (1.25 * _band(level)))).cast("long")
+
+
+def _column(lon: Column, around: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * around), around)
+
+
+def near_each(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Every (point, area) within the area's radius, with `km`, for areas of any sizes together.
+
+    `areas` has c_lat, c_lon and radius. An area stands in nine cells at most, of the finest level whose cells are as
+    wide as it; a point asks its own cell at every level that has areas, LEVELS + 1 at most. So a small area meets the
+    points of its neighbourhood only, whatever the largest one is.
+    """
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(180 * _DEGREE_KM / F.greatest("radius", F.lit(1e-6)))))).cast("int")
+    placed = areas.where("c_lat is not null and c_lon is not null and radius >= 0").withColumn("_l", level)
+    rows = F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: _row(F.col("c_lat"), F.col("_l")) + k)
+    inside = F.filter(rows, lambda y: (y >= 0) & (y < F.pow(F.lit(2.0), F.col("_l"))))
+    cells = placed.withColumn("_y", F.explode(inside)).withColumn("_n", _around(F.col("_y"), F.col("_l")))
+    cells = cells.withColumn("_x", F.explode(F.array_distinct(F.array(*[F.pmod(_column(F.col("c_lon"), F.col("_n")) + k, F.col("_n")) for k in (-1, 0, 1)])))).drop("_n")
+    used = sorted(r["_l"] for r in placed.select("_l").distinct().collect())
+    at = points.where("lat is not null and lon is not null").withColumn("_l", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")))
+    at = at.withColumn("_y", _row(F.col("lat"), F.col("_l")))
+    at = at.withColumn("_x", _column(F.col("lon"), _around(F.col("_y"), F.col("_l"))))
+    pairs = at.join(cells, ["_l", "_y", "_x"]).drop("_l", "_y", "_x")
+    return pairs.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= F.col("radius"))
+
+
 def watch_areas(points: DataFrame, areas: DataFrame, most_km: float) -> DataFrame:
     """One row for each area, quiet ones too: reports and the nearest in km (one decimal); busiest first, then nearest, quiet ones last."""
     hits = near_any(points, areas, most_km).groupBy("name").agg(F.count("*").alias("n"), F.min("km").alias("nearest"))

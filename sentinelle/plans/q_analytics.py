@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sentinelle.functions import scores
 from sentinelle.operators import analytics as A
-from sentinelle.session import table
+from sentinelle.operators import metrics as E
+from sentinelle.session import settled, table
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, NOW, Queries
 
@@ -30,6 +31,39 @@ def activity_score_by_window(spark, d):
     return A.activity(V.incidents(spark, d), NOW)
 
 
+#: Three times at which activity is asked for: on the hour, and inside one.
+_NOWS = (NOW, NOW - 5 * HOUR, NOW - 100 * HOUR - 1_234_567_890)
+
+
+@Q.add(
+    "activity_from_stored_bins",
+    f""", n AS (SELECT unnest([{", ".join(map(str, _NOWS))}]) AS now), w AS (SELECT * FROM n, (VALUES ('24h', 24), ('7d', 168), ('30d', 720), ('90d', 2160)) AS t(token, hours)),
+s AS (SELECT now, token, hours, count(id) AS incidents, coalesce(sum({_W} * pow(0.5, greatest((now - occurred) / {HOUR}.0, 0) / (hours / 4.0))
+        * least(3.0, 1 + 0.5 * log2(greatest(evidence, 1))) * (0.4 + 0.6 * confidence)), 0) / (hours / 24.0) AS rate
+      FROM w LEFT JOIN v_incidents ON occurred >= now - hours * {HOUR} AND occurred < now GROUP BY now, token, hours)
+SELECT now, token, incidents, round(rate, 4) AS rate_per_day FROM s""",
+)
+def activity_from_stored_bins(spark, d):
+    incidents = V.incidents(spark, d)
+    bins = settled(A.activity_bins(incidents))
+    at = [A.activity_from_bins(bins, incidents, now).select(F.lit(now).alias("now"), "token", "incidents", "rate_per_day") for now in _NOWS]
+    return at[0].unionByName(at[1]).unionByName(at[2])
+
+
+@Q.add(
+    "latency_sketch_quantiles",
+    " SELECT event_type, count(*) AS n, true AS median_holds, true AS p95_holds FROM v_observations GROUP BY 1",
+)
+def latency_sketch_quantiles(spark, d):
+    """Quantiles of stored daily sketches, merged, held against the exact ranks of what they say."""
+    o = V.observations(spark, d).select("event_type", "received", (F.col("received") - F.col("occurred") + F.col("value")).cast("double").alias("latency"))
+    daily = settled(E.sketches(o, ["event_type", F.floor(F.col("received") / (24 * HOUR)).alias("day")], "latency"))
+    said = E.quantiles(E.merged_sketches(daily, ["event_type"]), {"median": 0.5, "p95": 0.95})
+    ranks = o.join(said.select("event_type", "median", "p95"), "event_type").groupBy("event_type").agg(F.count("*").alias("n"), *[F.count_if(F.col("latency") <= F.col(q)).alias(f"_{q}") for q in ("median", "p95")])
+    holds = lambda q, share: (F.abs(F.col(f"_{q}") / F.col("n") - share) <= E.RANK_ERROR + 1 / F.col("n")).alias(f"{q}_holds")
+    return ranks.select("event_type", "n", holds("median", 0.5), holds("p95", 0.95))
+
+
 def _series_sql(hours, bucket):
     start, n = NOW - hours * HOUR, hours // bucket
     return f""", s AS (SELECT (occurred - {start}) // {bucket * HOUR} AS bucket, count(*) AS n, count(*) FILTER (severity >= 3) AS elevated

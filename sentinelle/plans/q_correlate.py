@@ -103,10 +103,22 @@ def correlation_components(spark, d):
     return R.components(V.observations(spark, d).select("id", "event_type", "occurred"), ["event_type"], "occurred", HOUR).groupBy("event_type", "component").agg(F.count("*").alias("n"))
 
 
-@Q.add("place_mentions_automaton", ", d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{Nd}_]+', ' ', 'g') || ' ' AS t FROM documents) SELECT doc_id, len(list_filter(['the', 'und', 'que', 'les', 'with'], lambda n: contains(t, ' ' || n || ' '))) AS mentions FROM d")
+_MANIFEST = """
+WITH m AS (SELECT l_orderkey, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey UNION SELECT l_orderkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey UNION SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey)
+SELECT l_orderkey AS id, count(DISTINCT lower(name)) AS names, sha256(string_agg(DISTINCT lower(name), '|' ORDER BY lower(name))) AS names_sha256 FROM m GROUP BY 1"""
+
+
+@Q.add("place_mentions_automaton", _MANIFEST, prelude=None)
 def place_mentions_automaton(spark, d):
-    lexicon = spark.createDataFrame([(n,) for n in ("the", "und", "que", "les", "with")], "name string")
-    return M.with_mentions(table(spark, d, "documents").select("doc_id", "text"), lexicon).select("doc_id", F.size("mentions").cast("long").alias("mentions"))
+    """The names of parts, suppliers and customers that the manifests of all orders mention, found in their texts."""
+    part, supplier, customer = (table(spark, d, t) for t in ("part", "supplier", "customer"))
+    line = table(spark, d, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).join(supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    said = line.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("a "), "p_name", F.lit(" from "), F.upper("s_name"))), "; ").alias("goods"))
+    order = table(spark, d, "orders").join(customer, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name")
+    texts = said.join(order, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("id"), F.concat(F.lit("("), "c_name", F.lit(") gets "), "goods", F.lit(".")).alias("text"))
+    lexicon = part.select(F.col("p_name").alias("name")).unionByName(supplier.select(F.col("s_name").alias("name"))).unionByName(customer.select(F.col("c_name").alias("name")))
+    found = M.with_mentions(texts, lexicon, most=1000)
+    return found.select("id", F.size("mentions").cast("long").alias("names"), F.sha2(F.array_join(F.array_sort("mentions"), "|"), 256).alias("names_sha256"))
 
 
 # --- metrics

@@ -31,6 +31,36 @@ def place_disambiguation(spark, d):
     return L.disambiguated(_entries(spark, d))
 
 
+_NESTED = """
+WITH RECURSIVE p AS (SELECT r_regionkey AS id, NULL::BIGINT AS parent, r_name AS name, 'AX' AS country FROM region UNION ALL SELECT 1000 + n_nationkey, n_regionkey, 'C' || (n_nationkey % 7), 'C' || n_nationkey FROM nation
+  UNION ALL SELECT 1000000 + s_suppkey, 1000 + s_nationkey, 'C' || (s_suppkey % 9), 'C' || s_nationkey FROM supplier UNION ALL SELECT 1000000000 + c_custkey, 1000000 + c_custkey % (SELECT count(*) FROM supplier), 'C' || (c_custkey % 9), 'C' || s_nationkey FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
+up AS (SELECT id, parent AS ancestor, 1 AS steps FROM p WHERE parent IS NOT NULL UNION ALL SELECT u.id, p.parent, u.steps + 1 FROM up u JOIN p ON p.id = u.ancestor WHERE p.parent IS NOT NULL)"""
+
+
+def _places(spark, d):
+    """Regions, nations, suppliers and customers as places, each inside one of the level above."""
+    supplier, n = table(spark, d, "supplier"), table(spark, d, "supplier").count()
+    name = lambda c, k: F.concat(F.lit("C"), F.col(c) % k)
+    country = F.concat(F.lit("C"), "s_nationkey")
+    rows = lambda df, id_, parent, key, where: df.select(id_.cast("long").alias("id"), parent.cast("long").alias("parent"), key.alias("key"), where.alias("country"))
+    out = rows(table(spark, d, "region"), F.col("r_regionkey"), F.lit(None), F.col("r_name"), F.lit("AX"))
+    out = out.unionByName(rows(table(spark, d, "nation"), F.col("n_nationkey") + 1000, F.col("n_regionkey"), name("n_nationkey", 7), F.concat(F.lit("C"), "n_nationkey")))
+    out = out.unionByName(rows(supplier, F.col("s_suppkey") + 1_000_000, F.col("s_nationkey") + 1000, name("s_suppkey", 9), country))
+    lives = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("s_suppkey")).join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    return out.unionByName(rows(lives, F.col("c_custkey") + 1_000_000_000, F.col("s_suppkey") + 1_000_000, name("c_custkey", 9), country))
+
+
+@Q.add("place_ancestors", _NESTED + " SELECT id, ancestor, steps FROM up", prelude=None)
+def place_ancestors(spark, d):
+    return L.ancestors(_places(spark, d))
+
+
+@Q.add("place_deepest_in_country", _NESTED + " SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM up JOIN p AS q ON q.id = up.id WHERE up.ancestor = p.id AND q.name = p.name AND q.country = p.country)", prelude=None)
+def place_deepest_in_country(spark, d):
+    places = _places(spark, d)
+    return L.deepest(places, L.ancestors(places)).select("id")
+
+
 @Q.add("capitalised_runs", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\p{Lu}[\\p{L}''-]+(?: \\p{Lu}[\\p{L}''-]+)*')))  AS runs FROM documents")
 def capitalised_runs(spark, d):
     runs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"), F.lit(0)))

@@ -79,6 +79,16 @@ def spatial_join_grid(spark, d):
     return A.counts_by(S.near_any(i.select("id", "lat", "lon"), centres, 700.0), "centre")
 
 
+@Q.add("containment_mixed_radii", f""", c AS (SELECT id AS area, lat AS c_lat, lon AS c_lon, [1.0, 30.0, 400.0, 2500.0, 5000.0][id % 5 + 1]::DOUBLE AS radius FROM v_incidents WHERE lat IS NOT NULL AND id % 5 < 2 OR lat IS NOT NULL AND id < 60)
+SELECT area, count(*) AS n, round(max(km), 3) AS farthest FROM (SELECT area, radius, {KM.format('i.lat', 'i.lon', 'c_lat', 'c_lon')} AS km FROM c, v_incidents i WHERE i.lat IS NOT NULL) WHERE km <= radius GROUP BY 1""")
+def containment_mixed_radii(spark, d):
+    """Incidents in areas of one kilometre to five thousand, around two fifths of all incidents and the first sixty."""
+    i = V.incidents(spark, d).where("lat is not null")
+    radius = F.element_at(F.array(*[F.lit(r) for r in (1.0, 30.0, 400.0, 2500.0, 5000.0)]), (F.col("id") % 5 + 1).cast("int"))
+    areas = i.where((F.col("id") % 5 < 2) | (F.col("id") < 60)).select(F.col("id").alias("area"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), radius.alias("radius"))
+    return S.near_each(i.select("lat", "lon"), areas).groupBy("area").agg(F.count("*").alias("n"), F.round(F.max("km"), 3).alias("farthest"))
+
+
 # --- hotspots
 
 _CONF = "CASE WHEN said = 'h' THEN 90 WHEN said = 'n' THEN 60 WHEN said = 'l' THEN 20 ELSE least(100, greatest(0, try_cast(said AS INT))) END"

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from sentinelle.operators.desk import Desk
 from sentinelle.operators.desk import reports as in_order
@@ -97,25 +97,102 @@ class Counters(StreamingQueryListener):
         """The sums stay."""
 
 
-def correlated(reports: DataFrame, window: int) -> DataFrame:
+#: State in the RocksDB store, which map states and timers need.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_OUT = "id long, incident long, score double, how string"
+
+
+class DeskState(StatefulProcessor):
+    """The desk of one type: an entry for each open incident and each held claim, of which a batch writes what it changed."""
+
+    def __init__(self, window: int, late: int):
+        self.window, self.late = window, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.incidents = handle.getMapState("incidents", "n long", "body binary")
+        self.claims = handle.getMapState("claims", "id long", "body binary")
+        self.clock = handle.getValueState("clock", "count long, newest long")
+
+    def desk(self) -> tuple[Desk, int]:
+        desk = Desk(self.window)
+        desk.count, newest = self.clock.get() if self.clock.exists() else (0, None)
+        for (n,), (body,) in self.incidents.iterator():
+            desk.incidents[n] = pickle.loads(body)
+            desk.opened.append((desk.incidents[n].first.occurred, -n))
+        for (i,), (body,) in self.claims.iterator():
+            desk.claims[i] = pickle.loads(body)
+            desk.held.append((desk.claims[i].occurred, desk.claims[i].received, i))
+        desk.opened.sort()
+        desk.held.sort()
+        return desk, newest
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        desk, newest = self.desk()
+        before = set(desk.incidents), set(desk.claims)
+        found = pd.concat(list(rows)).sort_values(["received", "id"])
+        out, touched = [], set()
+        for r in in_order(found):
+            if newest is not None and r.occurred < newest - 2 * self.late:
+                # What it could have met is forgotten: it is left to the next batch correlation.
+                out.append((r.id, None, None, "late"))
+                continue
+            settled = desk.take(r)
+            out += settled
+            touched |= {incident for _, incident, _, _ in settled}
+            newest = r.received if newest is None else max(newest, r.received)
+        if newest is not None:
+            out += [(i, None, None, "expired") for i, *_ in desk.forget(newest - 2 * self.late)]
+            self.clock.update((desk.count, newest))
+        for n, known in desk.incidents.items():
+            if known.first.id in touched:
+                self.incidents.updateValue((n,), (pickle.dumps(known),))
+        for i in desk.claims.keys() - before[1]:
+            self.claims.updateValue((i,), (pickle.dumps(desk.claims[i]),))
+        for n in before[0] - desk.incidents.keys():
+            self.incidents.removeKey((n,))
+        for i in before[1] - desk.claims.keys():
+            self.claims.removeKey((i,))
+        self.wake(desk)
+        yield self.rows(out)
+
+    def wake(self, desk: Desk) -> None:
+        """A timer for when the oldest claim can no longer be reached, should no report of its type come before."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if desk.held:
+            self.handle.registerTimer((desk.held[0][0] + 2 * self.late + 2 * self.window) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        desk, _ = self.desk()
+        before = set(desk.incidents), set(desk.claims)
+        gone = desk.forget(timerValues.getCurrentWatermarkInMs() * 1000 - 2 * self.late)
+        for n in before[0] - desk.incidents.keys():
+            self.incidents.removeKey((n,))
+        for i in before[1] - desk.claims.keys():
+            self.claims.removeKey((i,))
+        self.wake(desk)
+        yield self.rows([(i, None, None, "expired") for i, *_ in gone])
+
+    @staticmethod
+    def rows(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["id", "incident", "score", "how"]).astype({"id": "int64", "incident": "Int64", "score": float, "how": object})
+
+    def close(self) -> None:
+        """Nothing is held beside the state."""
+
+
+def correlated(reports: DataFrame, window: int, late: int = LATE) -> DataFrame:
     """Reports settled into incidents as they arrive: (id, incident, score, how), held claims once they are released.
 
-    The state of a type is its desk: open incidents and held claims. Reports of a micro-batch are taken in order of
-    arrival; a source that delivers files in that order gives what `correlate.correlated` gives. A desk forgets what
-    occurred more than twice `LATE` before the newest arrival.
+    Reports of a micro-batch are taken in order of arrival; a source that delivers files in that order gives what
+    `correlate.correlated` gives. What occurred more than twice `late` before the newest arrival is forgotten: claims
+    among it come out as expired, also without another report once the watermark has passed, and reports from before
+    it as late, to be settled by the next batch correlation.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        desk = pickle.loads(state.get[0]) if state.exists else Desk(window)
-        found = pd.concat(list(frames)).sort_values(["received", "id"])
-        out = []
-        for r in in_order(found):
-            out += desk.take(r)
-        desk.forget(int(found["received"].max()) - 2 * LATE)
-        state.update((pickle.dumps(desk),))
-        yield pd.DataFrame(out, columns=["id", "incident", "score", "how"]).astype({"incident": "Int64", "score": float})
-
-    return reports.groupBy("event_type").applyInPandasWithState(step, "id long, incident long, score double, how string", "desk binary", "append", "NoTimeout")
+    reports.sparkSession.conf.set(*STORE)
+    timed = reports.withColumn("_at", F.timestamp_micros("received")).withWatermark("_at", "0 seconds")
+    return timed.groupBy("event_type").transformWithStateInPandas(DeskState(window, late), _OUT, "Append", "EventTime")
 
 
 def land(stream: DataFrame, folder: str, checkpoint: str, failed: str | None = None, reason: str = "reject_reason"):

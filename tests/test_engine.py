@@ -1,6 +1,8 @@
 """Behaviours of the operators on small cases; results on the tables are checked against SQL in test_oracle.py."""
 
 import math
+import random
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -108,10 +110,36 @@ def test_pair_score_edges(spark):
     assert r.words == pytest.approx(0.54)
 
 
-def test_mentions_leftmost_longest_whole():
-    names = ("kyiv", "new york", "york", "东京", "sana'a (old city)")
-    assert M.mentions_in("York, New York and Kyivan Kyiv; 在东京都 Sana'a (Old City)!", names) == ["york", "new york", "kyiv", "东京", "sana'a (old city)"]
-    assert M.mentions_in(None, names) == []
+def mentions_in(text, names, most=12):
+    """Every name at every place, then the leftmost and longest of those that overlap."""
+    fold = lambda t: unicodedata.normalize("NFKC", t).lower()
+    gapless = lambda c: any(lo <= ord(c) <= hi for lo, hi in ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF)))
+    word = lambda c: c.isalnum() or c == "_"
+    edge = lambda a, b: gapless(a) or gapless(b) or not (word(a) and word(b))
+    low, spans = fold(text or ""), []
+    for name in {fold(n) for n in names if n}:
+        for at in range(len(low) - len(name) + 1):
+            end = at + len(name)
+            if low.startswith(name, at) and (at == 0 or edge(low[at - 1], low[at])) and (end == len(low) or edge(low[end - 1], low[end])):
+                spans.append((at, -len(name), name))
+    out, after = [], 0
+    for at, size, name in sorted(spans):
+        if at >= after:
+            after = at - size
+            out += [name] * (name not in out)
+    return out[:most]
+
+
+def test_mentions_leftmost_longest_whole(spark):
+    names = ["York", "New York", "Kyiv", "东京", "京都", "Sana'a (Old City)", "san", "San José", "a b c d e", "b c", "ﬁne", "", None, "กรุง", "x_1"]
+    texts = ["York, New York and Kyivan Kyiv; 在东京都 Sana'a (Old City)!", None, "", "SAN JOSÉ san", "a b c d, a b c d e b c", "fine ﬁne refine", "กรุงเทพ x_1 x_12 ax_1", "new  york new york york", "京都东京京都", "São Kyiv\nKyiv"]
+    r = random.Random(1)
+    texts += ["".join(r.choice([" ", "a", "b", " c ", "york", "New ", "東", "京", "都", ".", "san"]) for _ in range(40)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: x.mentions for x in M.with_mentions(docs, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {i: mentions_in(t, names) for i, t in enumerate(texts)}
+    assert {len(x.mentions) for x in M.with_mentions(docs, spark.createDataFrame([], "name string")).collect()} == {0}
+
 
 
 def test_capped_windows():
@@ -151,3 +179,22 @@ def test_bundles_are_strict(spark, tmp_path):
 def test_snapshot(spark, tmp_path):
     for path in snapshot.export(spark, SF, str(tmp_path), registry.queries(), ("count_by_severity", "snapshot_meta")):
         assert spark.read.parquet(path).count() > 0
+
+
+def test_areas_of_any_size_miss_no_point(spark):
+    r = random.Random(3)
+    spot = lambda: (r.choice([r.uniform(-90, 90), r.uniform(84, 90), -90.0, 90.0, 0.0, 45.0]), r.choice([r.uniform(-180, 180), 180.0, -180.0, 179.99]))
+    points = [(i, *spot()) for i in range(300)] + [(900, None, 1.0)]
+    areas = [(i, *spot(), r.choice([0.0, 0.5, 5.0, 80.0, 700.0, 3000.0, 9000.0, 20100.0])) for i in range(150)] + [(900, 1.0, 1.0, None)]
+    areas += [(200 + i, points[i][1], points[i][2], 0.0) for i in range(5)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    got = S.near_each(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(areas, "area long, c_lat double, c_lon double, radius double"))
+    pairs = [(x.id, x.area) for x in got.collect()]
+    want = {(i, k) for i, a, b in points[:300] for k, c, d, radius in areas if radius is not None and km(a, b, c, d) <= radius + 1e-9}
+    sure = {(i, k) for i, a, b in points[:300] for k, c, d, radius in areas if radius is not None and km(a, b, c, d) <= radius - 1e-6}
+    assert len(pairs) == len(set(pairs)) and sure <= set(pairs) <= want
+    assert S.near_each(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame([], "area long, c_lat double, c_lon double, radius double")).count() == 0

@@ -89,3 +89,17 @@ def test_fingerprints(spark):
     r = spark.range(1).select(f(" A ", None, "Hello,  World!").alias("a"), f("a", " ", "hello world").alias("b"), f("a", "ID1", "x").alias("c"), f("A", " id1 ", "y").alias("d")).first()
     assert r.a == r.b
     assert r.c == r.d != r.a
+
+
+def test_places_inside_places_by_codes(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2), (5, None), (8, 9), (9, 8)], "id long, parent long")
+    up = L.ancestors(tree)
+    assert sorted((r.id, r.ancestor, r.steps) for r in up.where("id < 8").collect()) == [(2, 1, 1), (3, 1, 2), (3, 2, 1), (4, 1, 2), (4, 2, 1)]
+    # A loop ends too.
+    assert {r.ancestor for r in up.where("id = 8").collect()} == {8, 9}
+    rows = [("york", 1, "a"), ("york", 3, "a"), ("york", 5, "b"), ("kent", 2, "a"), ("kent", 1, "b")]
+    entries = spark.createDataFrame(rows, "key string, id long, country string")
+    assert sorted((r.key, r.id) for r in L.deepest(entries, up).collect()) == [("kent", 1), ("kent", 2), ("york", 3), ("york", 5)]
+    far = spark.createDataFrame([("york", 1, 10.0, 10.0, 9000), ("york", 3, 14.0, 10.0, 8000)], "key string, id long, lat double, lon double, population long")
+    assert [(r.chosen, r.places) for r in L.disambiguated(far).collect()] == [(None, 2)]
+    assert [(r.chosen, r.places) for r in L.disambiguated(far, up).collect()] == [(1, 1)]
