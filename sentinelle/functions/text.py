@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 # Category keywords in order of precedence.
 TYPE_KEYWORDS = {
@@ -123,7 +123,9 @@ def plain_key(name) -> Column:
 
 
 def truncated(text, limit: int) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
+    """At most `limit` characters that a reader sees, the last of a cut text an ellipsis; no character is cut in two."""
+    long = (F.length(text) > limit) & (elements(text) > limit)
+    return F.when(long, F.concat(F.rtrim(F.regexp_extract(text, rf"(?s)^\X{{0,{limit - 1}}}", 0)), F.lit("…"))).otherwise(text)
 
 
 def sanitised(text) -> Column:
@@ -188,14 +190,7 @@ def composed(text: Column) -> Column:
 
 def elements(text: Column) -> Column:
     """How many characters a reader sees: a letter with its marks, or a joined emoji, is one."""
-
-    @F.pandas_udf(IntegerType())
-    def count(texts: pd.Series) -> pd.Series:
-        import regex
-
-        return texts.map(lambda t: None if t is None else len(regex.findall(r"\X", t))).astype("Int32")
-
-    return count(text)
+    return F.regexp_count(text, F.lit(r"\X"))
 
 
 def folded(text: Column) -> Column:

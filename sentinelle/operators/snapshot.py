@@ -23,7 +23,8 @@ def export(spark: SparkSession, sf_dir: str, folder: str, queries: dict[str, Cal
 
 
 def export_parts(observations: DataFrame, incidents: DataFrame, conflicts: DataFrame, now: int, folder: str) -> list[str]:
-    """The parts of a snapshot that are read one at a time: series and conflict activity by window, evidence by incident.
+    """The parts of a snapshot that are read one at a time: incidents and observations by time, series and conflict activity
+    by window, evidence by incident.
 
     Windows are folders; evidence lies in files sorted by incident, so that one incident's rows are found by the files'
     statistics and no incident needs a folder of its own.
@@ -31,9 +32,11 @@ def export_parts(observations: DataFrame, incidents: DataFrame, conflicts: DataF
     for token, hours, bucket in scores.WINDOWS:
         A.series(incidents, "occurred", now, hours, bucket).write.mode("overwrite").parquet(f"{folder}/analytics/window={token}")
         C.tempo(conflicts, "received", now, hours * HOUR).write.mode("overwrite").parquet(f"{folder}/conflicts/window={token}")
+    for name, rows in (("incidents", incidents), ("observations", observations)):
+        rows.repartitionByRange("occurred").sortWithinPartitions("occurred", "id").write.mode("overwrite").parquet(f"{folder}/{name}")
     evidence = observations.where(F.col("incident").isNotNull()).repartitionByRange("incident").sortWithinPartitions("incident", "received")
     evidence.write.mode("overwrite").parquet(f"{folder}/evidence")
-    return [f"{folder}/{part}" for part in ("analytics", "conflicts", "evidence")]
+    return [f"{folder}/{part}" for part in ("incidents", "observations", "analytics", "conflicts", "evidence")]
 
 
 def pruned(rows: DataFrame, dead: DataFrame, key: str) -> DataFrame:

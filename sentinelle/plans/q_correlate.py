@@ -59,11 +59,15 @@ def correlation_candidates_interval(spark, d):
 @Q.add("held_claim_candidates", f""", h AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY b.received, b.id) AS r FROM v_observations a JOIN v_observations b ON a.event_type = b.event_type AND abs(a.occurred - b.occurred) <= {DAY}
   WHERE b.status = 'HeldForCorroboration') SELECT a, b FROM h WHERE r <= 50""")
 def held_claim_candidates(spark, d):
+    """For every report the 50 oldest held claims of its type within a day: these rows are made and no others."""
     o = V.observations(spark, d)
-    a = o.select("event_type", F.col("id").alias("a"), F.col("occurred").alias("at_a"))
-    b = o.where("status = 'HeldForCorroboration'").select("event_type", F.col("id").alias("b"), F.col("occurred").alias("at_b"), "received")
-    w = Window.partitionBy("a").orderBy("received", "b")
-    return R.pairs_in_time(a, b, ["event_type"], "at_a", "at_b", DAY).withColumn("r", F.row_number().over(w)).where("r <= 50").select("a", "b")
+    held, none = o.where("status = 'HeldForCorroboration'"), F.lit(None).cast("long")
+    claims = held.select("event_type", F.col("received").alias("o1"), F.col("id").alias("o2"), F.lit(0).cast("long").alias("o3"), "occurred", F.col("received").alias("born1"), F.col("id").alias("born2"), none.alias("gone1"), none.alias("gone2"))
+    # No claim of the window was received later than the slowest of all.
+    slowest = held.agg(F.max(F.col("received") - F.col("occurred"))).first()[0] or 0
+    lo, hi = F.col("occurred") - DAY, F.col("occurred") + DAY
+    asks = o.select("event_type", F.col("id").alias("ask"), F.lit(R.SWEEP).alias("most"), lo.alias("start"), (hi + slowest).alias("stop"), lo.alias("lo"), hi.alias("hi"), F.lit(1 << 62).alias("now1"), F.lit(0).cast("long").alias("now2"))
+    return R.nth(claims, asks, DAY // 16, each=True).select(F.col("ask").alias("a"), F.col("o2").alias("b"))
 
 
 @Q.add("correlation_pair_score", _PAIRS + " SELECT a, b, score FROM f WHERE score >= 0.45")

@@ -51,7 +51,7 @@ def item_reason(i: Column, now: Column, excerpt: int = 1000, places: int = 8) ->
         F.when(~F.coalesce(X.sha256_ok(i.contentHash), F.lit(False)), "hash"),
         F.when(i.excerptTranslation.isNotNull(), "translation"),
         F.when(empty(i.excerpt), "excerpt"),
-        F.when(F.length(i.excerpt) > excerpt, "excerpt too long"),
+        F.when((F.length(i.excerpt) > excerpt) & (X.elements(i.excerpt) > excerpt), "excerpt too long"),
         F.when(F.size(i.placeNames) > places, "places"),
     )
 

@@ -188,10 +188,11 @@ def correlated(reports: DataFrame, window: int, late: int = LATE) -> DataFrame:
     Reports of a micro-batch are taken in order of arrival; a source that delivers files in that order gives what
     `correlate.correlated` gives. What occurred more than twice `late` before the newest arrival is forgotten: claims
     among it come out as expired, also without another report once the watermark has passed, and reports from before
-    it as late, to be settled by the next batch correlation.
+    it as late, to be settled by the next batch correlation. A report that was received more than `late` before the newest
+    one of all types is behind the watermark, where Spark drops it.
     """
     reports.sparkSession.conf.set(*STORE)
-    timed = reports.withColumn("_at", F.timestamp_micros("received")).withWatermark("_at", "0 seconds")
+    timed = reports.withColumn("_at", F.timestamp_micros("received")).withWatermark("_at", f"{late // 1_000_000} seconds")
     return timed.groupBy("event_type").transformWithStateInPandas(DeskState(window, late), _OUT, "Append", "EventTime")
 
 

@@ -76,4 +76,6 @@ def test_snapshot_parts(spark, tmp_path):
     o = V.observations(spark, SF)
     snapshot.export_parts(o, V.incidents(spark, SF), V.conflict_reports(spark, SF), V.NOW, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "analytics")).groupBy("window").count().count() == 4
+    assert spark.read.parquet(str(tmp_path / "observations")).count() == o.count()
+    assert spark.read.parquet(str(tmp_path / "incidents")).count() == V.incidents(spark, SF).count()
     assert spark.read.parquet(str(tmp_path / "evidence")).count() == o.where("incident is not null").count()

@@ -134,3 +134,10 @@ def test_entity_keys_in_order_of_mention(spark):
     frame = spark.createDataFrame(rows, "id int, incident string, received int, actors array<string>")
     got = {r.incident: r.actors for r in R.entity_keys(frame, "incident", ["received", "id"], 2).collect()}
     assert got == {"I": ["a", "b"]}
+
+
+def test_texts_are_cut_between_characters(spark):
+    family = "👨‍👩‍👧"
+    rows = [(family * 4 + "xy",), ("é" * 6,), ("short",), (None,), ("a" * 7,)]
+    got = [r.t for r in spark.createDataFrame(rows, "t string").select(X.truncated(F.col("t"), 5).alias("t")).collect()]
+    assert got == [family * 4 + "…", "é" * 4 + "…", "short", None, "aaaa…"]
