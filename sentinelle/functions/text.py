@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,6 +139,24 @@ def stripped_html(html) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]{0,2000}>", " "), r"\s+", " "))
 
 
+def unescaped(text) -> Column:
+    """Character references decoded once: numbers, and the names of HTML 4 with their semicolon. A number that is no
+    character stays as it stands."""
+    text = F.col(text) if isinstance(text, str) else text
+    names = F.from_json(F.lit(json.dumps({n: chr(c) for n, c in name2codepoint.items() if n != "amp"} | {"apos": "'"})), "map<string,string>")
+    refs = lambda pattern: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    digits = lambda r: F.regexp_extract(r, "([0-9A-Fa-f]+);", 1)
+    code = lambda r: F.when(F.substring(r, 3, 1).isin("x", "X"), F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("long")
+    sound = lambda c: c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF) & (c != 38)
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    put = lambda acc, r: F.replace(acc, r, F.when(sound(code(r)), char(F.when(sound(code(r)), code(r)).otherwise(F.lit(32)))).otherwise(r))
+    named = lambda acc, r: F.replace(acc, r, F.coalesce(F.element_at(names, F.substring(r, F.lit(2), F.length(r) - 2)), r))
+    # Ampersands come last, so that what one of them begins is not decoded again.
+    numbered = F.aggregate(refs("&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), text, put)
+    spelled = F.aggregate(refs("&[A-Za-z][A-Za-z0-9]*;"), numbered, named)
+    return F.regexp_replace(spelled, "&amp;|&#0*38;|&#[xX]0*26;", "&")
+
+
 def same_actor(a, b) -> Column:
     """Equal tokens, or one that begins the other with four characters or more."""
     short = F.least(F.length(a), F.length(b))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentinelle.plans import q_analytics, q_conflicts, q_correlate, q_more, q_spatial, q_text
+from sentinelle.plans import q_analytics, q_conflicts, q_correlate, q_more, q_sources, q_spatial, q_text
 
-MODULES = (q_analytics, q_spatial, q_conflicts, q_text, q_correlate, q_more)
+MODULES = (q_analytics, q_spatial, q_conflicts, q_text, q_correlate, q_more, q_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,12 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sentinelle.functions import scores
 from sentinelle.functions import text as X
 
-_S, _L = T.StringType(), T.LongType()
 ITEM = "struct<kind:string,url:string,publisher:string,platform:string,channel:string,title:string,publishedAt:timestamp,postedAt:timestamp,retrievedAt:timestamp,contentHash:string,language:string,excerpt:string,excerptTranslation:string,placeNames:array<string>,relatedTo:array<string>>"
 BUNDLE = f"schemaVersion int, bundleId string, collectedAt timestamp, brief struct<id:string,revision:int,windowFrom:timestamp,windowTo:timestamp>, collector struct<role:string,runId:string>, items array<{ITEM}>, coverage struct<sources:array<struct<channel:string,outcome:string,reason:string,read:int,matched:int,collected:int>>>"
 BUNDLE_KEYS = ("schemaVersion", "bundleId", "collectedAt", "brief", "collector", "items", "coverage")
@@ -84,73 +81,6 @@ def firms(spark: SparkSession, path: str) -> DataFrame:
     return out.where("lat between -90 and 90 and lon between -180 and 180 and at is not null")
 
 
-CODED = "struct<event_id_cnty:string,data_id:string,event_date:string,event_type:string,sub_event_type:string,actor1:string,country:string,admin1:string,location:string,latitude:string,longitude:string,geo_precision:string,source:string,notes:string,fatalities:string>"
-
-
-def coded_type(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("protest|riot"), "Protest")
-        .when(low.rlike("explosion|remote violence|battle"), "Conflict")
-        .when(low.contains("civilian"), "Terrorism")
-        .when(low.contains("strategic development"), "MilitaryMovement")
-        .otherwise("Conflict")
-    )
-
-
-def coded_events(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
-    """Coded events of the first provider's JSON pages; rows without an id or a place go."""
-    page = spark.read.text(path, wholetext=True).select(F.from_json("value", f"data array<{CODED}>").alias("p"))
-    rows = page.select(F.explode("p.data").alias("e"), (F.size("p.data") >= limit).alias("truncated"))
-    e = F.col("e")
-    deaths = F.coalesce(e.fatalities.try_cast("int"), F.lit(0))
-    severity = F.when((deaths == 0) & F.lower(e.event_type).contains("battle"), "Medium").otherwise(scores.severity_from_deaths(deaths))
-    sub = F.lower(e.sub_event_type)
-    signal = (
-        F.when(sub.rlike("regains territory|overtakes territory|transfer of territory"), "TerritoryTransferred")
-        .when(sub.contains("headquarters or base established"), "PresenceEstablished")
-        .otherwise("None")
-    )
-    out = rows.select(
-        F.coalesce(e.event_id_cnty, e.data_id).alias("identifier"),
-        coded_type(e.event_type).alias("event_type"),
-        severity.alias("severity"),
-        e.latitude.try_cast("double").alias("lat"),
-        e.longitude.try_cast("double").alias("lon"),
-        F.when(e.geo_precision == "1", "Settlement").when(e.geo_precision.isin("2", "3"), "Region").alias("precision"),
-        e.location.alias("place"),
-        e.country.alias("country"),
-        F.try_to_timestamp(e.event_date, F.lit("yyyy-MM-dd")).alias("occurred"),
-        F.when(F.trim(F.coalesce(e.actor1, F.lit(""))) != "", signal).otherwise("None").alias("control_signal"),
-        e.actor1.alias("actor"),
-        "truncated",
-    )
-    return out.where("identifier is not null and lat is not null and lon is not null")
-
-
-GED = "struct<id:string,type_of_violence:string,conflict_name:string,conflict_new_id:string,side_a:string,side_b:string,where_prec:string,where_coordinates:string,adm_1:string,adm_2:string,latitude:string,longitude:string,country:string,date_start:string,best:string>"
-
-
-def ged_events(spark: SparkSession, path: str) -> DataFrame:
-    """Coded events of the second provider's JSON pages."""
-    page = spark.read.text(path, wholetext=True).select(F.from_json("value", f"NextPageUrl string, Result array<{GED}>").alias("p"))
-    e = F.col("e")
-    rows = page.select(F.explode("p.Result").alias("e"), (F.coalesce(F.col("p.NextPageUrl"), F.lit("")) != "").alias("more"))
-    filled = lambda c: F.when(F.trim(c) != "", c)
-    return rows.select(
-        e.id.alias("identifier"),
-        F.when(e.type_of_violence == "3", "Terrorism").otherwise("Conflict").alias("event_type"),
-        scores.severity_from_deaths(F.coalesce(e.best.try_cast("int"), F.lit(0))).alias("severity"),
-        F.coalesce(filled(e.where_coordinates), filled(e.adm_2), filled(e.adm_1), e.country).alias("place"),
-        F.when(e.where_prec == "1", "Exact").when(e.where_prec == "2", "Settlement").when(e.where_prec.isin("3", "4", "5", "7"), "Region").when(e.where_prec == "6", "Country").alias("precision"),
-        e.latitude.try_cast("double").alias("lat"),
-        e.longitude.try_cast("double").alias("lon"),
-        e.conflict_new_id.alias("conflict_key"),
-        F.try_to_timestamp(F.substring(e.date_start, 1, 10), F.lit("yyyy-MM-dd")).alias("occurred"),
-        "more",
-    ).where("identifier is not null and lat is not null and lon is not null")
-
-
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item|entry") -> DataFrame:
     """Items of RSS and RDF feeds and entries of Atom ones, in one pass and whatever prefix their names carry; files with
     a DOCTYPE are left out as a whole. Titles have 400 characters at most, summaries 4,000."""
@@ -191,45 +121,3 @@ def envelopes(df: DataFrame, source: str, provider: str) -> DataFrame:
     if kind not in ("Satellite", "ExternalEvent"):
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("lat", "lon") if c in out.columns})
     return out
-
-
-def capped_windows(since: int, until: int, least: int, truncated) -> list[tuple[int, int]]:
-    """Windows to fetch so that no page is cut short: a window whose page is, is halved, down to `least`."""
-    todo, done = [(since, until)], []
-    while todo:
-        a, b = todo.pop()
-        if truncated(a, b) and (b - a) // 2 >= least:
-            mid = (a + b) // 2
-            todo += [(mid, b), (a, mid)]
-        else:
-            done.append((a, b))
-    return done
-
-
-def backfill_frontier(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Checkpoints by source: a frontier only ever moves back."""
-    return old.unionByName(new).groupBy("source").agg(F.min("frontier").alias("frontier"))
-
-
-def backfilled(frontier: int, horizon: int, step: int, least: int, budget: int, truncated) -> tuple[list[tuple[int, int]], int]:
-    """Windows to fetch on a walk back from `frontier` to `horizon`, and the new frontier.
-
-    The walk goes in windows of `step`, each halved while its page is cut short. At most `budget` pages are asked for;
-    the frontier moves past a window only once all of it is read.
-    """
-    found: list[tuple[int, int]] = []
-    asked = 0
-
-    def counted(a, b):
-        nonlocal asked
-        asked += 1
-        return truncated(a, b)
-
-    while frontier > horizon and asked < budget:
-        since = max(horizon, frontier - step)
-        windows = capped_windows(since, frontier, least, counted)
-        if asked > budget:
-            break
-        found += windows
-        frontier = since
-    return found, frontier

@@ -16,7 +16,7 @@ from sentinelle.operators import mentions as M
 from sentinelle.operators import snapshot
 from sentinelle.operators import spatial as S
 from sentinelle.plans import registry
-from sentinelle.sources import readers
+from sentinelle.sources import coded, history, readers
 from sentinelle.sources.views import HOUR, NOW
 
 SF = "/root/testdata/sf0.001"
@@ -144,7 +144,7 @@ def test_mentions_leftmost_longest_whole(spark):
 
 def test_capped_windows():
     full = {100, 50, 25}
-    got = readers.capped_windows(0, 100, 10, lambda a, b: b - a in full)
+    got = history.capped_windows(0, 100, 10, lambda a, b: b - a in full)
     assert got == [(0, 12), (12, 25), (25, 37), (37, 50), (50, 62), (62, 75), (75, 87), (87, 100)]
 
 
@@ -154,10 +154,10 @@ def test_readers(spark, tmp_path):
     assert [(r.lat, r.confidence, r.power, r.night) for r in got] == [(1.0, 100, None, False), (10.5, 60, 5.5, True)]
     assert got[1].at.hour == 1
     (tmp_path / "a.json").write_text('{"data":[{"event_id_cnty":"E1","event_date":"2024-01-02","event_type":"Battles","sub_event_type":"Government regains territory","actor1":"A","latitude":"1.5","longitude":2,"geo_precision":1,"fatalities":0},{"event_date":"x"}]}')
-    r = readers.coded_events(spark, str(tmp_path / "a.json")).first()
+    r = coded.coded_events(spark, str(tmp_path / "a.json")).first()
     assert (r.identifier, r.event_type, r.severity, r.precision, r.control_signal, r.lat) == ("E1", "Conflict", "Medium", "Settlement", "TerritoryTransferred", 1.5)
     (tmp_path / "u.json").write_text('{"NextPageUrl":"","Result":[{"id":7,"type_of_violence":3,"where_prec":1,"where_coordinates":" ","adm_1":"Up","latitude":1,"longitude":2,"date_start":"2024-01-02T00:00","best":30}]}')
-    r = readers.ged_events(spark, str(tmp_path / "u.json")).first()
+    r = coded.ged_events(spark, str(tmp_path / "u.json")).first()
     assert (r.event_type, r.severity, r.place, r.precision, r.more) == ("Terrorism", "Critical", "Up", "Exact", False)
     (tmp_path / "r.xml").write_text("<rss><channel><item><title>A &lt;b&gt;x&lt;/b&gt;</title><guid>g</guid><pubDate>Tue, 2 Jan 2024 03:04:05 +0000</pubDate></item></channel></rss>")
     r = readers.feed_items(spark, str(tmp_path / "r.xml")).first()

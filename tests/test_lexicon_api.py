@@ -6,7 +6,6 @@ from sentinelle.operators import conflicts as C
 from sentinelle.operators import lexicon as L
 from sentinelle.operators import pipeline as P
 from sentinelle.plans import api
-from sentinelle.sources import posts
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, NOW
 
@@ -32,15 +31,6 @@ def test_entities(spark):
     assert row.e == ["Near Port Sudan", "Sudan Army", "Omar's"]
 
 
-def test_posts(spark):
-    page = b'<div data-post="ch/1"><div class="tgme_widget_message_text x">Hi <b>you</b> &amp; me</div><time datetime="2024-01-01T00:00:00+00:00"></div>'
-    sky = b'{"feed":[{"post":{"uri":"at://1","record":{"text":"t","createdAt":"2024"}}}]}'
-    toot = b'[{"url":"u","content":"<p>a</p>","created_at":"2024"}]'
-    rows = [("telegram", "ch", page), ("bluesky", "b", sky), ("mastodon", "m", toot), ("mastodon", "m", b"{torn")]
-    got = sorted((r.platform, r.url, r.said) for r in posts.posts(spark.createDataFrame(rows, "platform string, channel string, body binary")).collect())
-    assert got == [("bluesky", "at://1", "t"), ("mastodon", "u", "a"), ("telegram", "https://t.me/ch/1", "Hi you & me")]
-
-
 def claims(spark, rows):
     return spark.createDataFrame([("P", NOW - d * DAY, s, c, a, src) for d, s, c, a, src in rows], "place string, at long, signal string, coded boolean, actor string, source string")
 

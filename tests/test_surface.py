@@ -9,7 +9,7 @@ from sentinelle.operators import correlate as R
 from sentinelle.operators import metrics as M
 from sentinelle.operators import pipeline as P
 from sentinelle.plans import api
-from sentinelle.sources import readers
+from sentinelle.sources import history, readers
 from sentinelle.sources import views as V
 from sentinelle.sources.views import HOUR, NOW
 
@@ -92,11 +92,11 @@ def test_providers(spark):
 
 def test_backfill_moves_only_past_whole_windows():
     whole = lambda a, b: False
-    assert readers.backfilled(100, 0, 40, 5, 10, whole) == ([(60, 100), (20, 60), (0, 20)], 0)
-    assert readers.backfilled(100, 0, 40, 5, 2, whole) == ([(60, 100), (20, 60)], 20)
-    windows, frontier = readers.backfilled(100, 0, 40, 5, 4, lambda a, b: b - a > 10)
+    assert history.backfilled(100, 0, 40, 5, 10, whole) == ([(60, 100), (20, 60), (0, 20)], 0)
+    assert history.backfilled(100, 0, 40, 5, 2, whole) == ([(60, 100), (20, 60)], 20)
+    windows, frontier = history.backfilled(100, 0, 40, 5, 4, lambda a, b: b - a > 10)
     assert (windows, frontier) == ([], 100)
-    windows, frontier = readers.backfilled(100, 60, 40, 5, 9, lambda a, b: b - a > 10)
+    windows, frontier = history.backfilled(100, 60, 40, 5, 9, lambda a, b: b - a > 10)
     assert (windows, frontier) == ([(60, 70), (70, 80), (80, 90), (90, 100)], 60)
 
 
