@@ -80,6 +80,17 @@ def outside(places: DataFrame, extents: DataFrame, slack: float = 0.1) -> DataFr
     return j.where(~F.coalesce(within, F.lit(False))).select(*places.columns)
 
 
+def faults(places: DataFrame, extents: DataFrame, anchors: DataFrame, separators: tuple[str, ...] = ("\t", "|")) -> DataFrame:
+    """(fault, key, country) of what a lexicon must not have: places outside their country, names that hold a separator of
+    the file they are written to, and anchors (key, country) that it lacks."""
+    told = lambda df, fault: df.select(F.lit(fault).alias("fault"), "key", "country")
+    split = F.lit(False)
+    for s in separators:
+        split = split | F.contains("key", F.lit(s))
+    missing = anchors.select("key", "country").distinct().join(places.select("key", "country").distinct(), ["key", "country"], "left_anti")
+    return told(outside(places, extents), "outside").union(told(places.where(split), "separator")).union(told(missing, "missing"))
+
+
 def capitalised(text, most: int = 5) -> Column:
     """Runs of capitalised words, without those inside longer ones."""
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"), F.lit(0)))

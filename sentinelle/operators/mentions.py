@@ -16,6 +16,10 @@ from sentinelle.functions import text as X
 
 #: Scripts that write without gaps between words have no edges to check: Thai, Hiragana to Katakana, Han, Hangul.
 _GAPLESS = r"\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF"
+#: Characters that a name in prose must have more of, unless its place has as many inhabitants.
+SHORT, BIG = 4, 20_000
+#: Characters of a text that are looked at in one piece.
+PIECE = 128
 _UNIT = rf"(?s)[\p{{L}}\p{{N}}_&&[^{_GAPLESS}]]+|."
 
 
@@ -69,3 +73,38 @@ def with_mentions(docs: DataFrame, lexicon: DataFrame, text: str = "text", key:
     found = hits(docs, named(lexicon), key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("back"), "name"))).alias("_hits"))
     found = found.select(key, F.slice(chosen(F.col("_hits")), 1, most).alias("mentions"))
     return docs.join(found, key, "left").withColumn("mentions", F.coalesce("mentions", F.array().cast("array<string>")))
+
+
+def searchable(entries: DataFrame) -> DataFrame:
+    """Names worth looking for in prose (name): those above SHORT characters, and the preferred ones of big places.
+    `entries` has name, aliases and population."""
+    each = F.array(F.struct(F.col("name"), F.lit(True).alias("preferred")))
+    each = F.concat(each, F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("name"), F.lit(False).alias("preferred"))))
+    rows = entries.select(F.coalesce("population", F.lit(0)).alias("population"), F.explode(each).alias("e")).select("population", "e.*")
+    return rows.where((F.length("name") > SHORT) | (F.col("preferred") & (F.col("population") >= BIG) & (F.col("name") != ""))).select("name").distinct()
+
+
+def contained(docs: DataFrame, names: DataFrame, text: str = "text", key: str = "id", most: int = 8, out: str = "names") -> DataFrame:
+    """`docs` with the names that stand in each text, whatever surrounds them: longest first, then by name, `most` at most.
+
+    A name meets a text by its first 1, 2, 4, ... characters, as many as it has: every run of as many characters of a text
+    is hashed and joined, and where it fits, the rest of the name is compared. Case does not count. Null and empty texts
+    have no names; `key` tells rows apart; of names that differ in case alone each one is reported.
+    """
+    size = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
+    listed = names.where(F.col("name") != "").select("name", F.lower("name").alias("_low")).distinct()
+    listed = listed.withColumn("_p", size(F.length("_low"))).withColumn("_code", F.xxhash64(F.expr("left(_low, _p)")))
+    sizes = sorted(r[0] for r in listed.select("_p").distinct().collect())
+    widest = listed.agg(F.coalesce(F.max(F.length("_low")), F.lit(1))).first()[0]
+    # Long texts are cut into pieces that reach into the next by the longest name: a place in a piece is found at once.
+    piece = lambda i: F.substring("_text", i, F.lit(PIECE + widest))
+    low = docs.where(F.col(text) != "").select(key, F.lower(text).alias("_text"))
+    low = low.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("_text"), F.lit(PIECE)), piece)).alias("_text"))
+    at = low.select(key, "_text", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("_text")))).alias("_at"))
+    at = at.select(key, F.substring("_text", F.col("_at"), F.lit(widest)).alias("_here"))
+    at = at.select(key, "_here", F.explode(F.array(*[F.lit(p) for p in sizes]).cast("array<int>")).alias("_p")).withColumn("_start", F.expr("left(_here, _p)"))
+    at = at.where(F.length("_start") == F.col("_p")).select(key, "_here", "_p", F.xxhash64("_start").alias("_code"))
+    found = at.join(listed, ["_p", "_code"]).where(F.startswith("_here", "_low")).select(key, "name").distinct()
+    top = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("back"), "name"))).alias("_names"))
+    top = top.select(key, F.transform(F.slice("_names", 1, most), lambda x: x["name"]).alias(out))
+    return docs.join(top, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sentinelle.functions import scores
 from sentinelle.functions import text as X
 from sentinelle.operators import lexicon as L
+from sentinelle.operators import mentions as M
 from sentinelle.operators import pipeline as P
 from sentinelle.operators import similar as S
 from sentinelle.operators import skew
@@ -305,6 +306,15 @@ def lexicon_quality_checks(spark, d):
     return g.agg(F.count("*").alias("places"), F.count_distinct("key").alias("names")).crossJoin(F.broadcast(beyond)).crossJoin(F.broadcast(missing))
 
 
+@Q.add("lexicon_faults", _LEX + ", e AS (SELECT country, min(g_lat) AS s, max(g_lat) AS n, min(g_lon) AS w, max(g_lon) AS e FROM g WHERE g_precision = 'Settlement' GROUP BY 1), a AS (SELECT 'p' || (n_nationkey % 9) AS key, n_nationkey AS country FROM nation) SELECT 'outside' AS fault, x.key, x.country FROM g AS x LEFT JOIN e USING (country) WHERE NOT coalesce(x.g_lat BETWEEN s - 0.1 AND n + 0.1 AND x.g_lon BETWEEN w - 0.1 AND e + 0.1, false) UNION ALL SELECT 'separator', key, country FROM g WHERE contains(key, '7') UNION ALL SELECT 'missing', key, country FROM a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = a.key AND g.country = a.country)")
+def lexicon_faults(spark, d):
+    g = _lexicon(spark, d)
+    extents = g.where("g_precision = 'Settlement'").groupBy("country").agg(F.min("g_lat").alias("south"), F.max("g_lat").alias("north"), F.min("g_lon").alias("west"), F.max("g_lon").alias("east"))
+    anchors = table(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey") % 9).alias("key"), F.col("n_nationkey").alias("country"))
+    # The names of this lexicon hold no separator; a digit stands for one.
+    return L.faults(g, extents, anchors, ("7",))
+
+
 @Q.add("lexicon_alias_difference", ", a AS (SELECT n_nationkey AS id, n_name AS name, list_sort(list_distinct([lower(n_name), lower(n_name), 'x' || n_nationkey, n_name])) AS aliases FROM nation) SELECT id, array_to_string(list_filter(aliases, lambda x: x <> name), '|') AS aliases FROM a")
 def lexicon_alias_difference(spark, d):
     a = F.array(F.lower("n_name"), F.lower("n_name"), F.concat(F.lit("x"), "n_nationkey"), F.col("n_name"))
@@ -330,10 +340,19 @@ def collector_term_match(spark, d):
     return _reports(spark, d).select("id", F.exists(terms, lambda w: F.contains(F.lower("t"), F.lower(w))).alias("matched"))
 
 
-@Q.add("collector_place_names", _REPORT + " SELECT id, array_to_string(list_filter(['shelling', 'protest', 'tanker', 'flood'], lambda n: contains(t, n))[1:2], '|') AS places FROM r")
+_IN_PROSE = """
+WITH e AS (SELECT regexp_extract(text, '[A-Za-z]{3,} [A-Za-z]{3,}') AS name, regexp_extract(text, '[A-Za-z]+') AS alias, doc_id * 7919 % 40000 AS population FROM documents WHERE text IS NOT NULL),
+n AS (SELECT name FROM e WHERE len(name) > 4 OR (name <> '' AND population >= 20000) UNION SELECT alias FROM e WHERE len(alias) > 4),
+h AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY len(name) DESC, name) AS r FROM documents JOIN n ON contains(lower(text), lower(name)))
+SELECT d.doc_id, coalesce(string_agg(name, '|' ORDER BY r), '') AS places FROM documents AS d LEFT JOIN h ON h.doc_id = d.doc_id AND r <= 8 GROUP BY d.doc_id"""
+
+
+@Q.add("collector_place_names", _IN_PROSE, prelude=None)
 def collector_place_names(spark, d):
-    names = F.array(*[F.lit(n) for n in ("shelling", "protest", "tanker", "flood")])
-    return _reports(spark, d).select("id", F.array_join(F.slice(F.filter(names, lambda n: F.contains(F.lower("t"), n)), 1, 2), "|").alias("places"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    first = lambda pattern: F.regexp_extract("text", pattern, 0)
+    entries = docs.where("text is not null").select(first("[A-Za-z]{3,} [A-Za-z]{3,}").alias("name"), F.array(first("[A-Za-z]+")).alias("aliases"), (F.col("doc_id") * 7919 % 40000).alias("population"))
+    return M.contained(docs, M.searchable(entries), key="doc_id").select("doc_id", F.array_join("names", "|").alias("places"))
 
 
 @Q.add("humanised_labels", "SELECT DISTINCT status, trim(regexp_replace(status, '([A-Z])', ' \\1', 'g')) AS label FROM v_observations")

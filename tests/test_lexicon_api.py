@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sentinelle.functions import text as X
 from sentinelle.operators import conflicts as C
 from sentinelle.operators import lexicon as L
+from sentinelle.operators import mentions as M
 from sentinelle.operators import pipeline as P
 from sentinelle.plans import api
 from sentinelle.sources import views as V
@@ -93,3 +94,23 @@ def test_places_inside_places_by_codes(spark):
     far = spark.createDataFrame([("york", 1, 10.0, 10.0, 9000), ("york", 3, 14.0, 10.0, 8000)], "key string, id long, lat double, lon double, population long")
     assert [(r.chosen, r.places) for r in L.disambiguated(far).collect()] == [(None, 2)]
     assert [(r.chosen, r.places) for r in L.disambiguated(far, up).collect()] == [(1, 1)]
+
+
+def test_names_in_prose(spark):
+    entries = spark.createDataFrame([("Kyiv", ["Kiev", "Kyyiv"], 3000000), ("Oslo", None, 19999), ("", ["", "Bergen"], 90000), ("New York", ["york city"], None)], "name string, aliases array<string>, population long")
+    names = M.searchable(entries)
+    assert {r.name for r in names.collect()} == {"Kyiv", "Kyyiv", "Bergen", "New York", "york city"}
+    long = "x" * 50_000 + "Bergenser" + "y" * 50_000
+    texts = {1: "in KYIV and new york City", 2: None, 3: "", 4: long, 5: "kyi v", 6: "kyyivkyiv kyiv"}
+    docs = spark.createDataFrame([(k, v, "extra") for k, v in texts.items()], "id int, text string, name string")
+    got = {r.id: r.names for r in M.contained(docs, names).collect()}
+    assert got == {1: ["york city", "New York", "Kyiv"], 2: [], 3: [], 4: ["Bergen"], 5: [], 6: ["Kyyiv", "Kyiv"]}
+    assert M.contained(docs, names, most=1).where("id = 1").first().names == ["york city"]
+    assert {len(r.names) for r in M.contained(docs, names.limit(0)).collect()} == {0}
+
+
+def test_lexicon_faults(spark):
+    places = spark.createDataFrame([("a", 1, 0.05, 0.0), ("b|c", 1, 0.0, 0.0), ("d", 1, 0.2, 0.0), ("e", 2, 0.0, 0.0)], "key string, country int, g_lat double, g_lon double")
+    extents = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0)], "country int, south double, north double, west double, east double")
+    anchors = spark.createDataFrame([("a", 1), ("a", 2)], "key string, country int")
+    assert sorted(tuple(r) for r in L.faults(places, extents, anchors).collect()) == [("missing", "a", 2), ("outside", "d", 1), ("outside", "e", 2), ("separator", "b|c", 1)]
