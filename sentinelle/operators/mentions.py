@@ -88,7 +88,7 @@ def contained(docs: DataFrame, names: DataFrame, text: str = "text", key: str =
     """`docs` with the names that stand in each text, whatever surrounds them: longest first, then by name, `most` at most.
 
     A name meets a text by its first 1, 2, 4, ... characters, as many as it has: every run of as many characters of a text
-    is hashed and joined, and where it fits, the rest of the name is compared. Case does not count. Null and empty texts
+    is hashed and joined, and where it fits, whole names are. Case does not count. Null and empty texts
     have no names; `key` tells rows apart; of names that differ in case alone each one is reported.
     """
     size = lambda n: F.pow(F.lit(2), F.floor(F.log2(n))).cast("int")
@@ -104,7 +104,11 @@ def contained(docs: DataFrame, names: DataFrame, text: str = "text", key: str =
     at = at.select(key, F.substring("_text", F.col("_at"), F.lit(widest)).alias("_here"))
     at = at.select(key, "_here", F.explode(F.array(*[F.lit(p) for p in sizes]).cast("array<int>")).alias("_p")).withColumn("_start", F.expr("left(_here, _p)"))
     at = at.where(F.length("_start") == F.col("_p")).select(key, "_here", "_p", F.xxhash64("_start").alias("_code"))
-    found = at.join(listed, ["_p", "_code"]).where(F.startswith("_here", "_low")).select(key, "name").distinct()
+    # First the starts, each with the lengths of its names, then whole names of these lengths: names that begin alike
+    # cost a text no more than their different lengths.
+    starts = listed.groupBy("_p", "_code").agg(F.collect_set(F.length("_low")).alias("_sizes"))
+    whole = at.join(starts, ["_p", "_code"]).select(key, "_here", F.explode("_sizes").alias("_n")).select(key, F.expr("left(_here, _n)").alias("_low"))
+    found = whole.distinct().join(listed.select("name", "_low"), "_low").select(key, "name")
     top = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("back"), "name"))).alias("_names"))
     top = top.select(key, F.transform(F.slice("_names", 1, most), lambda x: x["name"]).alias(out))
     return docs.join(top, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
