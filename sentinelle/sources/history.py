@@ -147,10 +147,11 @@ class _Reader:
         return Planned(list(zip(*(table[c].to_pylist() for c in ("bin", "file", "n")), strict=True)), self.least)
 
     def windows(self, plan: Planned, until: int, horizon: int) -> list[Windows]:
-        """One task for each ROWS records; a window is never cut."""
+        """One task for each ROWS records; a window is never cut. A task's windows are neighbours, since it reads all that
+        lies between its first and its last one: `walk` has steps newest first but the windows in a step oldest first."""
         parts: list[Windows] = []
         room = 0
-        for a, b in plan.walk(until, horizon, self.step, self.cap):
+        for a, b in sorted(plan.walk(until, horizon, self.step, self.cap), reverse=True):
             n = plan.size(a, b)
             if room < n or not parts:
                 parts.append(Windows([], []))

@@ -85,6 +85,17 @@ def test_windows_hold_a_page_and_every_record_once(spark, past):
     assert sorted(r.id for r in some.select("id").collect()) == want
 
 
+@pytest.mark.parametrize("rows", [1, 45, 70])
+def test_tasks_read_no_record_of_another_one(past, monkeypatch, rows):
+    monkeypatch.setattr(history, "ROWS", rows)
+    source = history.HistorySource(options(past))
+    reader = source.reader(source.schema())
+    parts = reader.partitions()
+    assert len(parts) > 1
+    at = [r["id"] for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert sorted(at) == list(range(300))
+
+
 def test_options_that_cannot_work(spark, past):
     with pytest.raises(Exception, match="power of two"):
         spark.read.format("history").options(**options(past, step=3 * HOUR)).load().count()
