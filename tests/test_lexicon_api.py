@@ -114,3 +114,14 @@ def test_lexicon_faults(spark):
     extents = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0)], "country int, south double, north double, west double, east double")
     anchors = spark.createDataFrame([("a", 1), ("a", 2)], "key string, country int")
     assert sorted(tuple(r) for r in L.faults(places, extents, anchors).collect()) == [("missing", "a", 2), ("outside", "d", 1), ("outside", "e", 2), ("separator", "b|c", 1)]
+
+
+def test_ancestors_know_no_limit_of_rows(spark):
+    tree = spark.createDataFrame([(k, k // 2 if k > 1 else None) for k in range(1, 64)], "id long, parent long")
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10")
+    try:
+        assert L.ancestors(tree).count() == sum(k.bit_length() - 1 for k in range(1, 64))
+    finally:
+        spark.conf.set(limit, before)
