@@ -125,3 +125,15 @@ def test_ancestors_know_no_limit_of_rows(spark):
         assert L.ancestors(tree).count() == sum(k.bit_length() - 1 for k in range(1, 64))
     finally:
         spark.conf.set(limit, before)
+
+
+def test_texts_are_searched_once(spark):
+    rows = [(1, "Київ місто abc"), (2, "ΑΘΗΝΑ да"), (3, "東京 ひら"), (4, "plain"), (5, ""), (6, None), (7, "서울"), (8, "مدينة Киев")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    told = docs.select("id", X.language(F.col("text")).alias("l"))
+    assert {r.id: r.l for r in told.collect()} == {1: "ru", 2: "el", 3: "ja", 4: "en", 5: "en", 6: None, 7: "ko", 8: "ar"}
+    found = docs.select(L.capitalised(F.col("text")).alias("e"))
+    assert found.where("e is null").count() == 1
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert plan(told).count("regexp_replace(") <= 1 + len(X.SCRIPTS)
+    assert plan(found).count("regexp_extract_all(") == 1
