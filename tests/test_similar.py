@@ -29,3 +29,20 @@ def test_equal_sets_are_one(spark):
     rows = [(3, ["a", "b"]), (1, ["b", "a", "a"]), (2, ["a,b"]), (4, []), (5, None)]
     got = S.distinct_sets(spark.createDataFrame(rows, "id long, tokens array<string>"), "id", "tokens").collect()
     assert sorted((r.id, r.copies) for r in got) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_blocks_meet_once_and_no_pair_is_made_for_a_word(spark, monkeypatch, by):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "STEP", 50)
+    r = random.Random(5)
+    # All sets share frequent words, most pairs only these.
+    sets = [(i, {f"often{x}" for x in r.sample(range(12), 6)} | {f"w{x}" for x in r.sample(range(40 if i % 3 == 0 else 4000), 9)}) for i in range(200)]
+    rows = spark.createDataFrame([(i, "g", sorted(s)) for i, s in sets], "id long, g string, tokens array<string>")
+    found = S.pairs(rows, 0.4, by=by)
+    assert "code" not in str(found._jdf.queryExecution().optimizedPlan())
+    want = {(a, b): alike(x, y) for a, x in sets for b, y in sets if a < b and alike(x, y) >= 0.4}
+    got = found.collect()
+    assert {(p.a, p.b): p.similarity for p in got} == want and len(got) == len(want) > 200
+    packed = S.blocks(rows, 0.4, "id", "tokens", by or []).collect()
+    assert len(packed) >= 13 and sum(len(b.ids) for b in packed) == 8 * len(sets)
