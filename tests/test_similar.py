@@ -46,3 +46,11 @@ def test_blocks_meet_once_and_no_pair_is_made_for_a_word(spark, monkeypatch, by)
     assert {(p.a, p.b): p.similarity for p in got} == want and len(got) == len(want) > 200
     packed = S.blocks(rows, 0.4, "id", "tokens", by or []).collect()
     assert len(packed) >= 13 and sum(len(b.ids) for b in packed) == 8 * len(sets)
+
+
+@pytest.mark.parametrize("name", ["lexical_wording_classes", "duplicate_documents"])
+def test_texts_are_read_once(spark, name):
+    from sentinelle.plans import registry
+
+    plan = str(registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    assert "regexp" not in plan and "text" not in plan
