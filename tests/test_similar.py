@@ -54,3 +54,39 @@ def test_texts_are_read_once(spark, name):
 
     plan = str(registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
     assert "regexp" not in plan and "text" not in plan
+
+
+def test_each_item_that_an_ask_sees():
+    import pandas as pd
+
+    from sentinelle.operators import correlate as R
+
+    r = random.Random(3)
+    items = pd.DataFrame([(r.randrange(900), i, 0, r.randrange(900), r.randrange(900), i, *((r.randrange(900), i) if i % 3 else (None, None))) for i in range(400)], columns=["o1", "o2", "o3", "occurred", "born1", "born2", "gone1", "gone2"])
+    asks = pd.DataFrame([(i, r.randrange(1, 60), s := r.randrange(900), s + r.randrange(500), lo := r.randrange(900), lo + r.randrange(600), r.randrange(1000), i, i % 2 == 0) for i in range(150)], columns=["ask", "most", "start", "stop", "lo", "hi", "now1", "now2", "whole"])
+    got = R._each(items, asks, 16, 40).set_index("ask")
+    rows = sorted(items.itertuples(), key=lambda x: (x.o1, x.o2))
+    for a in asks.itertuples():
+        gone = lambda x: x.gone1 == x.gone1 and (x.gone1, x.gone2) < (a.now1, a.now2)  # noqa: E731, B023
+        want = [x.o2 for x in rows if a.start <= x.o1 <= a.stop and a.lo <= x.occurred <= a.hi and (x.born1, x.born2) < (a.now1, a.now2) and not gone(x)][: a.most]
+        assert list(got.o2[a.ask]) == want
+        assert not got.open[a.ask] or not a.whole
+
+
+def test_claims_support_each_other_as_at_the_desk(spark):
+    from sentinelle.operators import correlate as R
+    from sentinelle.operators import desk
+
+    r = random.Random(4)
+    hour, spots = 3_600_000_000, [(0.0, 179.95), (0.1, -179.95), (89.9, 10.0), (89.95, -150.0), (50.0, 10.0), (50.2, 10.1), (50.1, 10.3), (-60.0, 20.0)]
+    rows = []
+    for i in range(160):
+        lat, lon = spots[r.randrange(8)] if i % 5 else (None, None)
+        rows.append((i, "t", f"C{r.randrange(6)}" if i % 9 else None, r.randrange(60) * hour, lat, lon, "Country" if i % 7 == 0 else "Exact", f" P{r.randrange(4)}", [f"w{x}" for x in r.sample(range(12), 5)], [f"a{r.randrange(9)}"]))
+    claims = spark.createDataFrame(rows, "id long, event_type string, identity string, occurred long, lat double, lon double, precision string, place string, tokens array<string>, actors array<string>")
+    got = R.corroborated(claims, 24 * hour)
+    assert got.columns == ["id_a", "id_b"]
+    report = lambda x: desk.Report(x[0], 0, x[3], x[4], x[5], x[6], x[7], frozenset(x[8]), tuple(x[9]), True, x[2])
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] and b[2] and a[2] != b[2] and abs(a[3] - b[3]) <= 24 * hour and desk.supports(report(a), report(b), frozenset(b[8]), b[9])}
+    found = [tuple(x) for x in got.collect()]
+    assert set(found) == want and len(found) == len(want) > 20
