@@ -90,3 +90,14 @@ def test_claims_support_each_other_as_at_the_desk(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] and b[2] and a[2] != b[2] and abs(a[3] - b[3]) <= 24 * hour and desk.supports(report(a), report(b), frozenset(b[8]), b[9])}
     found = [tuple(x) for x in got.collect()]
     assert set(found) == want and len(found) == len(want) > 20
+
+
+def test_hashed_words_of_a_report_are_plain_numbers():
+    import numpy as np
+    import pandas as pd
+
+    from sentinelle.operators import desk
+
+    row = {"id": 1, "received": 2, "occurred": 2, "lat": None, "lon": None, "precision": None, "place": "p", "tokens": np.array([5, 7]), "actors": np.array(["a"], dtype=object), "claim": False, "identity": None}
+    (report,) = desk.reports(pd.DataFrame([row]))
+    assert report.tokens == {5, 7} and {type(x) for x in report.tokens} == {int} and report.actors == ("a",)
