@@ -7,10 +7,13 @@ is the difference of two running sums, so all runs are looked at by array operat
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +90,7 @@ def table(strings: DataFrame, name: str, begun: list[int]) -> Broadcast:
     return strings.sparkSession.sparkContext.broadcast(out)
 
 
-def _pieces(texts: pd.Series, reach: int | None):
+def _pieces(texts: Iterable[str], reach: int | None) -> Iterator[tuple[list[int], list[str]]]:
     """Rows and pieces of texts, some PIECE characters at a time; a piece reaches `reach` into the next, or texts stay whole."""
     rows, parts, held = [], [], 0
     for row, text in enumerate(texts):
@@ -140,3 +143,75 @@ def longest(text: Column, marks: Broadcast, sizes: list[int], begun: list[int],
         return pd.DataFrame({"least": least.astype(np.int32), "found": kept})
 
     return look(text)
+
+
+#: Scripts that write without gaps between words: Thai, Hiragana to Katakana, Han, Hangul.
+GAPLESS = ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
+
+
+@lru_cache(1)
+def _joins() -> np.ndarray:
+    """Of every character, whether it is one unit with its like beside it: letters and digits are."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), bool, 0x110000)
+    out[ord("_")] = True
+    for first, last in GAPLESS:
+        out[first : last + 1] = False
+    return out
+
+
+def _starts(runs: Runs, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units of some texts begin, and how many units there are before each text."""
+    joined = _joins()[runs.codes]
+    begins = np.r_[True, ~(joined[1:] & joined[:-1])]
+    first = np.cumsum([0, *map(len, parts)])
+    begins[first[:-1]] = True
+    at = np.flatnonzero(begins)
+    return at, np.searchsorted(at, first)
+
+
+def _fold(text: str | None) -> str:
+    return "" if not text else (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+
+
+def units(text: Column) -> Column:
+    """How many units a folded text has."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), np.int32)
+        for rows, parts in _pieces(texts, None):
+            out[rows] = np.diff(_starts(Runs("".join(parts)), parts)[1])
+        return pd.Series(out)
+
+    return count(text)
+
+
+def places(text: Column, marks: Broadcast, sizes: list[int]) -> Column:
+    """(clear, hits): the runs of `sizes` units of a text, when folded, that may be strings, as [(at, back, name)] in this
+    order, where `at` counts units and `back` is less than 0 by the run's own; and whether no two of them overlap."""
+
+    @F.arrow_udf("clear boolean, hits array<struct<at: int, back: int, name: string>>")
+    def look(texts: pa.Array) -> pa.Array:
+        many, clear, ats, backs, names = np.zeros(len(texts) + 1, np.int32), np.ones(len(texts), bool), [], [], []
+        for rows, parts in _pieces([_fold(t) for t in texts.to_pylist()], None):
+            joined = "".join(parts)
+            runs = Runs(joined)
+            start, before = _starts(runs, parts)
+            bound, owner = np.r_[start, len(joined)], np.repeat(np.arange(len(parts)), np.diff(before))
+            found = []
+            for n in sizes:
+                i = np.flatnonzero(owner[n - 1 :] == owner[: max(len(owner) - n + 1, 0)])
+                i = i[known(marks.value, runs.hashes(bound[i], bound[i + n], WHOLE))]
+                found.append(np.stack([i, np.full(len(i), -n)]))
+            i, back = (found := np.concatenate(found, 1))[:, np.lexsort((found[1], found[0]))]
+            clear[np.array(rows)[owner[i[1:][(i[1:] < (i - back)[:-1]) & (owner[i[1:]] == owner[i[:-1]])]]]] = False
+            ats.append(i - before[owner[i]])
+            backs.append(back)
+            names += [joined[a:b] for a, b in zip(bound[i].tolist(), bound[i - back].tolist())]
+            many[np.array(rows) + 1] = np.bincount(owner[i], minlength=len(parts))
+        flat = [pa.array(np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int32)) for x in (ats, backs)]
+        each = pa.StructArray.from_arrays([*flat, pa.array(names, pa.string())], ["at", "back", "name"])
+        hits = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), each)
+        return pa.StructArray.from_arrays([pa.array(clear), hits], ["clear", "hits"])
+
+    return look(text)

@@ -5,10 +5,11 @@ import random
 import unicodedata
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentinelle.functions import geo, scores
+from sentinelle.functions import geo, marks, scores
 from sentinelle.functions import text as X
 from sentinelle.operators import analytics as A
 from sentinelle.operators import correlate as R
@@ -198,3 +199,23 @@ def test_areas_of_any_size_miss_no_point(spark):
     sure = {(i, k) for i, a, b in points[:300] for k, c, d, radius in areas if radius is not None and km(a, b, c, d) <= radius - 1e-6}
     assert len(pairs) == len(set(pairs)) and sure <= set(pairs) <= want
     assert S.near_each(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame([], "area long, c_lat double, c_lon double, radius double")).count() == 0
+
+
+def test_mentions_are_found_in_tasks(spark, monkeypatch):
+    r = random.Random(3)
+    names = ["a b", "b", "b c d", "東京", "京", "x_1", "É", "ﬁ n", "d"]
+    texts = [None, "", "b", "東京x_1", *(" ".join(r.choice(["a", "b", "c", "d", "東", "京", "x_1", "é", "fi n", "."]) for _ in range(r.choice((1, 5, 40)))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    listed = spark.createDataFrame([(n,) for n in names], "name string")
+    joined = []
+    real = M.hits
+    monkeypatch.setattr(M, "hits", lambda *a: joined.append(1) or real(*a))
+    want = {i: mentions_in(t, names) for i, t in enumerate(texts)}
+    assert {x.id: x.mentions for x in M.mentioned(docs, listed).collect()} == want
+    # No run of units met the names in a join.
+    assert not joined
+    # A table that says yes to every third run as well: what is found and is no name is found out, and the join tells the names.
+    first = lambda table, h: (table[(h & np.uint64(len(table) * 8 - 1)) >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    monkeypatch.setattr(marks, "known", lambda table, h: np.flatnonzero(first(table, h) | (h % np.uint64(3) == 0)))
+    assert {x.id: x.mentions for x in M.mentioned(docs, listed).collect()} == want
+    assert joined
