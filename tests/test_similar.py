@@ -56,6 +56,17 @@ def test_texts_are_read_once(spark, name):
     assert "regexp" not in plan and "text" not in plan
 
 
+def test_wordings_are_of_whole_texts(spark, tmp_path):
+    from sentinelle.plans import registry
+
+    start = "alpha beta " * 300
+    rows = [(4, start + "gamma"), (2, start + "delta"), (9, "Beta, alpha: GAMMA"), (7, start), (5, "of the"), (6, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["lexical_wording_classes"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.wording for r in got} == {4: 4, 9: 4, 2: 2, 7: 7, 5: 5, 6: 6}
+    assert "2000" not in registry.oracle_sql()["lexical_wording_classes"] and "2000" in registry.oracle_sql()["lexical_similarity_pairs"]
+
+
 def test_each_item_that_an_ask_sees():
     import pandas as pd
 
