@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +38,25 @@ def test_entities(spark):
     assert row.e == ["Near Port Sudan", "Sudan Army", "Omar's"]
 
 
+def test_entities_have_no_limit(spark):
+    r = random.Random(6)
+    names = ["".join(r.choice("ABab") for _ in range(r.randrange(2, 6))) for _ in range(400)]
+    texts = [" ".join(x + r.choice(["", ".", " of"]) for x in r.sample(names, n)) for n in (3, 40, 400)] + ["", "Xa Xb Xc. Xd. Xe. Xf. Xg. Xh. Xb Xc"]
+
+    def want(text):
+        runs = list(dict.fromkeys(re.findall("[AB][ABab]+(?: [AB][ABab]+)*" if "X" not in text else "X[a-h](?: X[a-h])*", text)))
+        return [x for x in runs if not any(x in y for y in runs if x != y)]
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: x.e for x in docs.select("id", L.capitalised(F.col("text")).alias("e")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)} and max(map(len, got.values())) > 40 and len(got[4]) == 6
+    # Long runs, and many of them, of which none lies in another.
+    word = lambda: r.choice("ABCDEFGH") + "".join(r.choice("abcdefgh") for _ in range(7))
+    odd = [" ".join(word().upper() for _ in range(20000)), ". ".join(f"{word()}{'x' * (i % 9)}" for i in range(20000))]
+    sizes = spark.createDataFrame([(x,) for x in odd], "text string").select(F.size(L.capitalised(F.col("text"))).alias("n")).collect()
+    assert sizes[0].n == 1 and sizes[1].n > 19000
+
+
 def claims(spark, rows):
     return spark.createDataFrame([("P", NOW - d * DAY, s, c, a, src) for d, s, c, a, src in rows], "place string, at long, signal string, coded boolean, actor string, source string")
 
