@@ -112,3 +112,30 @@ def test_hashed_words_of_a_report_are_plain_numbers():
     row = {"id": 1, "received": 2, "occurred": 2, "lat": None, "lon": None, "precision": None, "place": "p", "tokens": np.array([5, 7]), "actors": np.array(["a"], dtype=object), "claim": False, "identity": None}
     (report,) = desk.reports(pd.DataFrame([row]))
     assert report.tokens == {5, 7} and {type(x) for x in report.tokens} == {int} and report.actors == ("a",)
+
+
+def test_frequent_words_make_few_counts(monkeypatch):
+    """Words that are marked in both sets are counted for pairs that may be alike by the others, and sizes far apart do not meet."""
+    import numpy as np
+
+    r = random.Random(8)
+    least = 0.4 - S.ROUNDING
+    sets = [sorted(r.sample(range(40), r.randrange(2, 20)) + r.sample(range(100, 3000), r.randrange(1, 30))) for _ in range(120)]
+    sets += [sorted({*r.sample(s, max(1, len(s) * 2 // 3)), 3500 + i}) for i, s in enumerate(sets)]
+
+    def block(some):
+        n = [len(s) for s in some]
+        cut = [int(S.MARKED * least * k) for k in n]
+        # Small numbers are the frequent words.
+        flat = sorted((w, k < cut[i], i) for i, s in enumerate(some) for k, w in enumerate(s))
+        codes, often, at = zip(*flat, strict=True)
+        return (np.arange(len(some), dtype=np.int64).tobytes(), *(np.array(x, np.int32).tobytes() for x in (n, cut, codes, at)), (~np.array(often)).tobytes())
+
+    counted = []
+    common = S._common
+    monkeypatch.setattr(S, "_common", lambda *x: (counted.append(len(y)) or y for y in common(*x)))
+    monkeypatch.setattr(S, "STEP", 300)
+    x, y = S.met(block(sets), block(sets), least, True)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len({*a} & {*b}) >= least * math.sqrt(len(a) * len(b)) - 1e-6}
+    assert set(zip(x.tolist(), y.tolist(), strict=True)) == want and len(x) == len(want) > 100
+    assert sum(counted) < 0.6 * sum(len({*a} & {*b}) for a in sets for b in sets)
