@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             }
             yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
-    return storage.written(storage.mapped(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), shards, INDEX), "postings")
+    return storage.written(storage.mapped(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), shards, INDEX), "postings", wide=True)
 
 
 SCHEMA = pa.schema(

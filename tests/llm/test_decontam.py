@@ -61,3 +61,16 @@ def test_long_words_make_short_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"{'x' * 3000}{i}{k}" for k in range(5))) for i in range(12)], ITEMS)
     assert len(list(decontam.blocks(items, "item_id", "text", 4))) > 6
     check(spark, [(1, items.first().text, "s"), (2, "short", "s")], [tuple(r) for r in items.collect()])
+
+
+def test_shards_are_stored_one_by_one(spark, monkeypatch):
+    """No page, row group or file of the index holds a task's shards, and no footer their values."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(decontam, "SHARD", 200)
+    docs = [(i, f"word{i} " * 30, "s") for i in range(60)]
+    index = decontam.build_index(spark.createDataFrame(docs, DOCS).coalesce(1))
+    stored = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert sum(m.num_rows for m in stored) == 60 and max(m.num_rows for m in stored) == 8
+    assert all(m.num_row_groups == m.num_rows and not m.row_group(0).column(k).is_stats_set for m in stored for k in range(m.num_columns))
+    check(spark, docs, [(1, "word3 word3 word3 word3"), (2, "word3 word4")])
